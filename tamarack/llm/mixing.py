@@ -8,8 +8,8 @@ target, as many entries as max_repeats) is broadcast, its size being that of the
 Rates. With S tokens in a source, weight w (relative), cap c and a budget of T tokens the rate is T*w/S. The default budget is
 the largest T at which no source needs more than its cap, T = min(S*c/w), so that all shares are met; a larger budget
 (total_tokens) makes sources at their cap fall short, and the rest is spread over the others by weight. As counts are cut
-off at the cap, the Poisson mean is raised until the mean of the cut distribution is the wanted rate (bisection, a handful of
-sources on the driver).
+off at the cap, the Poisson mean is adjusted until the tokens actually drawn are the wanted ones (bisection on the driver over
+BUCKETS token sums per target source, a size that doesn't grow with the documents).
 
 Defined results: targets with null, zero or negative weight and sources without tokens take no part and are reported with
 share 0; a null cap counts as 1; duplicate targets of a source are summed by weight and take the largest cap; documents of
@@ -22,12 +22,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm.tokenize import count_tokens
 
+#: Tokens of a source are summed in so many classes of the documents' uniform numbers.
+BUCKETS = 2048
+
 PLAN = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -41,6 +45,11 @@ PLAN = T.StructType(
 )
 
 
+def uniform(key: str, seed: int):
+    """Number in (0, 1) hashed from seed and key."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def cut_mean(lam: float, cap: int) -> float:
     """Mean of min(Poisson(lam), cap)."""
     p, total, mean = math.exp(-lam), 0.0, 0.0
@@ -51,18 +60,9 @@ def cut_mean(lam: float, cap: int) -> float:
     return mean + cap * max(0.0, 1 - total)
 
 
-def cut_cdf(rate: float, cap: int) -> list[float]:
-    """P(count <= k) for k < cap of the Poisson distribution, cut at cap, that has this mean."""
-    if rate >= cap * (1 - 1e-9):
-        return [0.0] * cap
-    low, high = 0.0, max(1.0, 2.0 * cap)
-    while cut_mean(high, cap) < rate and high < 600:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cut_mean(mid, cap) < rate else (low, mid)
-    lam, out, total = (low + high) / 2, [], 0.0
-    p = math.exp(-lam)
+def poisson_cdf(lam: float, cap: int) -> list[float]:
+    """P(count <= k) for k < cap."""
+    p, total, out = math.exp(-lam), 0.0, []
     for k in range(cap):
         total += p
         out.append(min(1.0, total))
@@ -70,6 +70,28 @@ def cut_cdf(rate: float, cap: int) -> list[float]:
     return out
 
 
+def cut_cdf(rate: float, cap: int, tokens: np.ndarray | None = None) -> list[float]:
+    """P(count <= k) for k < cap of the Poisson distribution, cut at cap, that has this mean.
+
+    tokens: the source's tokens by bucket of the documents' uniform numbers. With it the mean is the one over these documents,
+    so that small sources meet their share as well as large ones.
+    """
+    if rate >= cap * (1 - 1e-9):
+        return [0.0] * cap
+    if tokens is None or not tokens.sum():
+        mean = lambda lam: cut_mean(lam, cap)
+    else:
+        middle = (np.arange(len(tokens)) + 0.5) / len(tokens)
+        mean = lambda lam: float(np.searchsorted(poisson_cdf(lam, cap), middle, side="left") @ tokens / tokens.sum())
+    low, high = 0.0, max(1.0, 2.0 * cap)
+    while mean(high) < rate and high < 600:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mean(mid) < rate else (low, mid)
+    return poisson_cdf((low + high) / 2, cap)
+
+
 def rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: float | None = None) -> dict[str, float]:
     """Repetition rate of each usable source; see the module."""
     live = {s: (w, c) for s, (w, c) in targets.items() if w > 0 and c > 0 and sizes.get(s, 0) > 0}
@@ -97,7 +119,7 @@ def token_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     return count_tokens(docs, text, keep=(doc_id, source), out="n_tokens", path=path)
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, source: str = "source") -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, doc_id: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
     """One row per target source with its rate and cut-off distribution. targets must fit the driver: one row per source."""
     spark = targets.sparkSession
     rows = (
@@ -105,14 +127,22 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
         .groupBy("source")
         .agg(F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.coalesce(F.col("max_repeats").cast("int"), F.lit(1))).alias("max_repeats"))
     )
-    # only sources that have a target leave the executors
-    found = sizes.join(F.broadcast(rows.select(F.col("source").alias("__s"))), F.col(f"`{source}`") == F.col("__s")).groupBy("__s").agg(F.sum("n_tokens").alias("tokens"))
-    tokens = {r["__s"]: int(r["tokens"] or 0) for r in found.collect()}
+    # only sources that have a target leave the executors, as at most BUCKETS numbers each
+    bucket = F.floor(uniform(doc_id, seed) * BUCKETS).cast("int")
+    found = (
+        sizes.join(F.broadcast(rows.select(F.col("source").alias("__s"))), F.col(f"`{source}`") == F.col("__s"))
+        .groupBy("__s", bucket.alias("__b"))
+        .agg(F.sum("n_tokens").alias("tokens"))
+    )
+    spread: dict[str, np.ndarray] = {}
+    for r in found.collect():
+        spread.setdefault(r["__s"], np.zeros(BUCKETS))[r["__b"]] += r["tokens"] or 0
+    tokens = {s: int(x.sum()) for s, x in spread.items()}
     given = {r["source"]: (r["weight"], int(r["max_repeats"])) for r in rows.collect()}
     rate = rates(tokens, given, total_tokens)
     weight = sum(given[s][0] for s in rate) or 1.0
     out = [
-        (s, w, c, tokens.get(s, 0), w / weight if s in rate else 0.0, float(rate.get(s, 0.0)), cut_cdf(rate[s], c) if s in rate else [])
+        (s, w, c, tokens.get(s, 0), w / weight if s in rate else 0.0, float(rate.get(s, 0.0)), cut_cdf(rate[s], c, spread.get(s)) if s in rate else [])
         for s, (w, c) in sorted(given.items())
     ]
     return spark.createDataFrame(out, PLAN)
@@ -120,7 +150,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
 
 def repeats(key: str, cdf: str = "cdf", seed: int = 7):
     """Count of a document: its hashed uniform number, looked up in the cumulative distribution."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    u = uniform(key, seed)
     return F.size(F.filter(F.col(cdf), lambda p: p < u))
 
 

@@ -41,6 +41,21 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(pages, repeated_lines(pages).select("id", "line_no")).select("id", "site", "cleaned")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.splitting import knowledge_items, split_items
+
+    items = knowledge_items(table(spark, d, "simple_documents"), table(spark, d, "chunk_pairs"))
+    return split_items(items, ("item_kind", "item_key", "pos"), "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("piece_no = 0").select("item_kind", "item_key", "pos").distinct()
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.tokenize import encode_corpus
 
@@ -64,7 +79,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_cleaned, p8_ids, p9_mixed, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares)}
 
 
 P2_SQL = """
@@ -93,5 +108,12 @@ SELECT k.id, CAST(k.line_no AS INTEGER) line_no FROM k JOIN r USING (site, x)
 """
 
 
+P7_SQL = """
+SELECT DISTINCT 'content' item_kind, CAST(id AS VARCHAR) item_key, CAST(0 AS INTEGER) pos FROM simple_documents WHERE length(content) > 1600
+UNION SELECT 'parent', CAST(parent_id AS VARCHAR), CAST(0 AS INTEGER) FROM chunk_pairs WHERE length(parent_content) > 1600
+UNION SELECT 'child', key, pos FROM (SELECT CAST(parent_id AS VARCHAR) key, unnest(children_content) t, CAST(generate_subscripts(children_content, 1) - 1 AS INTEGER) pos FROM chunk_pairs) WHERE length(t) > 400
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
