@@ -78,8 +78,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.report(sizes, M.plan(sizes, table(spark, d, "mix_targets")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.language import mislabelled
+
+    return mislabelled(table(spark, d, "documents")).select("doc_id", "lang")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.language import segments
+
+    return segments(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares)}
+    return {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
 P2_SQL = """
