@@ -121,6 +121,7 @@ class LanguageModel:
             total = np.sum(list(found.values()), axis=0) + 1.0
             alpha = 0.05 if size == 0 else 0.2
             self.tables.append({g: np.log((row + alpha) / total) for g, row in found.items()})
+        self.letters = {g: np.where(row < 1e-9, -3.0, 0.0) for g, row in counts[1].items() if len(g) == 1 and row.min() < 1e-9 and row.sum() > 3}
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
@@ -135,6 +136,10 @@ class LanguageModel:
                     break
             else:
                 out = np.zeros(len(self.languages))
+            for letter in set(word):  # a letter that a language doesn't have rules it out
+                row = self.letters.get(letter)
+                if row is not None:
+                    out = out + row
         top = out.max()
         return np.maximum(out - (top + math.log(np.exp(out - top).sum())), FLOOR)
 

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tamarack.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.pairs import broken
+
+    return broken(table(spark, d, "feedback"))
+
+
+def p1_defects(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.pairs import judge
+
+    return judge(table(spark, d, "feedback")).where(F.size("defects") > 0).select("id", F.explode("defects").alias("defect"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm import conversations as C
 
@@ -20,6 +32,18 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return C.conversations(table(spark, d, "messages")).withColumnRenamed("account", "tg_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.neighbours import similar_pairs
+
+    return similar_pairs(table(spark, d, "simple_documents"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.neighbours import nearest
+
+    return nearest(table(spark, d, "simple_documents"), queries=F.col("id") % 20 == 0, probes=64, max_angle=40.0)
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.sites import with_site
 
@@ -91,7 +115,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_conversations, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
 P2_SQL = """
