@@ -156,7 +156,10 @@ def exact_best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarra
     row, col = np.nonzero(approx + slack[None] >= np.maximum(kth, least)[:, None])
     other = q_ids[row] != x_ids[col]
     row, col = row[other], col[other]
-    cos = np.round(np.einsum("ij,ij->i", q[row], x[col]), 9)
+    cos = np.empty(len(row))
+    for i in range(0, len(row), 20_000):  # bounds the gathered copies
+        cos[i : i + 20_000] = np.einsum("ij,ij->i", q[row[i : i + 20_000]], x[col[i : i + 20_000]])
+    cos = np.round(cos, 9)
     if least > -1:
         row, col, cos = (v[cos >= least] for v in (row, col, cos))
     order = np.lexsort((x_ids[col], -cos, row))
@@ -229,8 +232,8 @@ def nearest(
         c, quant = model.value
         per = dealt.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 4096):
-                b = whole.slice(i, 4096)
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
                 ids, raw = b.column(0).to_numpy(), _matrix(b.column(1), dim).astype(np.float32)
                 stored, asks = b.column(3).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
                 x = _unit(raw)
@@ -292,7 +295,7 @@ def nearest(
                 x_ids, x, approx, slack = ready
                 q_ids, first = np.unique(ids[a:z], return_index=True)
                 q = _unit(raw[first])
-                step = max(16, 4_000_000 // max(1, len(x)))
+                step = max(16, 1_000_000 // max(1, len(x)))
                 for i in range(0, len(q), step):
                     found.append(exact_best(q[i : i + step], q_ids[i : i + step], x, x_ids, q[i : i + step].astype(np.float32) @ approx.T, slack, k, min_cosine))
             if found:
