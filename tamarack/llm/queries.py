@@ -65,6 +65,18 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(pages, repeated_lines(pages).select("id", "line_no")).select("id", "site", "cleaned")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.pages import boilerplate_lines
+
+    return boilerplate_lines(_pages(spark, d)).distinct()
+
+
+def p6_main(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.pages import main_body
+
+    return main_body(_pages(spark, d)).distinct()
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.splitting import knowledge_items, split_items
 
@@ -115,7 +127,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
 P2_SQL = """
