@@ -65,6 +65,22 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(pages, repeated_lines(pages).select("id", "line_no")).select("id", "site", "cleaned")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.personal import find
+
+    rows = table(spark, d, "messages").select(F.lit("messages").alias("tbl"), "id", F.col("content").alias("text"))
+    rows = rows.unionByName(table(spark, d, "feedback").select(F.lit("feedback").alias("tbl"), "id", F.col("question").alias("text")))
+    return find(rows.where("text is not null"), "text", ("tbl", "id")).select("tbl", "id", "kind", "surface").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from tamarack.llm.personal import redact
+
+    rows = table(spark, d, "messages").select(F.lit("messages").alias("tbl"), "id", F.col("content").alias("text"))
+    rows = rows.unionByName(table(spark, d, "feedback").select(F.lit("feedback").alias("tbl"), "id", F.col("question").alias("text")))
+    return redact(rows, "text", ("tbl", "id"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.pages import boilerplate_lines
 
@@ -127,7 +143,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p5_found, p5_redacted, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
 P2_SQL = """
