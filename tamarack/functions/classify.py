@@ -172,6 +172,17 @@ def fact_entity_type(fact_type: Column, topic_col: Column, source: Column) -> Co
     )
 
 
+def _joined_groups(groups: list[Column]) -> Column:
+    out = groups[0]
+    for g in groups[1:]:
+        out = F.zip_with(out, g, lambda a, b: F.concat_ws(" ", a, b))
+    return out
+
+
+def _typed(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
+
+
 def entities(text: Column) -> Column:
     """Array of (entity_type, entity_value): what the patterns' groups hold, joined by a blank; first of equal ones without case."""
     found = []
@@ -180,9 +191,9 @@ def entities(text: Column) -> Column:
         for p in patterns:
             groups = re.compile(p).groups
             each = [F.regexp_extract_all(text, F.lit(flag + p), F.lit(g)) for g in (range(1, groups + 1) if groups else [0])]
-            values = each[0] if len(each) == 1 else F.transform(F.arrays_zip(*[e.alias(f"g{i}") for i, e in enumerate(each)]), lambda z, n=len(each): F.concat_ws(" ", *[z[f"g{i}"] for i in range(n)]))
-            values = F.filter(F.transform(values, F.trim), lambda v: F.length(v) > 1)
-            found.append(F.transform(values, lambda v, k=kind: F.struct(F.lit(k).alias("entity_type"), v.alias("entity_value"))))
+            values = each[0] if len(each) == 1 else _joined_groups(each)
+            values = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 1)
+            found.append(_typed(values, kind))
     every = F.concat(*found)
     keys = F.transform(every, lambda e: F.concat_ws("\x1f", e["entity_type"], F.lower(e["entity_value"])))
     return F.filter(every, lambda e, i: F.array_position(keys, F.concat_ws("\x1f", e["entity_type"], F.lower(e["entity_value"]))) == i + 1)

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tamarack.functions import text as T
 
@@ -136,17 +137,17 @@ def without_repeated_blocks(text: str, size: int = 4) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_plain_lines(html: pd.Series) -> pd.Series:
     return html.map(lambda h: html_text(h, {"script", "style", "nav", "footer"}, main_only=False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def drop_repeated_blocks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else without_repeated_blocks(t))
 
@@ -214,7 +215,7 @@ def parse_yaml(text: str | None):
     return v if isinstance(v, dict) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_json(text: pd.Series) -> pd.Series:
     """A YAML mapping as JSON text; null for anything else."""
     return text.map(lambda t: json.dumps(v, ensure_ascii=False, default=str) if (v := parse_yaml(t)) is not None else None)

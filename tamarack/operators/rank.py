@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tamarack.functions import classify as K
 from tamarack.functions import text as T
 
-BY_QUERY = Window.partitionBy("query_id")
+def by_query():
+    return Window.partitionBy("query_id")
 
 
 def graded(docs: DataFrame, responses: DataFrame) -> DataFrame:
     """Chunks graded 1. responses (query_id, response) hold {"scores": [...]}; without a usable list of the right length all stay."""
     scores = F.from_json("response", "scores array<double>")["scores"]
     r = responses.select("query_id", scores.alias("__scores"))
-    out = docs.join(r, "query_id", "left").withColumn("__n", F.count("*").over(BY_QUERY)).withColumn("__i", F.row_number().over(BY_QUERY.orderBy("pos")))
+    out = docs.join(r, "query_id", "left").withColumn("__n", F.count("*").over(by_query())).withColumn("__i", F.row_number().over(by_query().orderBy("pos")))
     usable = F.coalesce(F.size("__scores") == F.col("__n"), F.lit(False))
     return out.where(~usable | (F.get("__scores", F.col("__i") - 1).cast("int") == 1)).drop("__scores", "__n", "__i")
 
@@ -24,20 +25,20 @@ def reranked_by_scores(docs: DataFrame, responses: DataFrame, k: int) -> DataFra
     """The k chunks of highest score, ties in list order; lists of k or fewer, and those without usable scores, keep their order."""
     scores = F.from_json("response", "scores array<double>")["scores"]
     r = responses.select("query_id", scores.alias("__scores"))
-    out = docs.join(r, "query_id", "left").withColumn("__n", F.count("*").over(BY_QUERY)).withColumn("__i", F.row_number().over(BY_QUERY.orderBy("pos")))
+    out = docs.join(r, "query_id", "left").withColumn("__n", F.count("*").over(by_query())).withColumn("__i", F.row_number().over(by_query().orderBy("pos")))
     usable = F.coalesce((F.size("__scores") == F.col("__n")) & (F.col("__n") > k), F.lit(False))
     key = F.when(usable, F.get("__scores", F.col("__i") - 1)).otherwise(0.0)
-    out = out.withColumn("rank", F.row_number().over(BY_QUERY.orderBy(key.desc(), "pos")))
+    out = out.withColumn("rank", F.row_number().over(by_query().orderBy(key.desc(), "pos")))
     return out.where(F.col("rank") <= k).drop("__scores", "__n", "__i")
 
 
 def reranked_by_index(docs: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """Chunks in the order of (query_id, ord, index) results; indexes null, out of range or met before are passed over; else the first k."""
-    own = docs.withColumn("__i", F.row_number().over(BY_QUERY.orderBy("pos")) - 1)
+    own = docs.withColumn("__i", F.row_number().over(by_query().orderBy("pos")) - 1)
     picks = results.where(F.col("index").isNotNull()).join(own.select("query_id", F.col("__i").alias("index")), ["query_id", "index"], "left_semi")
     picks = picks.groupBy("query_id", "index").agg(F.min("ord").alias("__ord"))
-    picks = picks.withColumn("__r", F.row_number().over(BY_QUERY.orderBy("__ord"))).where(F.col("__r") <= k).select("query_id", F.col("index").alias("__i"), "__r")
-    out = own.join(picks, ["query_id", "__i"], "left").withColumn("__any", F.count("__r").over(BY_QUERY))
+    picks = picks.withColumn("__r", F.row_number().over(by_query().orderBy("__ord"))).where(F.col("__r") <= k).select("query_id", F.col("index").alias("__i"), "__r")
+    out = own.join(picks, ["query_id", "__i"], "left").withColumn("__any", F.count("__r").over(by_query()))
     rank = F.when(F.col("__any") > 0, F.col("__r")).otherwise(F.when(F.col("__i") < k, F.col("__i") + 1))
     return out.withColumn("rank", rank).where("rank is not null").drop("__i", "__r", "__any")
 
@@ -46,7 +47,7 @@ def tag_reranked(docs: DataFrame, factor: float = 0.3, score: str = "score", tag
     """Scores raised by the overlap of tags, highest first, ties in list order."""
     boost = K.tag_boost(F.col(tags), F.col(query_tags))
     adjusted = F.col(score) * (F.lit(1.0) + (boost - F.lit(1.0)) * F.lit(factor))
-    return docs.withColumn("adjusted", adjusted).withColumn("rank", F.row_number().over(BY_QUERY.orderBy(F.col("adjusted").desc(), "pos")))
+    return docs.withColumn("adjusted", adjusted).withColumn("rank", F.row_number().over(by_query().orderBy(F.col("adjusted").desc(), "pos")))
 
 
 def guarded(docs: DataFrame, focus: str = "focus", content: str = "content", topic: str = "topic") -> DataFrame:
@@ -56,7 +57,7 @@ def guarded(docs: DataFrame, focus: str = "focus", content: str = "content", top
     housing = K.contains_any(low, K.X.FOCUS["housing"]) | (F.coalesce(F.col(topic), F.lit("")) == "housing")
     drop = (F.col(focus) == "housing") & food & ~housing
     out = docs.withColumn("__drop", F.coalesce(drop, F.lit(False)))
-    left = F.count_if(~F.col("__drop")).over(BY_QUERY)
+    left = F.count_if(~F.col("__drop")).over(by_query())
     return out.withColumn("__left", left).where(~F.col("__drop") | (F.col("__left") == 0)).drop("__drop", "__left")
 
 
@@ -69,7 +70,7 @@ def numbered_sources(docs: DataFrame, source_url: str = "source_url", source: st
     out = docs.withColumn("__key", source_key(F.col(source_url), F.col(source)))
     by_key = Window.partitionBy("query_id", "__key")
     new = F.when((F.col("__key") == "") | (F.row_number().over(by_key.orderBy("pos")) == 1), 1).otherwise(0)
-    out = out.withColumn("__new", new).withColumn("__no", F.sum("__new").over(BY_QUERY.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("__new", new).withColumn("__no", F.sum("__new").over(by_query().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     number = F.when(F.col("__key") == "", F.max("__no").over(by_key)).otherwise(F.min(F.when(F.col("__new") == 1, F.col("__no"))).over(by_key))
     return out.withColumn("number", number).withColumn("is_first", F.col("__new") == 1).drop("__key", "__new", "__no")
 
@@ -105,7 +106,7 @@ def cited_only(lines: DataFrame, answers: DataFrame, number: str = "number", ans
     cited = answers.select("query_id", T.cited_numbers(F.col(answer)).alias("__cited"))
     out = lines.join(cited, "query_id", "left")
     hit = F.coalesce(F.array_contains("__cited", F.col(number).cast("int")), F.lit(False))
-    return out.withColumn("__hit", hit).withColumn("__any", F.max("__hit").over(BY_QUERY)).where(F.col("__hit") | ~F.col("__any")).drop("__cited", "__hit", "__any")
+    return out.withColumn("__hit", hit).withColumn("__any", F.max("__hit").over(by_query())).where(F.col("__hit") | ~F.col("__any")).drop("__cited", "__hit", "__any")
 
 
 def category_check(answers: DataFrame, docs: DataFrame) -> DataFrame:

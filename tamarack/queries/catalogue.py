@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tamarack.queries import conversation, knowledge, retrieval  # noqa: F401
+from tamarack.queries.registry import QUERIES, SQL
+
 FLAGSHIP = "hybrid_retrieval"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
