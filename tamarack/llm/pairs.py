@@ -283,7 +283,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     defects.append("copy")
                 if is_refusal(text):
                     defects.append("refusal")
-                if ql[0] and al[0] and len(tokens(text)) >= 3:
+                if ql[0] and al[0] and len(tokens(text)) >= 3 and len(tokens(q)) >= 2:
                     theirs, own = {x for x, _ in ql[0]}, al[0][0][0]
                     unsure = len(ql[0]) == 1 and ql[0][0][1] < 0.98 and {own, ql[0][0][0]} <= {"ru", "uk", "be"}
                     if own not in theirs and not unsure and al[0][0][1] >= 0.6 and own not in asked_languages(q or ""):
