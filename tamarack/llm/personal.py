@@ -273,7 +273,7 @@ def labelled_sentences() -> list[tuple[str, list[tuple[int, int, str]]]]:
     return [marked(line) for line in text.split("\n") if line.strip()]
 
 
-def train(table: Sequence[tuple[str, list[tuple[int, int, str]]]], epochs: int = 14, batch: int = 128, rate: float = 0.08, decay: float = 2e-4, seed: int = 1) -> Field:
+def train(table: Sequence[tuple[str, list[tuple[int, int, str]]]], epochs: int = 16, batch: int = 128, rate: float = 0.08, decay: float = 2e-4, seed: int = 1, least_word: int = 15, least_affix: int = 8) -> Field:
     """Maximum likelihood by Adam steps over batches of sentences."""
     vocabulary = Vocabulary()
     data = []
@@ -300,7 +300,7 @@ def train(table: Sequence[tuple[str, list[tuple[int, int, str]]]], epochs: int =
     for t, fs in enumerate(per_type):
         for f in fs:
             weight[f] = weight.get(f, 0) + int(used[t])
-    features = {f: i for i, f in enumerate(sorted(f for f, c in weight.items() if c >= 3))}
+    features = {f: i for i, f in enumerate(sorted(f for f, c in weight.items() if c >= (least_word if f.startswith("w=") and f[2].isalpha() else least_affix if f[:2] in ("e4", "b3", "e3") else 3)))}
     longest = max(map(len, per_type))
     nothing = len(features)
     at = np.full((len(per_type) + 1, longest), nothing)
