@@ -52,10 +52,8 @@ def tag_reranked(docs: DataFrame, factor: float = 0.3, score: str = "score", tag
 
 def guarded(docs: DataFrame, focus: str = "focus", content: str = "content", topic: str = "topic") -> DataFrame:
     """For questions about housing without chunks that speak of food only; if none were left all stay."""
-    low = F.lower(F.coalesce(F.col(content), F.lit("")))
-    food = K.contains_any(low, K.X.FOCUS["food"])
-    housing = K.contains_any(low, K.X.FOCUS["housing"]) | (F.coalesce(F.col(topic), F.lit("")) == "housing")
-    drop = (F.col(focus) == "housing") & food & ~housing
+    food_only = K.bound(F.lower(F.coalesce(F.col(content), F.lit(""))), lambda low: K.contains_any(low, K.X.FOCUS["food"]) & ~K.contains_any(low, K.X.FOCUS["housing"]))
+    drop = (F.col(focus) == "housing") & food_only & (F.coalesce(F.col(topic), F.lit("")) != "housing")
     out = docs.withColumn("__drop", F.coalesce(drop, F.lit(False)))
     left = F.count_if(~F.col("__drop")).over(by_query())
     return out.withColumn("__left", left).where(~F.col("__drop") | (F.col("__left") == 0)).drop("__drop", "__left")
