@@ -254,7 +254,7 @@ def tail(text: str) -> list[str] | None:
 
 
 #: Numbers of tokens by whose endings an open answer is judged; the longest that the corpus knows decides.
-CONTEXTS = (2, 3, 4)
+CONTEXTS = (2, 3, 4, 6)
 #: A context must have been met so often.
 KNOWN = 3
 
