@@ -239,8 +239,10 @@ def nearest(
                 x = _unit(raw)
                 near, on = place(x, c)
                 home = near[:, 0]
-                code = pack(quant.codes(x - c[home], x))
                 keep = np.flatnonzero(stored)
+                code = np.zeros((len(x), -(-quant.m // 2)), np.uint8)
+                if len(keep):
+                    code[keep] = pack(quant.codes((x - c[home])[keep], x[keep]))
                 rep = np.repeat(keep, per[home[keep]])
                 nth = np.concatenate([np.arange(v) for v in per[home[keep]]]) if len(keep) else np.zeros(0, np.int64)
                 q, j = np.nonzero(on & asks[:, None])
@@ -254,8 +256,12 @@ def nearest(
                 codes = pa.compute.if_else(pa.array(kind == 0), codes, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(block_no), pa.array(kind), pa.array(ids[at]), vec, codes], names=["cell", "block", "kind", "id", "vec", "code"])
 
+    # the limit on the rank is applied before and after the exchange, so a vector that a third of all rows share is no large group
+    unique = base.dropDuplicates(["id"])
     copies = Window.partitionBy("vec").orderBy("id")
-    placed = base.withColumn("__n", F.row_number().over(copies)).select("id", "vec", "asks", (F.col("__n") <= 2 * (k + 1)).alias("stored"))
+    first = unique.withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k + 1)
+    yes, no = F.lit(True), F.lit(False)
+    placed = first.select("id", "vec", no.alias("asks"), yes.alias("stored")).unionByName(unique.where("asks").select("id", "vec", "asks", no.alias("stored")))
     placed = placed.mapInArrow(assigned, "cell long, block long, kind byte, id long, vec binary, code binary")
     placed = placed.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
 
