@@ -25,11 +25,17 @@ def tag_annotation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(K.tags(F.col("text")), ",").alias("tags"))
 
 
-@query("SELECT md5(string_agg(md5(coalesce(text, '')), '' ORDER BY doc_id)) hash, count(*) n_files FROM documents")
+@query("SELECT md5(string_agg(md5(coalesce(url, '')), '' ORDER BY file NULLS FIRST, md5(coalesce(url, '')))) hash, count(*) n_files FROM (SELECT DISTINCT file, url FROM sources)")
 def kb_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One hash over all files, as a knowledge base's change detection needs it."""
-    files = table(spark, d, "documents").select(F.lit("md").alias("kind"), F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
-    return C.fingerprint(files)
+    """One hash over a register of files, as a knowledge base's change detection needs it."""
+    files = table(spark, d, "sources").select("file", "url").distinct()
+    return C.fingerprint(files.select(F.lit("md").alias("kind"), F.col("file").alias("path"), F.coalesce("url", F.lit("")).alias("content")))
+
+
+@query("SELECT CAST(sum(CAST(('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), 1, 7)) AS BIGINT)) AS BIGINT) hash, count(*) n FROM documents")
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """C22 for corpora: a fingerprint of constant size."""
+    return C.corpus_fingerprint(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT substr(md5(text), 1, 8) hash, min(doc_id) doc_id, count(*) n FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -115,3 +115,12 @@ def test_days_until(spark):
     df = spark.createDataFrame([(datetime(2025, 1, 10),), (datetime(2025, 1, 11),), (datetime(2025, 1, 18),), (datetime(2025, 3, 1),), (None,)], "t timestamp")
     got = [tuple(r["x"]) for r in df.select(A.days_until(F.col("t"), F.lit(now)).alias("x")).collect()]
     assert got == [(-1, "expired"), (0, "today"), (7, "urgent"), (49, "ok"), (None, "error")]
+
+
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=5000), np.repeat([1.0, 2.0, 3.0], 700), np.arange(1000.0), np.asarray([4.0]), np.asarray([])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        for p in (0.0, 0.5, 0.95, 1.0):
+            got = A.exact_percentile(df, F.col("v"), p, most=40)
+            assert (got is None) if not len(x) else abs(got - np.percentile(x, p * 100)) < 1e-9
