@@ -179,5 +179,14 @@ UNION SELECT 'child', key, pos FROM (SELECT CAST(parent_id AS VARCHAR) key, unne
 """
 
 
+P3_SQL = """
+WITH v AS (SELECT DISTINCT ON (id) id, CAST(embedding AS DOUBLE[]) e FROM simple_documents
+  WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+c AS (SELECT a.id x, b.id y, round(list_cosine_similarity(a.e, b.e), 9) s FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT x, y, s, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) r FROM c WHERE s >= 0.9)
+SELECT DISTINCT least(x, y) id_a, greatest(x, y) id_b FROM t WHERE r <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
