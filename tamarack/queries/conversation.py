@@ -172,7 +172,7 @@ def feedback_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT coalesce(cache_hit, false) cached, count(*) n, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY t_total), 6) p95 FROM {_L} WHERE t_total >= 0 GROUP BY 1")
-def p95_latency(spark: SparkSession, d: str) -> DataFrame:
+def latency_p95(spark: SparkSession, d: str) -> DataFrame:
     """95th percentile by cache use."""
     rows = logs(spark, d).withColumn("cached", F.coalesce("cache_hit", F.lit(False)))
     return A.latency_by(rows, "cached").withColumn("p95", F.round("p95", 6))
