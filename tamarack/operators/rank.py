@@ -50,10 +50,14 @@ def tag_reranked(docs: DataFrame, factor: float = 0.3, score: str = "score", tag
     return docs.withColumn("adjusted", adjusted).withColumn("rank", F.row_number().over(by_query().orderBy(F.col("adjusted").desc(), "pos")))
 
 
-def guarded(docs: DataFrame, focus: str = "focus", content: str = "content", topic: str = "topic") -> DataFrame:
-    """For questions about housing without chunks that speak of food only; if none were left all stay."""
-    food_only = K.bound(F.lower(F.coalesce(F.col(content), F.lit(""))), lambda low: K.contains_any(low, K.X.FOCUS["food"]) & ~K.contains_any(low, K.X.FOCUS["housing"]))
-    drop = (F.col(focus) == "housing") & food_only & (F.coalesce(F.col(topic), F.lit("")) != "housing")
+def food_only(content: Column) -> Column:
+    """Whether a text speaks of food and not of housing."""
+    return K.bound(F.lower(F.coalesce(content, F.lit(""))), lambda low: K.contains_any(low, K.X.FOCUS["food"]) & ~K.contains_any(low, K.X.FOCUS["housing"]))
+
+
+def guarded(docs: DataFrame, focus: str = "focus", content: str = "content", topic: str = "topic", food: str | None = None) -> DataFrame:
+    """For questions about housing without chunks that speak of food only (known from column food, if given); if none were left all stay."""
+    drop = (F.col(focus) == "housing") & (F.col(food) if food else food_only(F.col(content))) & (F.coalesce(F.col(topic), F.lit("")) != "housing")
     out = docs.withColumn("__drop", F.coalesce(drop, F.lit(False)))
     left = F.count_if(~F.col("__drop")).over(by_query())
     return out.withColumn("__left", left).where(~F.col("__drop") | (F.col("__left") == 0)).drop("__drop", "__left")

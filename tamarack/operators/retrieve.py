@@ -8,6 +8,7 @@ computed per Arrow batch by one matrix product, each batch passes on its k best
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,17 @@ def top_k_batched(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return ranked(base.mapInArrow(best, "query_id long, id long, score double"), k)
 
 
+def top_k_blocks(chunks: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", max_queries: int = MAX_QUERIES, **options) -> DataFrame:
+    """top_k_batched for any number of queries, in blocks of at most max_queries by their ids; each block is one scan of chunks.
+
+    The ids reach the driver, eight bytes a query; they are unique.
+    """
+    ids = np.sort(np.asarray([r[0] for r in queries.select(F.col(query_id).cast("long")).collect()], dtype=np.int64))
+    bounds = [(int(ids[a]), int(ids[min(a + max_queries, len(ids)) - 1])) for a in range(0, len(ids), max_queries)]
+    blocks = [queries.where(F.col(query_id).between(a, b)) for a, b in bounds] or [queries]
+    return reduce(DataFrame.unionAll, [top_k_batched(chunks, q, k, query_id=query_id, max_queries=max_queries, **options) for q in blocks])
+
+
 def merged_subqueries(found: DataFrame, k: int, query_id: str = "query_id", sub: str = "sub", rank: str = "rank", content: str = "content") -> DataFrame:
     """Results of sub-queries in their order, first of those alike in their first 200 characters, cut to k."""
     key = F.substring(F.col(content), 1, 200)

@@ -24,6 +24,7 @@ class State:
     chunks: DataFrame  # id, content, embedding, title, section_path, source_url, source, topic, entity_type, tags, valid_for
     docs: DataFrame | None = None  # query_id, pos, ... of what was found
     context: DataFrame | None = None
+    index: DataFrame | None = None  # id, embedding, where these are kept apart from the chunks
     timings: dict = field(default_factory=dict)
 
 
@@ -37,9 +38,10 @@ def route(state: State) -> State:
 
 def retrieve(k: int, dims: int = 64) -> Step:
     def step(state: State) -> State:
-        found = R.top_k_batched(state.chunks, state.queries, k, dims=dims)
-        # at most k rows a query: the side that is looked up in the chunk table
-        docs = found.join(state.chunks.drop("embedding"), "id").withColumnRenamed("rank", "pos")
+        found = R.top_k_blocks(state.index or state.chunks, state.queries, k, dims=dims)
+        # at most k rows a query: the side that is looked up in the chunk table; what only the context shows joins when it is built
+        light = state.chunks.select("id", "tags", "topic", G.food_only(F.col("content")).alias("food_only"))
+        docs = found.join(light, "id").withColumnRenamed("rank", "pos")
         own = state.queries.select("query_id", *[c for c in ("focus", "query_tags") if c in state.queries.columns])
         return replace(state, docs=docs.join(own, "query_id"))
 
@@ -59,11 +61,12 @@ def rerank(k: int) -> Step:
 
 
 def guard(state: State) -> State:
-    return replace(state, docs=G.guarded(state.docs))
+    return replace(state, docs=G.guarded(state.docs, food="food_only"))
 
 
 def build(state: State) -> State:
-    return replace(state, context=G.numbered_context(state.docs))
+    shown = state.chunks.select("id", "content", "title", "section_path", "source_url", "source", "valid_for")
+    return replace(state, context=G.numbered_context(state.docs.select("query_id", "id", "pos").join(shown, "id")))
 
 
 def run(state: State, steps: Sequence[tuple[str, Step]]) -> State:

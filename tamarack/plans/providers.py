@@ -46,3 +46,14 @@ def embedded(rows: DataFrame, provider: Provider, text: str = "text", out: str =
     own = rows.select(F.col(text).alias("__text")).where(F.length(F.trim(text)) > 0).distinct()
     vectors = own.mapInPandas(run, f"__text string, `{out}` array<float>")
     return rows.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text").withColumn(out, F.coalesce(out, F.array().cast("array<float>")))
+
+
+def index_of(rows: DataFrame, provider: Provider, key: str = "id", text: str = "content", out: str = "embedding") -> DataFrame:
+    """(key, embedding) of each row with a text that isn't blank, text by text: for tables too large to gather equal texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], out: provider.embed(f["__text"].tolist())})
+
+    own = rows.select(key, F.col(text).alias("__text")).where(F.length(F.trim("__text")) > 0)
+    return own.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, `{out}` array<float>")

@@ -11,7 +11,7 @@ from tamarack.operators import rank as G
 from tamarack.operators import retrieve as R
 from tamarack.operators.chunk import vector_dims
 from tamarack.queries.registry import query
-from tamarack.session import table
+from tamarack.session import cut, table
 
 ASKED = 10
 _COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -278,11 +278,12 @@ def guardrail_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
-    """The default preset over a batch of questions."""
+    """The default preset over all questions of feedback; questions and chunks are embedded by the same offline model."""
     from tamarack.plans import pipeline as P
+    from tamarack.plans.providers import Offline, embedded, index_of
 
-    docs = usable(chunks(spark, d))
+    docs, model = chunks(spark, d).drop("embedding"), Offline()
     asked = table(spark, d, "feedback").dropDuplicates(["id"]).where("question is not null").select(F.xxhash64("id").alias("query_id"), "question")
-    asked = asked.orderBy("query_id").limit(20)  # a batch of twenty questions
-    spread = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i.cast("double") * F.pmod("query_id", F.lit(97)).cast("double") + 1.0))
-    return P.run(P.State(asked.withColumn("query_vector", spread), docs), P.preset("default")).context
+    # both are read once a block of questions
+    asked, index = cut(embedded(asked, model, "question", "query_vector")), cut(index_of(docs, model))
+    return P.run(P.State(asked, docs, index=index), P.preset("default")).context
