@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tamarack.functions import vectors as V
 from tamarack.operators import rank as G
 from tamarack.operators import retrieve as R
 from tamarack.operators.chunk import vector_dims
-from tamarack.queries.registry import query
+from tamarack.queries.registry import SQL, query
 from tamarack.session import cut, table
 
 ASKED = 10
@@ -175,6 +177,20 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LISTED = f"""(SELECT * FROM (SELECT x.*, x.metadata.source query_id, row_number() OVER (PARTITION BY x.metadata.source ORDER BY id) pos FROM {_DOCS} x WHERE x.metadata.source IS NOT NULL) WHERE pos <= 8)"""
+
+
+def _covering(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks as result lists of up to eight: those of a file by id, chunks without a file as one more file."""
+    docs = chunks(spark, d).drop("embedding")
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
+    name = F.concat(F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source")), F.lit("#"), F.floor(pos / 8).cast("string"))
+    return docs.withColumn("query_id", name).withColumn("pos", pos % 8 + 1)
+
+
+_COVERING = f"""(SELECT * REPLACE (pos % 8 + 1 AS pos), CASE WHEN query_source IS NULL THEN '-' ELSE '=' || query_source END || '#' || (pos // 8) query_id
+ FROM (SELECT x.*, x.metadata.source query_source, row_number() OVER (PARTITION BY x.metadata.source ORDER BY id) - 1 pos FROM {_DOCS} x))"""
+
+
 _KEY = "coalesce(nullif(l.metadata.source_url, ''), nullif(l.metadata.source, ''), '')"
 
 
@@ -183,27 +199,27 @@ _KEY = "coalesce(nullif(l.metadata.source_url, ''), nullif(l.metadata.source, ''
 s AS (SELECT *, sum(CASE WHEN n = 1 OR k = '' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) no FROM f)
 SELECT query_id, CAST(pos AS INTEGER) pos, CAST(CASE WHEN k = '' THEN max(no) OVER (PARTITION BY query_id, k) ELSE min(no) FILTER (WHERE n = 1) OVER (PARTITION BY query_id, k) END AS BIGINT) number FROM s"""
 )
-def source_numbering(spark: SparkSession, d: str) -> DataFrame:
+def source_numbering(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """Numbers of sources by first sight."""
-    return G.numbered_sources(_listed(spark, d)).select("query_id", "pos", "number")
+    return G.numbered_sources(lists_of(spark, d)).select("query_id", "pos", "number")
 
 
 @query()
 def numbered_context(spark: SparkSession, d: str) -> DataFrame:
     """Contexts with numbered blocks."""
-    return G.numbered_context(_listed(spark, d))
+    return G.numbered_context(_covering(spark, d))
 
 
 @query()
 def attributed_context(spark: SparkSession, d: str) -> DataFrame:
     """Contexts with named sources."""
-    return G.attributed_context(_listed(spark, d))
+    return G.attributed_context(_covering(spark, d))
 
 
 @query()
 def sources_list(spark: SparkSession, d: str) -> DataFrame:
     """Addresses of the sources of each list."""
-    return G.sources_list(_listed(spark, d))
+    return G.sources_list(_covering(spark, d))
 
 
 def _responses(lists: DataFrame) -> DataFrame:
@@ -219,9 +235,9 @@ def _responses(lists: DataFrame) -> DataFrame:
     f"""WITH l AS (SELECT query_id, id, pos, count(*) OVER (PARTITION BY query_id) n, length(query_id) h FROM {_LISTED} l)
 SELECT query_id, id FROM l WHERE h % 7 = 0 OR (h % 7 = 1 AND n <> 1) OR (h % 7 = 1 AND n = 1) OR ((pos * 7 + h) % 3) % 2 = 1"""
 )
-def grade_filter(spark: SparkSession, d: str) -> DataFrame:
+def grade_filter(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """Chunks graded 1; unusable grades keep all."""
-    lists = _listed(spark, d)
+    lists = lists_of(spark, d)
     return G.graded(lists, _responses(lists)).select("query_id", "id")
 
 
@@ -230,9 +246,9 @@ def grade_filter(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, CASE WHEN h % 7 > 1 AND n > 4 THEN ((pos * 7 + h) % 3) % 2 ELSE 0 END g FROM l)
 SELECT query_id, id, CAST(r AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, pos) r FROM s) WHERE r <= 4"""
 )
-def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+def rerank_topk(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """The four chunks of highest score, ties in order."""
-    lists = _listed(spark, d)
+    lists = lists_of(spark, d)
     return G.reranked_by_scores(lists, _responses(lists), 4).select("query_id", "id", "rank")
 
 
@@ -241,9 +257,9 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY r) rank FROM r), a AS (SELECT query_id, id, rank FROM k UNION ALL SELECT query_id, id, pos FROM l WHERE query_id NOT IN (SELECT query_id FROM k))
 SELECT query_id, id, CAST(rank AS INTEGER) rank FROM a WHERE rank <= 3"""
 )
-def rerank_by_index(spark: SparkSession, d: str) -> DataFrame:
+def rerank_by_index(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """Chunks in the order of an index list with repeats and indexes out of range."""
-    lists = _listed(spark, d)
+    lists = lists_of(spark, d)
     own = lists.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     results = own.where("pos % 2 = 0").select("query_id", (F.col("n") - F.col("pos") + 1).alias("ord"), (F.col("pos") - 1).alias("index"))
     odd = own.where("pos = 1").select("query_id", F.lit(0).cast("long").alias("ord"), F.lit(99).alias("index"))
@@ -256,9 +272,9 @@ def rerank_by_index(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, 0.5 * (1 + CASE WHEN c > 0 THEN least(c / 2.0, 0.5) ELSE 0 END * 0.3) a FROM b)
 SELECT query_id, id, round(a, 6) adjusted, CAST(row_number() OVER (PARTITION BY query_id ORDER BY a DESC, pos) AS INTEGER) rank FROM s"""
 )
-def tag_boost_rerank(spark: SparkSession, d: str) -> DataFrame:
+def tag_boost_rerank(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """Order by overlap of tags."""
-    lists = _listed(spark, d).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("score", F.lit(0.5))
+    lists = lists_of(spark, d).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("score", F.lit(0.5))
     lists = lists.withColumn("query_tags", F.array(F.lit("admission:documents"), F.lit("visa:residence")))
     return G.tag_reranked(lists).select("query_id", "id", F.round("adjusted", 6).alias("adjusted"), "rank")
 
@@ -271,9 +287,24 @@ _HOUSE = "|".join(K.X.FOCUS["housing"])
     f"""WITH l AS (SELECT query_id, id, coalesce(regexp_matches(lower(content), '{_FOOD}'), false) AND NOT (coalesce(regexp_matches(lower(content), '{_HOUSE}'), false) OR coalesce(l.metadata.topic, '') = 'housing') x FROM {_LISTED} l)
 SELECT query_id, id FROM (SELECT *, count(*) FILTER (WHERE NOT x) OVER (PARTITION BY query_id) k FROM l) WHERE NOT x OR k = 0"""
 )
-def guardrail_filter(spark: SparkSession, d: str) -> DataFrame:
+def guardrail_filter(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
     """Questions about housing without chunks on food only."""
-    return G.guarded(_listed(spark, d).withColumn("focus", F.lit("housing"))).select("query_id", "id")
+    return G.guarded(lists_of(spark, d).withColumn("focus", F.lit("housing"))).select("query_id", "id")
+
+
+def _over_all(f) -> None:
+    """Registers f_all: f over the lists that hold every chunk. f itself keeps the first eight chunks of a file, as its SQL does."""
+
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d, _covering)
+
+    run.__name__ = f"{f.__name__}_all"
+    query(SQL[f.__name__].replace(_LISTED, _COVERING))(run)
+
+
+for _f in (source_numbering, grade_filter, rerank_topk, rerank_by_index, tag_boost_rerank, guardrail_filter):
+    _over_all(_f)
 
 
 @query()

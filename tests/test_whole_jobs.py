@@ -37,3 +37,18 @@ def test_blocks_of_queries_give_what_one_batch_gives(spark):
     one = sorted(map(tuple, R.top_k_batched(rows, asked, 4, dims=8).collect()))
     assert sorted(map(tuple, R.top_k_blocks(rows, asked, 4, dims=8, max_queries=5).collect())) == one and len(one) == 14 * 4
     assert R.top_k_blocks(rows, asked.limit(0), 4, dims=8).count() == 0
+
+
+@needs_tables
+def test_lists_hold_every_chunk(spark):
+    docs = spark.read.parquet(f"{SF}/simple_documents.parquet").dropDuplicates(["id"])
+    n = docs.count()
+    found, q = {}, catalogue.queries()
+    for name in ("source_numbering_all", "tag_boost_rerank_all"):
+        found[name] = q[name](spark, SF)
+        assert found[name].count() == n
+    assert found["tag_boost_rerank_all"].select("id").distinct().count() == n
+    assert found["source_numbering_all"].groupBy("query_id").count().agg(F.max("count")).first()[0] <= 8
+    # one block for each chunk: the blocks of all contexts hold all contents
+    contexts = q["attributed_context"](spark, SF)
+    assert contexts.agg(F.sum(F.size(F.split("context", r"\[Источник: ")) - 1)).first()[0] >= n
