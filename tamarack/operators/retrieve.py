@@ -169,7 +169,7 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = 0.97
 
     entries: the cache (entry_id in order of age, vector), bounded by its own size limit, is the batch side of the search.
     """
-    found = top_k_batched(entries, queries, 1, id_col="entry_id", vector="vector", dims=dims)
+    found = top_k_blocks(entries, queries, 1, id_col="entry_id", vector="vector", dims=dims)
     return found.select("query_id", F.col("id").alias("entry_id"), F.round(F.lit(1.0) - F.col("score"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 

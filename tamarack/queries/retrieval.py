@@ -307,6 +307,58 @@ for _f in (source_numbering, grade_filter, rerank_topk, rerank_by_index, tag_boo
     _over_all(_f)
 
 
+# The searches over the stated query set, every row with an id divisible by 20, next to those whose SQL names the first ids.
+EVERY = 20
+_EVERY = f"q.vec_id % {EVERY} = 0"
+
+
+def every_query(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(SQL["vector_topk_batched"].replace(f"q.vec_id < {ASKED}", _EVERY))
+def vector_topk_batched_every(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest vectors for each query of the query set."""
+    rows = vectors(spark, d)
+    return R.top_k_blocks(rows, every_query(rows), 5).withColumn("score", F.round("score", 6))
+
+
+@query(SQL["vector_topk_hundred"].replace("q.vec_id < 100", _EVERY))
+def vector_topk_hundred_every(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest vectors for each query of the query set."""
+    rows = vectors(spark, d)
+    return R.top_k_blocks(rows, every_query(rows), 10).withColumn("score", F.round("score", 6))
+
+
+@query(SQL["hybrid_boosted_topk"].replace(f"q.vec_id < {ASKED}", _EVERY))
+def hybrid_boosted_topk_every(spark: SparkSession, d: str) -> DataFrame:
+    """Distance with boosts, for each query of the query set."""
+    rows = vectors(spark, d)
+    boost = R.fact_boost(F.col("label") % 2 == 0, F.lit(0.8), F.lit(0.2)) + F.when(F.col("label") == 3, R.HOUSING_BOOST).otherwise(0.0)
+    return R.top_k_blocks(rows.withColumn("boost", boost), every_query(rows), 5, boost="boost").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH r AS (SELECT q.vec_id // {3 * EVERY} query_id, q.vec_id sub, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) rank FROM embeddings e, embeddings q WHERE {_EVERY}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub, rank) n FROM r WHERE rank <= 3)
+SELECT query_id, id, CAST(position AS INTEGER) position FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank) position FROM f WHERE n = 1) WHERE position <= 6"""
+)
+def decomposed_merge_every(spark: SparkSession, d: str) -> DataFrame:
+    """The query set as sub-queries, three a question; first of equal results, cut to six."""
+    rows = vectors(spark, d)
+    found = R.top_k_blocks(rows, every_query(rows), R.per_subquery_k(6, 3))
+    found = found.select(F.floor(F.col("query_id") / (3 * EVERY)).alias("query_id"), F.col("query_id").alias("sub"), "rank", "id", F.col("id").cast("string").alias("content"))
+    return R.merged_subqueries(found, 6).select("query_id", "id", "position")
+
+
+@query(SQL["semantic_cache_lookup"].replace(" AND q.vec_id < 400", ""))
+def semantic_cache_lookup_every(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest of the 128 cache entries for all other rows."""
+    rows = vectors(spark, d)
+    entries = rows.where("id < 128").select(F.col("id").alias("entry_id"), F.col("embedding").alias("vector"))
+    return R.cache_lookup(rows.where("id >= 128").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), entries, 0.3)
+
+
 @query()
 def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
     """The default preset over all questions of feedback; questions and chunks are embedded by the same offline model."""

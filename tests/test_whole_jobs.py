@@ -52,3 +52,14 @@ def test_lists_hold_every_chunk(spark):
     # one block for each chunk: the blocks of all contexts hold all contents
     contexts = q["attributed_context"](spark, SF)
     assert contexts.agg(F.sum(F.size(F.split("context", r"\[Источник: ")) - 1)).first()[0] >= n
+
+
+@needs_tables
+def test_searches_ask_the_whole_query_set(spark):
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    every, q = {i for i in ids if i % 20 == 0}, catalogue.queries()
+    for name, k in (("vector_topk_batched_every", 5), ("vector_topk_hundred_every", 10), ("hybrid_boosted_topk_every", 5)):
+        rows = q[name](spark, SF).select("query_id").collect()
+        assert {r[0] for r in rows} == every and len(rows) == k * len(every)
+    assert {r[0] for r in q["decomposed_merge_every"](spark, SF).select("query_id").collect()} == {i // 60 for i in every}
+    assert max(r[0] for r in q["semantic_cache_lookup_every"](spark, SF).select("query_id").collect()) >= 400
