@@ -26,6 +26,9 @@ SECTIONS = {
     "tariffs": "tuition_tariff",
     "exemptions": "tuition_exemption",
 }
+GENERAL = ("city", "website", "students_count", "founded", "description")
+QUOTA_SKIPPED = ("source_url", "last_verified", "distribution_process", "quota_determination")
+OEH = 25.2  # fee of the students' union where a tariff states none
 
 
 def shown(value) -> str:
@@ -47,22 +50,39 @@ def flattened(value: dict, prefix: str = "") -> dict:
     return out
 
 
+def general_info(content: dict, name: str) -> dict:
+    """What a university file says of the university itself."""
+    lines = [f"{name} — general_info"] + [f"{k}: {shown(content[k])}" for k in GENERAL if content.get(k)]
+    return {"fact_type": "general_info", "fact_key": "", "content": "\n".join(lines), "source_url": content.get("website"), "semester": None, "valid_for": None}
+
+
 def facts_of(content: dict) -> list[dict]:
-    """Facts of a file: type, key, text, address, semester and stated year. Shapes that don't fit are passed over."""
-    name = next((str(content[k]) for k in ("name_de", "name_en", "name_ru", "name", "id") if content.get(k)), "")
-    out = []
+    """Facts of a file: type, key, text, address, semester and stated year. Shapes that don't fit are passed over.
+
+    A file whose name is a mapping of languages is that of a university and has one fact of general information.
+    """
+    names = content["name"] if isinstance(content.get("name"), dict) else {}
+    stated = [content.get(k) for k in ("name_de", "name_en", "name_ru")] + [names.get(k) for k in ("de", "en", "ru")] + [None if names else content.get("name"), content.get("id")]
+    name = next((str(v) for v in stated if v), "")
+    out = [general_info(content, name)] if names else []
     for section, kind in SECTIONS.items():
         value = content.get(section)
         if isinstance(value, list):
             entries = [(str(i), v) for i, v in enumerate(value)]
+        elif kind == "key_dates" and isinstance(value, dict):
+            entries = [("", value)]
+        elif kind == "language_requirement" and isinstance(value, dict) and names:
+            entries = [(k, value[k]) for k in ("german", "english") if k in value]
         elif isinstance(value, dict):
             entries = list(value.items()) if any(isinstance(v, (dict, list)) for v in value.values()) else [("", value)]
         else:
             continue
         for key, entry in entries:
             for i, one in enumerate(entry if isinstance(entry, list) else [entry]):
-                if not isinstance(one, dict):
+                if not isinstance(one, dict) or (kind == "quota" and key in QUOTA_SKIPPED):
                     continue
+                if kind == "tuition_tariff" and "total" not in one:
+                    one = one | {"total": round((one.get("studienbeitrag") or 0) + (one.get("oeh_beitrag") or OEH), 2)}
                 lines = [f"{name} — {kind}" + (f" — {key}" if key and not key.isdigit() else "")] + [f"{k}: {shown(v)}" for k, v in flattened(one).items() if v is not None and k not in ("source_url", "valid_for", "last_verified")]
                 out.append({"fact_type": kind, "fact_key": f"{key}.{i}" if isinstance(entry, list) else str(key), "content": "\n".join(lines), "source_url": one.get("source_url"), "semester": one.get("semester") or ("WS2026/27" if kind == "key_dates" else None), "valid_for": one.get("valid_for")})
     return [{k: None if v is None else str(v) for k, v in f.items()} for f in out]
