@@ -1,7 +1,7 @@
 """Question pipelines as chains of DataFrame steps, and the three presets.
 
-A state holds the questions (one row per query) and the chunks found for them. Steps are functions of the state; stopped
-queries are kept apart by their stop column, so every step is one plan over all queries.
+A state holds the questions (one row per query) and the chunks found for them. Steps are functions of the state, so every step
+is one plan over all queries. The presets end at the context, and no query is stopped early: README lists the steps they lack.
 """
 
 from __future__ import annotations
