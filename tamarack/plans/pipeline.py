@@ -57,7 +57,8 @@ def tag_rerank(factor: float) -> Step:
 
 
 def rerank(k: int) -> Step:
-    return lambda state: replace(state, docs=state.docs.where(F.col("pos") <= k))
+    """The first k of what is left: positions have gaps where the guard took chunks out."""
+    return lambda state: replace(state, docs=state.docs.withColumn("pos", F.row_number().over(G.by_query().orderBy("pos"))).where(F.col("pos") <= k))
 
 
 def guard(state: State) -> State:

@@ -63,3 +63,9 @@ def test_searches_ask_the_whole_query_set(spark):
         assert {r[0] for r in rows} == every and len(rows) == k * len(every)
     assert {r[0] for r in q["decomposed_merge_every"](spark, SF).select("query_id").collect()} == {i // 60 for i in every}
     assert max(r[0] for r in q["semantic_cache_lookup_every"](spark, SF).select("query_id").collect()) >= 400
+
+
+def test_rerank_counts_what_the_guard_left(spark):
+    docs = spark.createDataFrame([(1, 7), (1, 9), (2, 1), (2, 8)], "query_id int, pos int")
+    got = P.rerank(6)(P.State(None, None, docs=docs)).docs.collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2)]
