@@ -1,12 +1,15 @@
 """Rebuilding conversations from message rows.
 
-Each account's rows form a reply graph: a bot row replies to the nearest user row before it, a row follows the nearest
-earlier row of its own side, and where the data names the message replied to (reply_to) that edge is added. Kahn's algorithm
-sorts every block of the graph topologically, ties going to (created_at, rank of the role, id); nodes left over lie on a
-cycle, and their conversation is broken.
+Each conversation's rows form a reply graph: a bot row replies to the nearest user row before it, a row follows the nearest
+earlier row of its own side, and where the data names the message replied to (reply_to) that edge is added, if both rows are in
+the same conversation. Kahn's algorithm sorts the graph topologically, ties going to (created_at, rank of the role, id); nodes
+left over lie on a cycle or behind one, and their conversation is broken. A named reply that stands longer than skew_seconds
+before what it replies to, in one conversation, is no matter of clocks: that conversation is broken too.
 
 No account is ever gathered in one task. A block is an account's rows within block_seconds (an hour), which is at least the
-gap that parts conversations, so a block holds few conversations however many rows the account has. Blocks are cut into
+gap that parts conversations, so a block holds few conversations however many rows the account has. Edges that follow the order of
+time are met by keeping the blocks in order; only an edge against it can reach over blocks and matter. The few of these are found
+by one equi-join on (account, id), and the blocks between their ends become one (at most skew_seconds long). Blocks are cut into
 segments at the gaps; a segment is reduced to a fixed-size summary (first and last turn, counts), and only the segments -
 at most one per gap length and account, bounded by the calendar and not by the rows - are put in order per account to join
 those that continue across blocks. Whether a conversation is dropped follows from its segments' summaries.
@@ -16,9 +19,10 @@ than gap_seconds. Reasons to drop, first that holds: empty (no turn that isn't b
 usable role, the first such turn is the bot's, or a reply cycle), missing_reply (the last such turn is the user's, or a bot
 row is blank).
 
-Defined results: rows with null account, time or id take no part; of rows with the same id the one loaded first counts;
-blank contents are null, white space or zero-width characters only; roles are compared without case and blanks around
-them; an empty table gives an empty result; extra columns are carried only by conversations().
+Defined results: rows with null account, time or id take no part; of rows with the same id the one loaded first counts, whatever
+the times and accounts of the others, and its text; a reply to a row that isn't there, or to itself, has no edge; blank contents
+are null, white space or zero-width characters only; roles are compared without case and blanks around them; an empty table gives
+an empty result; extra columns are carried only by conversations().
 """
 
 from __future__ import annotations
@@ -71,11 +75,10 @@ def kahn(keys: list[tuple], edges: list[tuple[int, int]]) -> tuple[list[int], li
     return order, [i for i in range(len(keys)) if i not in done] if len(done) < len(keys) else []
 
 
-def reply_edges(ranks: list[int], by_time: list[int], ids: list[str], reply_to: list[str | None] | None) -> list[tuple[int, int]]:
-    """Edges of a block: what a row follows of its own side, what a bot row replies to, and what the data says."""
+def reply_edges(ranks: list[int], ids: list[str], reply_to: list[str | None] | None) -> list[tuple[int, int]]:
+    """Edges of rows in order of time: what a row follows of its own side, what a bot row replies to, and what the data says."""
     edges, last = [], {}
-    for i in by_time:
-        r = ranks[i]
+    for i, r in enumerate(ranks):
         if r in last:
             edges.append((last[r], i))
         if r == BOT and USER in last:
@@ -83,44 +86,43 @@ def reply_edges(ranks: list[int], by_time: list[int], ids: list[str], reply_to:
         last[r] = i
     if reply_to is not None:
         at = {x: i for i, x in enumerate(ids)}
-        edges += [(at[p], i) for i, p in enumerate(reply_to) if p is not None and p in at]
+        edges += [(at[p], i) for i, p in enumerate(reply_to) if p in at and at[p] != i]
     return edges
 
 
-_ORDERED = "account long, block long, id string, at long, rank int, blank boolean, pos long, seg int, cyclic boolean"
+_ORDERED = "account long, block long, id string, at long, rank int, blank boolean, pos long, seg int, cyclic boolean, until long"
 
 
 def _ordered_blocks(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (account, block) come in; each block leaves in Kahn's order with its segments numbered."""
-
-    def out(rows: list[dict]) -> list[tuple]:
-        by_id = rows
-        ranks = [r["rank"] for r in by_id]
-        keys = [(r["at"], r["rank"], r["id"]) for r in by_id]
-        replies = [r["reply_to"] for r in by_id] if "reply_to" in by_id[0] else None
-        edges = reply_edges(ranks, sorted(range(len(keys)), key=keys.__getitem__), [r["id"] for r in by_id], replies)
-        order, left = kahn(keys, edges)
-        cyclic = set(left)
-        result, seg, before = [], 0, None
-        for pos, i in enumerate(order + sorted(left, key=keys.__getitem__)):
-            r = by_id[i]
-            if before is not None and r["at"] - before > gap:
-                seg += 1
-            before = r["at"] if before is None else max(before, r["at"])
-            result.append((r["account"], r["block"], r["id"], r["at"], r["rank"], r["blank"], pos, seg, i in cyclic))
+    """Rows sorted by (account, block) come in; each block leaves in Kahn's order, segment by segment."""
+
+    def out(rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda r: (r[3], r[4], r[2]))
+        result, seg, start = [], 0, 0
+        for end in range(1, len(rows) + 1):
+            if end < len(rows) and rows[end][3] - rows[end - 1][3] <= gap:
+                continue
+            part = rows[start:end]
+            edges = reply_edges([r[4] for r in part], [r[2] for r in part], [r[6] for r in part] if len(part[0]) > 6 else None)
+            order, left = kahn(list(range(len(part))), edges)
+            cyclic = set(left)
+            for pos, i in enumerate(order + left, start):
+                r = part[i]
+                result.append((*r[:6], pos, seg, i in cyclic, r[7] if len(r) > 7 else None))
+            seg, start = seg + 1, end
         return result
 
-    names = ["account", "block", "id", "at", "rank", "blank", "pos", "seg", "cyclic"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_()]
+    names = ["account", "block", "id", "at", "rank", "blank", "pos", "seg", "cyclic", "until"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)], names=names)
 
-    held: list[dict] = []
+    held: list[tuple] = []
     done: list[tuple] = []
     for b in batches:
-        for r in b.to_pylist():
-            if held and (held[-1]["account"], held[-1]["block"]) != (r["account"], r["block"]):
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[-1][:2] != r[:2]:
                 done += out(held)
                 held = []
                 if len(done) >= 20_000:
@@ -133,6 +135,37 @@ def _ordered_blocks(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.
         yield batch(done)
 
 
+def first_loaded(messages: DataFrame, account: str, id_col: str, role: str, content: str, created: str, loaded: str | None, more: Column | None = None) -> DataFrame:
+    """One narrow row per id: account, id, at, rank, blank and more, of the row loaded first."""
+    rows = messages.select(
+        F.col(account).cast("long").alias("account"),
+        F.col(id_col).cast("string").alias("id"),
+        F.unix_micros(F.col(created).cast("timestamp")).alias("at"),
+        role_rank(F.col(role)).alias("rank"),
+        is_blank(F.col(content)).alias("blank"),
+        (F.unix_micros(F.col(loaded).cast("timestamp")) if loaded else F.lit(0)).alias("__loaded"),
+        *([more] if more is not None else []),
+    ).where("account is not null and at is not null and id is not null")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.col("__loaded").asc_nulls_last(), "at", "account", "rank", "blank"))
+    return rows.withColumn("__n", first).where("__n = 1").drop("__n", "__loaded")
+
+
+def merged_blocks(rows: DataFrame, skew: int) -> DataFrame:
+    """rows with block set to the first of those that a reply against time ties together, and until: the time of a target too far ahead."""
+    target = rows.select("account", F.col("id").alias("reply_to"), F.col("at").alias("t_at"), F.col("block").alias("t_block"))
+    against = rows.where("reply_to is not null and reply_to <> id").select("account", "id", "at", "block", "reply_to").join(target, ["account", "reply_to"]).where("t_block > block")
+    near = F.col("t_at") - F.col("at") <= skew
+    reach = against.where(near).groupBy("account", "block").agg(F.max("t_block").alias("reach"))
+    by = Window.partitionBy("account").orderBy("block")
+    before = F.max("reach").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    reach = reach.withColumn("new", F.when(F.col("block") <= before, 0).otherwise(1)).withColumn("tie", F.sum("new").over(by))
+    ties = reach.groupBy("account", "tie").agg(F.min("block").alias("unit"), F.max("reach").alias("last"))
+    ties = ties.select("account", "unit", F.explode(F.sequence("unit", "last")).alias("block"))
+    far = against.where(~near).groupBy("id").agg(F.max("t_at").alias("until"))
+    out = rows.join(ties, ["account", "block"], "left").join(far, "id", "left")
+    return out.select("account", F.coalesce("unit", "block").alias("block"), "id", "at", "rank", "blank", "reply_to", "until")
+
+
 def ordered_rows(
     messages: DataFrame,
     account: str = "tg_id",
@@ -144,25 +177,16 @@ def ordered_rows(
     reply_to: str | None = None,
     gap_seconds: int = 1800,
     block_seconds: int = 3600,
+    skew_seconds: int = 86_400,
 ) -> DataFrame:
     """Every usable message in its place: block, segment and position within its account; no texts."""
     if block_seconds < gap_seconds:
         raise ValueError("block_seconds must be at least gap_seconds")
-    at = F.unix_micros(F.col(created).cast("timestamp"))
-    rows = messages.select(
-        F.col(account).cast("long").alias("account"),
-        F.col(id_col).cast("string").alias("id"),
-        at.alias("at"),
-        role_rank(F.col(role)).alias("rank"),
-        is_blank(F.col(content)).alias("blank"),
-        (F.unix_micros(F.col(loaded).cast("timestamp")) if loaded else F.lit(0)).alias("loaded"),
-        *([F.col(reply_to).cast("string").alias("reply_to")] if reply_to else []),
-    ).where("account is not null and at is not null and id is not null")
-    rows = rows.withColumn("block", F.floor(F.col("at") / F.lit(block_seconds * 1_000_000)).cast("long"))
-    # one exchange serves the removal of repeats and the blocks: both are keyed by (account, block)
-    rows = rows.repartition("account", "block")
-    first = F.row_number().over(Window.partitionBy("account", "block", "id").orderBy(F.col("loaded").asc_nulls_last(), "rank", "blank"))
-    rows = rows.withColumn("__n", first).where("__n = 1").drop("__n", "loaded").sortWithinPartitions("account", "block")
+    rows = first_loaded(messages, account, id_col, role, content, created, loaded, F.col(reply_to).cast("string").alias("reply_to") if reply_to else None)
+    rows = rows.select("account", F.floor(F.col("at") / F.lit(block_seconds * 1_000_000)).cast("long").alias("block"), "id", "at", "rank", "blank", *(["reply_to"] if reply_to else []))
+    if reply_to:
+        rows = merged_blocks(rows, skew_seconds * 1_000_000)
+    rows = rows.repartition("account", "block").sortWithinPartitions("account", "block")
     gap = gap_seconds * 1_000_000
     return rows.mapInArrow(lambda it: _ordered_blocks(it, gap), _ORDERED)
 
@@ -181,6 +205,7 @@ def segments(ordered: DataFrame) -> DataFrame:
         F.count_if(turn & (F.col("rank") == NONE)).alias("n_none"),
         F.count_if(F.col("blank") & (F.col("rank") == BOT)).alias("n_blank_bot"),
         F.count_if("cyclic").alias("n_cyclic"),
+        F.max("until").alias("until"),
     )
 
 
@@ -206,10 +231,11 @@ def verdicts(ordered: DataFrame, gap_seconds: int = 1800) -> DataFrame:
         F.sum("n_none").alias("n_none"),
         F.sum("n_blank_bot").alias("n_blank_bot"),
         F.sum("n_cyclic").alias("n_cyclic"),
+        F.max("until").alias("until"),
     )
     reason = (
         F.when(F.col("n_turns") == 0, "empty")
-        .when((F.col("n_none") > 0) | (F.col("first_rank") == BOT) | (F.col("n_cyclic") > 0), "broken")
+        .when((F.col("n_none") > 0) | (F.col("first_rank") == BOT) | (F.col("n_cyclic") > 0) | F.coalesce(F.col("until") <= F.col("last_at"), F.lit(False)), "broken")
         .when((F.col("last_rank") == USER) | (F.col("n_blank_bot") > 0), "missing_reply")
     )
     return c.select("account", "conversation", "first_id", F.timestamp_micros("first_at").alias("first_at"), F.timestamp_micros("last_at").alias("last_at"), "n_rows", "n_turns", reason.alias("reason"))
@@ -221,7 +247,7 @@ def to_drop(messages: DataFrame, **options) -> DataFrame:
     return verdicts(ordered_rows(messages, **options), gap).where("reason is not null").select("account", "first_id", "reason")
 
 
-def conversations(messages: DataFrame, account: str = "tg_id", id_col: str = "id", content: str = "content", **options) -> DataFrame:
+def conversations(messages: DataFrame, account: str = "tg_id", id_col: str = "id", role: str = "role", content: str = "content", created: str = "created_at", loaded: str | None = "loaded_at", **options) -> DataFrame:
     """Turns of the kept conversations: (account, first_id, block, seg, pos, id, speaker, content); sort by block, seg, pos.
 
     Only turns come out (user and bot rows that aren't blank). Texts join their place by id in one shuffle.
@@ -229,10 +255,11 @@ def conversations(messages: DataFrame, account: str = "tg_id", id_col: str = "id
     from tamarack.session import cut
 
     gap = options.get("gap_seconds", 1800)
-    ordered = cut(ordered_rows(messages, account=account, id_col=id_col, content=content, **options))
+    named = dict(account=account, id_col=id_col, role=role, content=content, created=created, loaded=loaded)
+    ordered = cut(ordered_rows(messages, **named, **options))
     kept = verdicts(ordered, gap).where("reason is null").select("account", "conversation", "first_id")
     places = numbered_segments(ordered, gap).select("account", "block", "seg", "conversation").join(kept, ["account", "conversation"])
     turns = ordered.where(~F.col("blank") & F.col("rank").isin(USER, BOT)).join(places, ["account", "block", "seg"])
-    texts = messages.select(F.col(id_col).cast("string").alias("id"), F.col(content).alias("content")).groupBy("id").agg(F.first("content", ignorenulls=True).alias("content"))
+    texts = first_loaded(messages, **named, more=F.col(content).alias("content")).select("id", "content")
     speaker = F.when(F.col("rank") == USER, "user").otherwise("assistant")
     return turns.join(texts, "id").select("account", "first_id", "block", "seg", "pos", "id", speaker.alias("speaker"), "content")
