@@ -10,8 +10,12 @@ in numpy, in a few seconds, and its weights (of fixed size) go to the workers wi
 an e-mail address has a sign or word for @, a phone number seven digits at least, and so on; blanks and punctuation at the
 edges are trimmed.
 
-Defined results: null and empty texts have no finds and stay as they are; texts of any length are read whole, in stretches of
-MAX_TOKENS cut after a sentence; equal finds of a row count once; repeated rows give one row per find.
+Long texts are decoded in stretches of MAX_TOKENS that overlap by OVERLAP. Two stretches are joined at a token that both hold for
+plain text and that is away from either edge, so no find is cut, whatever stands there; where the overlap has no such token the
+text is decoded as one.
+
+Defined results: null and empty texts have no finds and stay as they are; texts of any length are read whole; equal finds of a row
+count once; repeated rows give one row per find.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 CONTEXT = 4
 MAX_TOKENS = 400
+#: Tokens that neighbouring stretches share, and how many at an edge aren't trusted.
+OVERLAP, EDGE = 96, 16
 PLACEHOLDER = "[{}]"
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
@@ -68,6 +74,29 @@ def token_features(text: str, first: bool, kind: str) -> list[str]:
     return out
 
 
+def stretches(n: int) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches in which n tokens are decoded."""
+    out = [(0, min(n, MAX_TOKENS))] if n else []
+    while out and out[-1][1] < n:
+        a = out[-1][1] - OVERLAP
+        out.append((a, min(n, a + MAX_TOKENS)))
+    return out
+
+
+def joined(parts: list[tuple[int, list[int]]]) -> list[int] | None:
+    """One path of those of the stretches, in order; None if two have no plain token in common."""
+    path = list(parts[0][1])
+    for a, other in parts[1:]:
+        shared = len(path) - a
+        both = [j for j in range(EDGE, shared - EDGE) if not path[a + j] and not other[j]]
+        if not both:
+            return None
+        j = min(both, key=lambda x: abs(2 * x - shared))
+        del path[a + j :]
+        path += other[j:]
+    return path
+
+
 class Vocabulary:
     """Numbers of token types (token, whether it begins its chunk, kind of the chunk); chunks keep theirs."""
 
@@ -146,48 +175,35 @@ class Field:
         """(begin, end, kind) of the finds in each text."""
         if len(self.vocabulary.chunks) > 200_000 or len(self.vocabulary.types) > 200_000:
             self.clear()
-        pieces, owner = [], []
-        stops = {".", "!", "?", "…", ";"}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            n, b, e = self.vocabulary.read(t)
-            a = 0
-            while len(n) - a > MAX_TOKENS:
-                z = a + MAX_TOKENS
-                for j in range(z - 1, a + MAX_TOKENS // 2, -1):
-                    if t[b[j] : e[j]] in stops and (j + 1 >= len(b) or b[j + 1] > e[j]):
-                        z = j + 1
-                        break
-                pieces.append((n[a:z], b[a:z], e[a:z]))
-                owner.append(i)
-                a = z
-            if len(n) > a:
-                pieces.append((n[a:], b[a:], e[a:]))
-                owner.append(i)
+        read = [self.vocabulary.read(t) if t else ([], [], []) for t in texts]
+        pieces = [(i, a, z) for i, (n, _, _) in enumerate(read) for a, z in stretches(len(n))]
         self._extend()
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k][0]))
+        parts: list[list[tuple[int, list[int]]]] = [[] for _ in texts]
+        order = sorted(range(len(pieces)), key=lambda k: pieces[k][2] - pieces[k][1])
         start = 0
         while start < len(order):
-            longest = len(pieces[order[min(len(order), start + 512) - 1]][0])
-            group = order[start : start + max(16, min(512, 40_000 // max(1, longest)))]
+            last = pieces[order[min(len(order), start + 512) - 1]]
+            group = [pieces[k] for k in order[start : start + max(16, min(512, 40_000 // max(1, last[2] - last[1])))]]
             start += len(group)
-            for k, path in zip(group, self._viterbi([pieces[k][0] for k in group])):
-                _, b, e = pieces[k]
-                t = texts[owner[k]]
-                i = 0
-                while i < len(path):
-                    if path[i]:
-                        kind, j = (path[i] - 1) // 2, i + 1
-                        while j < len(path) and path[j] == 2 * kind + 2:
-                            j += 1
-                        found = checked(t, b[i], e[j - 1], KINDS[kind])
-                        if found:
-                            out[owner[k]].append(found)
-                        i = j
-                    else:
-                        i += 1
+            for (i, a, _), path in zip(group, self._viterbi([read[i][0][a:z] for i, a, z in group])):
+                parts[i].append((a, path))
+        out: list[list[tuple[int, int, str]]] = []
+        for t, (n, b, e), found in zip(texts, read, parts):
+            path = joined(sorted(found)) if len(found) > 1 else found[0][1] if found else []
+            if path is None:
+                path = self._viterbi([n])[0]
+            finds, i = [], 0
+            while i < len(path):
+                if path[i]:
+                    kind, j = (path[i] - 1) // 2, i + 1
+                    while j < len(path) and path[j] == 2 * kind + 2:
+                        j += 1
+                    if span := checked(t, b[i], e[j - 1], KINDS[kind]):
+                        finds.append(span)
+                    i = j
+                else:
+                    i += 1
+            out.append(finds)
         return out
 
     def _viterbi(self, sequences: Sequence[Sequence[int]]) -> list[list[int]]:
