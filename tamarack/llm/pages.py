@@ -2,8 +2,9 @@
 
 A page is a flat list of text blocks, here its lines. Each block is described by its word count, link density (the share of its
 words that stand in link-like parts: menu items, crumbs, teasers), punctuation, site name and a few stems of furniture
-phrases, and by the same of its neighbours. A decision tree, grown in numpy from labelled/pages.tsv (a small table of pages
-with a label for each line), tells main body from furniture. The tree is trained where it is used and has a fixed size.
+phrases, and by the same of its neighbours. A decision tree, grown in numpy from labelled/pages.tsv and pages_by_hand.tsv (small
+tables of pages with a label for each line; those by hand are of other sites and wordings), tells main body from furniture. Lines
+of all lengths are described alike. The tree is trained where it is used and has a fixed size.
 
 The description of a line without its neighbours is kept for lines met again; the tree is applied to whole batches. The plan is
 a narrow map over the pages plus a broadcast of the register of sites.
@@ -49,12 +50,11 @@ _RELATED = re.compile(
 _TEASER = re.compile(
     r"\bvideo\b|видео|відео|calendar|kalender|календар|open day|offenen tür|открытых двер|відкритих двер|\btest\b|тест|\bquiz\b|jobs|вакан|offers|angebote|предложен|пропозиц|rooms? in|zimmer in|комнаты в|кімнати в|how i |so schaffte|как я |як я |\bnews\b|neues aus|новости|новини|навіны|story|история|історія"
 )
-#: Lines of more words aren't searched for phrases.
-SHORT = 16
 OWN = ("words", "chars", "sentence", "separators", "row", "heading", "dash", "bullet", "stems", "related", "teaser", "capitals", "digits", "dated", "link_density", "address", "comma_words")
 AROUND = ("site", "place", "blank_before", "blank_after", "since_related")
 
 
+_UPPER, _DIGIT = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я]"), re.compile(r"\d")
 _COUNTER = re.compile(r" ?\(\d+\)$")
 
 
@@ -66,8 +66,7 @@ def describe(line: str) -> tuple:
     """Features of a cleaned line that don't depend on its page."""
     core = line.strip(_EDGE)
     n = core.count(" ") + 1 if core else 0
-    low = core.lower() if n <= SHORT else ""  # phrases of furniture are short
-    short = core if low else ""  # the make-up of long lines tells nothing
+    low = core.lower()
     pipes = line.count("|")
     row = line.startswith("|") and pipes >= 3
     separators = 0 if row else core.count("|") + core.count("·") + core.count("▾") + core.count(" / ") + core.count("›") + core.count(" > ") + core.count("] [")
@@ -86,9 +85,9 @@ def describe(line: str) -> tuple:
         min(3, len(_STEMS.findall(low))),
         _RELATED.search(low) is not None,
         _TEASER.search(low) is not None,
-        sum(map(str.isupper, short)) / (len(short) or 1),
-        sum(map(str.isdigit, short)) / (len(short) or 1),
-        _DATE_END.search(core[-28:]) is not None,
+        len(_UPPER.findall(core)) / (len(core) or 1),
+        len(_DIGIT.findall(core)) / (len(core) or 1),
+        _DATE_END.search(core) is not None,
         linked / n if n else 0.0,
         core.startswith("©"),
         core.count(","),
@@ -159,8 +158,8 @@ def features(pages: Sequence[tuple[str | None, str | None]], met: dict[str, tupl
 class Tree:
     """Binary decision tree (Gini), grown in numpy."""
 
-    def __init__(self, depth: int = 14, least: int = 2, tries: int = 24):
-        self.depth, self.least, self.tries = depth, least, tries
+    def __init__(self, depth: int = 18, least: int = 4):
+        self.depth, self.least = depth, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
         self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
@@ -208,11 +207,13 @@ class Tree:
         return value[at]
 
 
-@functools.lru_cache(maxsize=1)
-def labelled_pages() -> list[tuple[str | None, list[tuple[int, str]]]]:
-    """Pages of the labelled table: site, and its lines with 1 for furniture, 0 for main body."""
+def labelled_pages(name: str = "pages.tsv") -> list[tuple[str | None, list[tuple[int, str]]]]:
+    """Pages of a labelled table: site, and its lines with 1 for furniture, 0 for main body."""
+    return read_pages(resources.files("tamarack.llm").joinpath(f"labelled/{name}").read_text("utf-8"))
+
+
+def read_pages(text: str) -> list[tuple[str | None, list[tuple[int, str]]]]:
     out: list[tuple[str | None, list[tuple[int, str]]]] = []
-    text = resources.files("tamarack.llm").joinpath("labelled/pages.tsv").read_text("utf-8")
     for line in text.split("\n"):
         if line.startswith("@"):
             out.append((line[2:] or None, []))
@@ -223,10 +224,17 @@ def labelled_pages() -> list[tuple[str | None, list[tuple[int, str]]]]:
 
 @functools.lru_cache(maxsize=1)
 def model() -> Tree:
-    pages = labelled_pages()
-    x, page, line = features([("\n".join(t for _, t in lines), site) for site, lines in pages], {})
-    y = np.asarray([pages[p][1][i][0] for p, i in zip(page, line)])
-    return Tree().fit(x, y)
+    return trained((labelled_pages(), 3), (labelled_pages("pages_by_hand.tsv"), 1))
+
+
+def trained(*tables: tuple[Sequence[tuple[str | None, list[tuple[int, str]]]], int]) -> Tree:
+    """Tree of tables of pages, each with the weight of its lines."""
+    xs, ys = [], []
+    for pages, weight in tables:
+        x, page, line = features([("\n".join(t for _, t in lines), site) for site, lines in pages], {})
+        xs += [x] * weight
+        ys += [np.asarray([pages[p][1][i][0] for p, i in zip(page, line)])] * weight
+    return Tree().fit(np.vstack(xs), np.concatenate(ys))
 
 
 _met: dict[str, tuple] = {}
