@@ -52,22 +52,16 @@ def uniform(key: str, seed: int):
 
 def cut_mean(lam: float, cap: int) -> float:
     """Mean of min(Poisson(lam), cap)."""
-    p, total, mean = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        mean += k * p
-        total += p
-        p *= lam / (k + 1)
-    return mean + cap * max(0.0, 1 - total)
-
-
-def poisson_cdf(lam: float, cap: int) -> list[float]:
-    """P(count <= k) for k < cap."""
-    p, total, out = math.exp(-lam), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(min(1.0, total))
-        p *= lam / (k + 1)
-    return out
+    return float(np.sum(1.0 - poisson_cdf(lam, cap)))
+
+
+def poisson_cdf(lam: float, cap: int) -> np.ndarray:
+    """P(count <= k) for k < cap, summed from logarithms, so that no mean is too large."""
+    if lam <= 0:
+        return np.ones(cap)
+    k = np.arange(cap)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(cap, 1))))))[:cap]
+    return np.minimum(1.0, np.cumsum(np.exp(k * math.log(lam) - lam - log_factorial)))
 
 
 def cut_cdf(rate: float, cap: int, tokens: np.ndarray | None = None) -> list[float]:
@@ -84,12 +78,12 @@ def cut_cdf(rate: float, cap: int, tokens: np.ndarray | None = None) -> list[flo
         middle = (np.arange(len(tokens)) + 0.5) / len(tokens)
         mean = lambda lam: float(np.searchsorted(poisson_cdf(lam, cap), middle, side="left") @ tokens / tokens.sum())
     low, high = 0.0, max(1.0, 2.0 * cap)
-    while mean(high) < rate and high < 600:
+    while mean(high) < rate:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if mean(mid) < rate else (low, mid)
-    return poisson_cdf((low + high) / 2, cap)
+    return poisson_cdf((low + high) / 2, cap).tolist()
 
 
 def rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: float | None = None) -> dict[str, float]:
