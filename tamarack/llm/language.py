@@ -12,7 +12,11 @@ that of most of the sentence (names, terms) don't count. A language is in a text
 words, a clear lead, ending like a sentence); in texts without such a sentence the words of the whole text decide.
 Confidence is the share of the language in the text's evidence, from the normed scores.
 
-Words are scored once per batch and looked up by number; sentences are summed with numpy. The plan is a narrow map.
+A worker scores a word once, and a sentence once whatever digits it holds; texts are summed up with numpy, a batch at a time. The
+plan is a narrow map.
+
+Parameters that act by size, stated as such: a sentence needs MIN_WORDS words to be a language's evidence, and an aside is left
+out if it has up to 60 characters. A longer aside counts like the sentence around it.
 
 Defined results: a null, empty or wordless text has no language (an empty list); repeated rows repeat; decomposed letters,
 capitals, soft hyphens and zero-width characters don't matter; any length is read whole.
@@ -21,10 +25,10 @@ capitals, soft hyphens and zero-width characters don't matter; any length is rea
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from importlib import resources
 
@@ -39,11 +43,14 @@ MIN_WORDS = 3
 #: Lead of a sentence's best language over the second, in summed log scores.
 MIN_LEAD = 3.0
 FLOOR = -6.0
+#: Words and sentences that a worker keeps with their scores before it starts anew, between two batches.
+KEEP_WORDS, KEEP_SENTENCES = 400_000, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _DROP = re.compile("[­​-‏‪-‮⁠-⁤﻿͏᠎]")
 #: Asides that say nothing about the language of a sentence: up to six words in quotes or brackets.
 _ASIDE = re.compile(r"«[^«»\n]{0,60}»|“[^“”\n]{0,60}”|„[^„“”\n]{0,60}[“”]|\"[^\"\n]{0,60}\"|\([^()\n]{0,60}\)|\[[^\[\]\n]{0,60}\]")
+_DIGITS = re.compile(r"\d+")
 _URL = re.compile(r"\S+(?:://|@)\S*|www\.\S+")
 _ENDING = frozenset(".!?…")
 _MONTH = re.compile(r"(?:Jänner|Januar|Februar|Feber|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
@@ -98,32 +105,45 @@ class LanguageModel:
     def __init__(self, table: Sequence[tuple[str, str]], languages: Sequence[str] = LANGUAGES):
         self.languages = tuple(languages)
         at = {x: i for i, x in enumerate(self.languages)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]  # 0: whole words
+        # each word of a language is taken apart once, with the weight of all its places
+        found: list[dict[str, float]] = [{} for _ in self.languages]
 
         def add(language: str, text: str, weight: float) -> None:
-            k = at[language]
-            for w, n in Counter(words(text)).items():
-                for size in range(LONGEST_GRAM + 1):
-                    for g in [w] if size == 0 else grams(w, size):
-                        row = counts[size].get(g)
-                        if row is None:
-                            row = counts[size][g] = np.zeros(len(self.languages))
-                        row[k] += weight * n
+            mine = found[at[language]]
+            for w in words(text):
+                mine[w] = mine.get(w, 0.0) + weight
 
         for language, text in table:
-            text = normal(text)
-            add(language, _ASIDE.sub(" ", text), 1.0)
+            text = _ASIDE.sub(" ", normal(text)).lower()
+            add(language, text, 1.0)
             if language in ("ru", "uk", "be"):
                 for v in _VARIANTS:
-                    add(language, latinise(_ASIDE.sub(" ", text).lower(), _LATIN | (_UK if language == "uk" else {}) | v), 0.5 if language == "ru" else 0.25)
-        self.tables = []
-        for size, found in enumerate(counts):
-            total = np.sum(list(found.values()), axis=0) + 1.0
+                    add(language, latinise(text, _LATIN | (_UK if language == "uk" else {}) | v), 0.5 if language == "ru" else 0.25)
+        counts: list[dict[str, list[float]]] = [{} for _ in range(LONGEST_GRAM + 1)]  # 0: whole words
+        for k, mine in enumerate(found):
+            for w, n in mine.items():
+                for size in range(LONGEST_GRAM + 1):
+                    into = counts[size]
+                    for g in [w] if size == 0 else grams(w, size):
+                        row = into.get(g)
+                        if row is None:
+                            row = into[g] = [0.0] * len(self.languages)
+                        row[k] += n
+        self.tables, self.letters = [], {}
+        for size, by in enumerate(counts):
+            rows = np.array(list(by.values()), dtype=float).reshape(-1, len(self.languages))
             alpha = 0.05 if size == 0 else 0.2
-            self.tables.append({g: np.log((row + alpha) / total) for g, row in found.items()})
-        self.letters = {g: np.where(row < 1e-9, -3.0, 0.0) for g, row in counts[1].items() if len(g) == 1 and row.min() < 1e-9 and row.sum() > 3}
+            self.tables.append(dict(zip(by, np.log((rows + alpha) / (rows.sum(axis=0) + 1.0)))))
+            if size == 1:
+                self.letters = {g: np.where(row < 1e-9, -3.0, 0.0) for g, row in zip(by, rows) if len(g) == 1 and row.min() < 1e-9 and row.sum() > 3}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the words and sentences met. Only ever called between batches, as a batch holds their numbers."""
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.met: dict[str, int] = {}
+        self.summed = np.zeros((1024, len(self.languages) + 2))
 
     def score(self, word: str) -> np.ndarray:
         """Normed log scores of a word: as a whole if it is known, else by its longest known n-grams."""
@@ -146,25 +166,38 @@ class LanguageModel:
     def number(self, word: str) -> int:
         k = self.known.get(word)
         if k is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-                self.rows.clear()
             k = self.known[word] = len(self.rows)
             self.rows.append(np.append(self.score(word), [1.0 if is_latin(word) else 0.0]))
         return k
 
-    def sentences(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed scores (one row per sentence) and the number of words counted, those of the sentence's main script."""
+    def sentences(self, sentences: Sequence[str]) -> np.ndarray:
+        """One row per sentence: summed scores, the number of words counted (those of its main script), and its share of Latin words.
+
+        Sentences that differ in their digits only are scored once.
+        """
+        if len(self.known) > KEEP_WORDS or len(self.met) > KEEP_SENTENCES:
+            self.clear()
+        get = self.met.get
+        at = [get(s, -1) for s in sentences]
+        if -1 in at:
+            first = len(self.met)
+            for i, k in enumerate(at):
+                if k < 0:
+                    at[i] = self.met.setdefault(sentences[i], len(self.met))
+            new = list(itertools.islice(self.met, first, None))
+            while len(self.summed) < len(self.met):
+                self.summed = np.concatenate([self.summed, np.zeros_like(self.summed)])
+            self.summed[first : len(self.met)] = self._scored(new)
+        return self.summed[np.asarray(at, dtype=np.int64)]
+
+    def _scored(self, sentences: Sequence[str]) -> np.ndarray:
         found = [_WORD.findall(s) for s in sentences]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        if len(self.known) > 400_000:
-            self.known.clear()
-            self.rows.clear()
         get, number = self.known.get, self.number
         flat = [k if (k := get(w)) is not None else number(w) for f in found for w in f]
-        score, counted = np.zeros((len(found), len(self.languages))), np.zeros(len(found))
+        out = np.zeros((len(found), len(self.languages) + 2))
         if not flat:
-            return score, counted
+            return out
         table = np.asarray(self.rows)
         full = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[full]
@@ -172,9 +205,10 @@ class LanguageModel:
         latin = per_word[:, -1]
         share = np.add.reduceat(latin, starts) / lengths[full]
         main = (np.repeat(share, lengths[full]) > 0.6) == (latin > 0.5)
-        score[full] = np.add.reduceat(per_word[:, :-1] * main[:, None], starts, axis=0)
-        counted[full] = np.add.reduceat(main.astype(float), starts)
-        return score, counted
+        out[full, :-2] = np.add.reduceat(per_word[:, :-1] * main[:, None], starts, axis=0)
+        out[full, -2] = np.add.reduceat(main.astype(float), starts)
+        out[full, -1] = share
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -202,55 +236,69 @@ def probabilities(score: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+class Detected:
+    """What a batch of texts says: evidence and certainty per text and language, and the sentences behind it."""
+
+    def __init__(self, texts: Sequence[Sequence[str]], own: LanguageModel):
+        """texts: the sentences of each text, as split_sentences(prepared(text)) gives them."""
+        self.names = own.languages
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        n, k = int(self.bounds[-1]), len(self.names)
+        whole = np.fromiter((s.rstrip(_CLOSING)[-1:] in _ENDING for t in texts for s in t), dtype=bool, count=n)
+        # asides don't reach over line ends, so all sentences are stripped of them at once
+        rows = own.sentences(_DIGITS.sub("0", _ASIDE.sub(" ", "\n".join("\n".join(t) for t in texts if t))).lower().split("\n")) if n else np.zeros((0, k + 2))
+        self.score, counted, self.latin = rows[:, :k], rows[:, -2], rows[:, -1]
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        order = np.sort(self.score, axis=1)
+        self.best = self.score.argmax(axis=1) if n else np.zeros(0, np.int64)
+        self.clear = (counted >= MIN_WORDS) & (order[:, -1] - order[:, -2] >= MIN_LEAD)
+        self.sure = probabilities(self.score).max(axis=1) if n else np.zeros(0)
+        use = np.flatnonzero(self.clear & whole)
+        self.words = np.bincount(text_of, counted, minlength=len(texts))
+        cell = text_of[use] * k + self.best[use]
+        weight = np.bincount(cell, counted[use] * self.sure[use], minlength=len(texts) * k).reshape(-1, k)
+        certain = np.zeros(len(texts) * k)
+        np.maximum.at(certain, cell, self.sure[use])
+        self.by_sentence = weight.sum(axis=1) > 0
+        # what isn't a sentence of its own still counts as evidence for the languages that are there
+        share = weight / np.where(self.by_sentence, weight.sum(axis=1), 1.0)[:, None]
+        self.confidence = certain.reshape(-1, k) * (0.5 + 0.5 * share)
+        total = np.stack([np.bincount(text_of, self.score[:, j], minlength=len(texts)) for j in range(k)], axis=1)
+        single = ~self.by_sentence
+        self.weight = np.where(single[:, None], 0.0, weight)
+        top = total.argmax(axis=1)
+        mass = probabilities(total).max(axis=1) if len(texts) else np.zeros(0)
+        alone = np.flatnonzero(single & (self.words > 0))
+        self.weight[alone, top[alone]] = 1.0
+        self.confidence[alone, top[alone]] = mass[alone]
+
+    def script(self, i: int) -> int:
+        """1 for a text nearly all of whose words are Latin, -1 for one nearly without any, 0 between."""
+        share = self.latin[self.bounds[i] : self.bounds[i + 1]].mean() if self.words[i] else 0.5
+        return 1 if share > 0.8 else -1 if share < 0.2 else 0
+
+    def languages(self, i: int) -> list[tuple[str, float]]:
+        """Languages of text i with confidences, most evidence first."""
+        w = self.weight[i]
+        return [(self.names[k], float(self.confidence[i, k])) for k in np.argsort(-w, kind="stable") if w[k] > 0]
+
+    def spans(self, i: int, languages: Sequence[tuple[str, float]]) -> list[tuple[int, str, float]]:
+        """(number, language, confidence) of the sentences of text i."""
+        if not languages:
+            return []
+        there, last, out = {x for x, _ in languages}, languages[0][0], []
+        for j in range(self.bounds[i], self.bounds[i + 1]):
+            if self.clear[j] and self.names[self.best[j]] in there:
+                last = self.names[self.best[j]]
+            out.append((int(j - self.bounds[i]), last, float(self.sure[j])))
+        return out
+
+
 def detect(texts: Sequence[str | None], own: LanguageModel | None = None) -> list[tuple[list[tuple[str, float]], list[tuple[int, str, float]]]]:
     """For each text its languages with confidences, most evidence first, and its sentences' (number, language, confidence)."""
-    own = own or model()
-    sentences: list[str] = []
-    bounds, whole = [0], []
-    for t in texts:
-        if t:
-            parts = split_sentences(prepared(t))
-            if parts:
-                whole += [s.rstrip(_CLOSING)[-1:] in _ENDING for s in parts]
-                sentences += _ASIDE.sub(" ", "\n".join(parts)).lower().split("\n")
-        bounds.append(len(sentences))
-    score, counted = own.sentences(sentences)
-    out = []
-    names = own.languages
-    order = np.sort(score, axis=1) if len(sentences) else score
-    lead = order[:, -1] - order[:, -2] if len(sentences) else np.zeros(0)
-    best = score.argmax(axis=1) if len(sentences) else np.zeros(0, int)
-    clear = (counted >= MIN_WORDS) & (lead >= MIN_LEAD)
-    is_whole = clear & np.asarray(whole, dtype=bool)
-    sure = probabilities(score).max(axis=1) if len(sentences) else np.zeros(0)
-    for a, z in zip(bounds, bounds[1:]):
-        n = counted[a:z]
-        if not n.sum():
-            out.append(([], []))
-            continue
-        use = np.flatnonzero(is_whole[a:z]) + a
-        if not len(use):
-            total = score[a:z].sum(axis=0)
-            p = probabilities(total)
-            k = int(total.argmax())
-            languages = [(names[k], float(p[k]))]
-        else:
-            weight = np.zeros(len(names))
-            np.add.at(weight, best[use], counted[use] * sure[use])
-            # what isn't a sentence of its own still counts as evidence for the languages that are there
-            share = weight / weight.sum()
-            certain = np.zeros(len(names))
-            np.maximum.at(certain, best[use], sure[use])
-            languages = [(names[k], float(certain[k] * (0.5 + 0.5 * share[k]))) for k in np.argsort(-weight, kind="stable") if weight[k] > 0]
-        there = {x for x, _ in languages}
-        spans = []
-        last = languages[0][0]
-        for i in range(a, z):
-            if clear[i] and names[best[i]] in there:
-                last = names[best[i]]
-            spans.append((i - a, last, float(sure[i])))
-        out.append((languages, spans))
-    return out
+    found = Detected([split_sentences(prepared(t)) if t else [] for t in texts], own or model())
+    return [(languages := found.languages(i), found.spans(i, languages)) for i in range(len(texts))]
 
 
 def identify(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -270,10 +318,11 @@ def _mapped(docs: DataFrame, text: str, keep: Sequence[str], segments: bool) ->
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(len(keep)).to_pylist()
-        found = detect(texts)
         if not segments:
-            column = pa.array([[{"lang": x, "confidence": p} for x, p in languages] for languages, _ in found], type=pairs)
+            seen = Detected([split_sentences(prepared(t)) if t else [] for t in texts], model())
+            column = pa.array([[{"lang": x, "confidence": p} for x, p in seen.languages(i)] for i in range(len(texts))], type=pairs)
             return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), column], names=[*keep, "languages"])
+        found = detect(texts)
         row, no, lang, conf, piece = [], [], [], [], []
         for r, (t, (_, spans)) in enumerate(zip(texts, found)):
             if not spans:
