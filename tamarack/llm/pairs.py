@@ -2,17 +2,24 @@
 
 Ordered rules, each of which may trigger: emptiness (nothing but white space, placeholder, punctuation, markup or an empty
 wrapper), copied question (what isn't taken from the question, word pairs compared, is a phrase of introduction at most),
-refusal (phrases of declining in five languages, with nothing but courtesies beside them), language mismatch (the answer's
-language is neither the question's nor one it asks for; script first, then the language model), truncation (unclosed
+refusal (phrases of declining in five languages, with nothing but courtesies beside them), language mismatch (question and answer
+are in different scripts, or in different languages of one script, and the question doesn't ask for it), truncation (unclosed
 delimiters, tags or JSON, an open list item, a dangling conjunction or comma, and abrupt endings).
 
-Abrupt endings are judged by the corpus: how often the last two tokens of an answer without final punctuation end a sentence
-anywhere in the table, and whether the last token is the beginning of a longer word in the same context. These counts are
-made over all answers, combined within each batch before they are exchanged, and joined to the few open answers by token
-hash; nothing is gathered per key.
+Script mismatch is decided by the share of Latin words on either side. It says nothing where one side is a transliteration, and
+most pairs share a script, so the language model of p10 decides there: it must name another language than the question's.
+
+Abrupt endings are judged by the corpus: how often the last two to six tokens of an answer without final punctuation end a
+sentence anywhere in the table, and whether the last token is the beginning of a longer word in the same context. Every different
+answer counts once, however many rows repeat it.
+
+Plan. The rules are one narrow pass; of it only ids, defects and hashed contexts of the open answers are kept. Contexts of all
+different answers are hashed in numpy, and each batch passes on only the counts of contexts that an open answer has: their set is
+sent to the workers while it is small (counted first: at most WANTED keys of eight bytes), else the counts are joined to it by key.
+Nothing is gathered per key.
 
 Defined results: a null question is compared as empty (no copy, no language of its own); null answers are empty; repeated
-rows give one row per id; very long answers are read whole; extra columns are ignored.
+rows give one row per id (of rows that differ the smallest defects); very long answers are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +40,8 @@ from tamarack.llm import language as L
 ORDER = ("empty", "copy", "refusal", "wrong_language", "truncated")
 
 _INVISIBLE = re.compile("[\\s­​-‏‪-‮⁠-⁤﻿͏᠎ᅟᅠㅤ]+")
+_NO_WIDTH = re.compile("[­​-‏‪-‮⁠-⁤﻿͏᠎ᅟᅠㅤ]")
+_DIGIT = re.compile(r"\d")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.DOTALL)
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
 _PLACEHOLDER = re.compile(
@@ -76,14 +87,21 @@ def unwrap(answer: str) -> tuple[str, bool]:
 
 def bare(text: str) -> str:
     """Text without tags, entities and invisible characters."""
-    return _INVISIBLE.sub(" ", _ENTITY.sub(" ", _TAG.sub(" ", text))).strip()
+    text = _TAG.sub(" ", text) if "<" in text else text
+    text = _ENTITY.sub(" ", text) if "&" in text else text
+    return _INVISIBLE.sub(" ", text).strip() if _NO_WIDTH.search(text) else " ".join(text.split())
 
 
-def is_empty(answer: str | None) -> bool:
-    if answer is None:
-        return True
-    text = bare(unwrap(answer)[0])
-    core = " ".join(re.findall(r"[\w/]+", text)).strip("/_ ")
+#: Five words are no placeholder.
+_FIVE = re.compile(r"(?:[^\W_]+[\W_]+){4}[^\W_]")
+_CORE = re.compile(r"[\w/]+")
+
+
+def is_empty(text: str) -> bool:
+    """Whether a bare text says nothing."""
+    if _FIVE.search(text):
+        return False
+    core = " ".join(_CORE.findall(text)).strip("/_ ")
     return not core or _PLACEHOLDER.fullmatch(core) is not None
 
 
@@ -91,13 +109,15 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(L.normal(text).lower())
 
 
-def is_copy(question: str | None, answer: str) -> bool:
-    q, a = tokens(question or ""), tokens(answer)
+def is_copy(q: list[str], a: list[str]) -> bool:
+    """Whether tokens a give back the question's tokens q and add nothing."""
     if not q or not a:
         return False
     if a == q:
         return True
     pairs = set(zip(q, q[1:]))
+    if pairs.isdisjoint(zip(a, a[1:])):
+        return False
     taken = [False] * len(a)
     for i, p in enumerate(zip(a, a[1:])):
         if p in pairs:
@@ -148,14 +168,21 @@ _COURTESY = re.compile(
 )
 
 
-def is_refusal(answer: str) -> bool:
+#: Kinds of sentences met, which come with digits made zeros: (declines, other words).
+_kinds: dict[str, tuple[bool, int]] = {}
+
+
+def is_refusal(sentences: list[str]) -> bool:
     """Whether a sentence declines and nothing but courtesies stands beside it."""
     declines, other = False, 0
-    for s in L.split_sentences(answer):
-        if _REFUSAL.search(s):
-            declines = True
-        elif not _COURTESY.search(s):
-            other += len(_WORD.findall(s))
+    for s in sentences:
+        kind = _kinds.get(s)
+        if kind is None:
+            if len(_kinds) > L.KEEP_SENTENCES:
+                _kinds.clear()
+            no = _REFUSAL.search(s) is not None
+            kind = _kinds[s] = (no, 0 if no or _COURTESY.search(s) else len(_WORD.findall(s)))
+        declines, other = declines or kind[0], other + kind[1]
     return declines and other <= 6
 
 
@@ -187,44 +214,56 @@ _OPEN_ITEM = re.compile(r"(?:^|[\n;:]|[.!?]\s)\s*(?:\d{1,2}[.)]|[-•*–—])\s
 _TRAIL = re.compile(r"[\s\U0001F000-\U0001FAFF☀-➿️‍]+$")
 
 
-def is_cut_open(raw: str, text: str, wrapper_open: bool) -> bool:
-    """Truncation that the answer shows by itself."""
-    if wrapper_open:
-        return True
-    if re.search(r"<[/a-zA-Z][^<>]*$", text) or re.search(r"&[a-z]{2,6}$", text):
+def _tags_open(text: str) -> bool:
+    if re.search(r"<[/a-zA-Z][^<>]*$", text):
         return True
     opened = Counter(t.lower() for t in re.findall(r"<(b|i|u|p|a|em|strong|code|pre|ul|ol|li|div|span|blockquote|table|tr|td|h[1-6])(?:\s[^<>]*)?>", text, re.IGNORECASE))
     closed = Counter(t.lower() for t in re.findall(r"</([a-z]+[1-6]?)\s*>", text, re.IGNORECASE))
-    if any(n > closed[t] for t, n in opened.items() if t not in ("p", "li")):
+    return any(n > closed[t] for t, n in opened.items() if t not in ("p", "li"))
+
+
+def trimmed(text: str) -> str:
+    """Text without tags, and without white space, signs and citations at its end."""
+    plain = _TAG.sub("", text) if "<" in text else text
+    if plain[-1:].isspace() or plain[-1:] >= "\u2600":
+        plain = _TRAIL.sub("", plain)
+    return _CITATION.sub("", plain) if plain.rstrip()[-1:] == "]" else plain
+
+
+def is_cut_open(text: str, wrapper_open: bool) -> bool:
+    """Truncation that the answer shows by itself."""
+    if wrapper_open or ("<" in text and _tags_open(text)) or ("&" in text and re.search(r"&[a-z]{2,6}$", text)):
         return True
-    plain = _TAG.sub("", text)
+    plain = _TAG.sub("", text) if "<" in text else text
     for a, z in _PAIRED:
-        if plain.count(a) > plain.count(z):
+        if a in plain and plain.count(a) > plain.count(z):
             return True
-    if plain.count("„") > plain.count("“") + plain.count("”") + plain.count('"'):
+    if "„" in plain and plain.count("„") > plain.count("“") + plain.count("”") + plain.count('"'):
         return True
     if plain.count("```") % 2 or plain.count("**") % 2:
         return True
-    end = _CITATION.sub("", _TRAIL.sub("", plain))
-    if _OPEN_ITEM.search(end):
+    end = trimmed(text)
+    if end.rstrip()[-1:] in _ITEM_ENDS and _OPEN_ITEM.search(end):
         return True
     end = end.rstrip()
     if end[-1:] in ",;:–—-/(«„+&=":
         return True
-    shorn = re.sub(r"(?:…|\.{2,})$", "", end)
-    return not re.search(r"[.!?]$", shorn) and _DANGLING.search(shorn.rstrip("\"'»”“*_ ")) is not None
+    shorn = re.sub(r"(?:…|\.{2,})$", "", end) if end[-1:] in ("…", ".") else end
+    # no dangling word is longer than what is looked at
+    return shorn[-1:] not in _STOPS and _DANGLING.search(shorn[-80:].rstrip("\"'»”“*_ ")) is not None
 
 
+_ITEM_ENDS, _STOPS = frozenset(".)-•*–—"), frozenset(".!?")
 _TOKEN = re.compile(r"\w+(?:['’ʼ-]\w+)*|\n|[^\w\s]")
 
 
 def stream(text: str) -> list[str]:
     """Tokens with punctuation and line ends, digits alike."""
-    plain = _CITATION.sub("", _TRAIL.sub("", _TAG.sub("", L.normal(text)))).lower()
-    return _TOKEN.findall(re.sub(r"\d", "0", plain))
+    return _TOKEN.findall(_DIGIT.sub("0", L.normal(trimmed(text)).lower()))
 
 
 _ENDING = frozenset(".!?…\n")
+_CLOSERS = frozenset("\"'»“”)*_")
 
 
 def in_items(t: list[str]) -> list[bool]:
@@ -240,8 +279,11 @@ def in_items(t: list[str]) -> list[bool]:
 
 def tail(text: str) -> list[str] | None:
     """Kind of the line and last tokens (as many as the longest context) of a text that ends without final punctuation, else None."""
+    last = trimmed(text).rstrip()
+    if last[-1:] in _STOPS and last[-2:-1].isalnum():
+        return None
     t = stream(text)
-    while t and t[-1] in ("\"", "'", "»", "“", "”", ")", "*", "_"):
+    while t and t[-1] in _CLOSERS:
         t = t[:-1]
     while t and t[-1] == "…" or len(t) > 1 and t[-1] == t[-2] == ".":
         t = t[:-1]
@@ -257,10 +299,78 @@ def tail(text: str) -> list[str] | None:
 CONTEXTS = (2, 3, 4, 6)
 #: A context must have been met so often.
 KNOWN = 3
+#: Up to so many contexts of open answers are sent to the workers.
+WANTED = 1_000_000
+#: Hashes of tokens that a worker keeps before it starts anew.
+KEEP_TOKENS = 400_000
+
+
+class Tokens:
+    """Hashes of tokens met, and whether they are words."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.words: list[bool] = []
+
+    def _add(self, w: str) -> int:
+        k = self.index[w] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(w))
+        self.words.append(w[0].isalnum())
+        return k
 
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and word flag of each token."""
+        if len(self.index) > KEEP_TOKENS:
+            self.__init__()
+        get, add = self.index.get, self._add
+        at = np.array([k if (k := get(w)) is not None else add(w) for w in tokens], np.int64)
+        return np.array(self.hashes, np.uint64)[at], np.array(self.words, bool)[at]
 
-def _key(*parts: str) -> str:
-    return "\x1f".join(parts)
+
+_tokens = Tokens()
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def token_hash(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w)
+
+
+def mixed(h: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of a sequence with one token more."""
+    with np.errstate(over="ignore"):
+        h = (h ^ token) * _M1
+        return (h ^ (h >> np.uint64(31))) * _M2
+
+
+def context_keys(item: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n tokens that end at each place, with the kind of the line."""
+    h = np.where(item, np.uint64(2 * n + 1), np.uint64(2 * n))
+    for k in range(n - 1, -1, -1):
+        h = mixed(h, hashes[at - k])
+    return h
+
+
+def tail_keys(tails: list[list[str]]) -> np.ndarray:
+    """Of each tail its keys, one for each of CONTEXTS, then the key of what stands before its last token in the shortest but one."""
+    if not tails:
+        return np.zeros((0, len(CONTEXTS) + 1), np.uint64)
+    hashes, _ = _tokens.of([w for t in tails for w in t[1:]])
+    item = np.array([t[0] == "item" for t in tails])
+    last = np.arange(1, len(tails) + 1) * CONTEXTS[-1] - 1
+    return np.stack([*(context_keys(item, hashes, last, n) for n in CONTEXTS), open_keys(item, hashes, last)], axis=1)
+
+
+def open_keys(item: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What context_keys of CONTEXTS[1] has before its last token is added."""
+    n = CONTEXTS[1]
+    h = np.where(item, np.uint64(2 * n + 1), np.uint64(2 * n))
+    for k in range(n - 1, 0, -1):
+        h = mixed(h, hashes[at - k])
+    return h
+
+
+_JUDGED = "id string, defects array<string>, " + ", ".join(f"last{n} long" for n in CONTEXTS) + ", before long"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,93 +378,150 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, whole.num_rows, 2000):
             b = whole.slice(start, 2000)
             ids, questions, answers = (b.column(i).to_pylist() for i in range(3))
-            inner = [unwrap(a) if a is not None else ("", False) for a in answers]
+            asked = {q: i for i, q in enumerate(dict.fromkeys(questions))}
+            given = {a: i for i, a in enumerate(dict.fromkeys(answers))}
+            inner = [unwrap(a) if a is not None else ("", False) for a in given]
             texts = [bare(t) for t, _ in inner]
-            q_lang = L.detect(questions)
-            a_lang = L.detect([_CITATION.sub("", t) for t in texts])
-            found, tails = [], []
-            for q, a, (t, opened), text, ql, al in zip(questions, answers, inner, texts, q_lang, a_lang):
+            empty = [is_empty(t) for t in texts]
+            q_parts = [L.split_sentences(L.prepared(q)) if q else [] for q in asked]
+            a_parts = [[] if e else L.split_sentences(_DIGIT.sub("0", L.prepared(_CITATION.sub("", t) if t[-1:] == "]" else t))) for t, e in zip(texts, empty)]
+            model = L.model()
+            theirs, own = L.Detected(q_parts, model), L.Detected(a_parts, model)
+            q_lang, a_lang = [theirs.languages(i) for i in range(len(asked))], [own.languages(i) for i in range(len(given))]
+            q_tokens, a_tokens = [tokens(q or "") for q in asked], [[] if e else tokens(t) for t, e in zip(texts, empty)]
+            refused = [not e and is_refusal(p) for p, e in zip(a_parts, empty)]
+            cut = [not e and is_cut_open(t, wrapped) for (t, wrapped), e in zip(inner, empty)]
+            tails = [None if e or c else tail(t) for (t, _), e, c in zip(inner, empty, cut)]
+            opened, ends = tail_keys([t for t in tails if t is not None]), np.cumsum([t is not None for t in tails]) - 1
+            found, keys = [], []
+            for q, a in zip(questions, answers):
+                i, j = asked[q], given[a]
                 defects = []
-                if is_empty(a):
+                if empty[j]:
                     found.append(["empty"])
-                    tails.append(None)
+                    keys.append(None)
                     continue
-                if is_copy(q, text):
+                if is_copy(q_tokens[i], a_tokens[j]):
                     defects.append("copy")
-                if is_refusal(text):
+                if refused[j]:
                     defects.append("refusal")
-                if ql[0] and al[0] and len(tokens(text)) >= 3 and len(tokens(q)) >= 2:
-                    theirs, own = {x for x, _ in ql[0]}, al[0][0][0]
-                    unsure = len(ql[0]) == 1 and ql[0][0][1] < 0.98 and {own, ql[0][0][0]} <= {"ru", "uk", "be"}
-                    if own not in theirs and not unsure and al[0][0][1] >= 0.6 and own not in asked_languages(q or ""):
-                        defects.append("wrong_language")
-                if is_cut_open(a, t, opened):
+                if q_lang[i] and a_lang[j] and len(a_tokens[j]) >= 3 and len(q_tokens[i]) >= 2 and (own_lang := a_lang[j][0])[0] not in {x for x, _ in q_lang[i]} and differ(q_lang[i], own_lang, theirs.script(i) * own.script(j) < 0) and a_lang[j][0][0] not in asked_languages(q or ""):
+                    defects.append("wrong_language")
+                if cut[j]:
                     defects.append("truncated")
                 found.append(defects)
-                tails.append(tail(t) if "truncated" not in defects else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(found, pa.list_(pa.string())),
-                    *(pa.array([None if t is None else _key(t[0], *t[-n:]) for t in tails], pa.string()) for n in CONTEXTS),
-                ],
-                names=["id", "defects", *(f"last{n}" for n in CONTEXTS)],
-            )
-
-
-def _ending_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tokens in a row: how often a sentence ends with them, how often it goes on, and of three how often a longer last token stands there."""
+                keys.append(None if tails[j] is None or cut[j] else int(ends[j]))
+            at = pa.array(keys, pa.int64())
+            columns = [pa.array(opened[:, c].view(np.int64)).take(at) for c in range(len(CONTEXTS) + 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.string())), *columns], names=["id", "defects", *(f"last{n}" for n in CONTEXTS), "before"])
+
+
+def differ(theirs: list[tuple[str, float]], own: tuple[str, float], scripts: bool) -> bool:
+    """Whether an answer's language, which isn't among the question's, surely differs; scripts: whether they are written in different ones."""
+    if scripts or own[1] < 0.6:
+        return scripts
+    near = {"ru", "uk", "be"}  # short questions in a script that these share tell little
+    return not (len(theirs) == 1 and theirs[0][1] < 0.98 and {own[0], theirs[0][0]} <= near)
+
+
+_COUNTED = "key long, n_end long, n_on long, n_longer long"
+
+
+def _ending_counts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Of contexts: how often a sentence ends with them, how often it goes on, and how often a longer last token stands there.
+
+    wanted: sorted keys of the contexts asked for, before: those that open_keys gives; None for all.
+    """
+    most = CONTEXTS[-1]
     for b in batches:
-        ends: Counter[str] = Counter()
-        goes: Counter[str] = Counter()
-        longer: Counter[str] = Counter()
+        words: list[str] = []
         for a in b.column(0).to_pylist():
-            if not a:
-                continue
-            most = CONTEXTS[-1]
-            t = stream(unwrap(a)[0])
-            kinds = [*["text"] * most, *("item" if x else "text" for x in in_items(t))]
-            t = [*["^"] * most, *t]
-            for i in range(most, len(t)):
-                w = t[i]
-                if not (w[0].isalnum()):
-                    continue
-                if i + 1 < len(t):
-                    k = i + 1
-                    while k < len(t) and t[k] in ("\"", "»", "“", "”", ")"):
-                        k += 1
-                    into = ends if k == len(t) or t[k] in _ENDING else goes
-                    for n in CONTEXTS:
-                        into[_key(kinds[i], *t[i - n + 1 : i + 1])] += 1
-                longer[_key(kinds[i], t[i - 2], t[i - 1], w)] += 1
-        prefix: Counter[str] = Counter()
-        for k, n in longer.items():
-            head, _, w = k.rpartition("\x1f")
-            for j in range(1, len(w)):
-                prefix[_key(head, w[:j])] += n
-        keys = list({*ends, *goes})
-        rows = [(k, ends[k], goes[k], 0) for k in keys] + [(k, 0, 0, n) for k, n in prefix.items()]
-        if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "n_end", "n_on", "n_longer"])
-
-
-def judge(pairs: DataFrame, id_col: str = "id", question: str = "question", answer: str = "answer", min_end: float = 0.15) -> DataFrame:
+            words += ["^"] * most
+            words += stream(unwrap(a)[0])
+        if not words:
+            continue
+        words.append("^")
+        hashes, word = _tokens.of(words)
+        n = len(words)
+        sign = {c: token_hash(c) for c in [*_ENDING, *_CLOSERS, "^", "-", "•", "*", "–", "—", ")"]}
+        is_ = lambda chars: np.isin(hashes, np.array([sign[c] for c in chars], np.uint64))
+        pad, line_end = is_("^"), is_("\n")
+        # the kind of a line follows from its first tokens
+        first = np.flatnonzero(~pad & (np.concatenate(([True], (pad | line_end)[:-1]))))
+        number = np.fromiter((w.isdigit() and len(w) < 3 for w in (words[i] for i in first)), bool, len(first))
+        after = is_(".)")
+        starts_item = is_("-•*–—")[first] | (number & after[np.minimum(first + 1, n - 1)])
+        line = np.searchsorted(first, np.arange(n), side="right") - 1
+        item = (line >= 0) & starts_item[np.maximum(line, 0)] if len(first) else np.zeros(n, bool)
+        # what follows a token, closing signs passed over
+        closing = is_("\"»“”)")
+        place = np.where(closing, n, np.arange(n))
+        follower = np.minimum.accumulate(place[::-1])[::-1]
+        at = np.flatnonzero(word)
+        nearest = follower[np.minimum(at + 1, n - 1)]
+        ended = pad[nearest] | is_(".!?…\n")[nearest]
+        last = pad[at + 1]
+        ended, going = ended & ~last, ~ended & ~last
+        keys, end, on = [], [], []
+        for k in CONTEXTS:
+            key = context_keys(item[at], hashes, at, k)
+            keep = ~last if wanted is None else ~last & _among(key, wanted)
+            keys.append(key[keep])
+            end.append(ended[keep])
+            on.append(going[keep])
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n_end = np.bincount(inverse, np.concatenate(end), minlength=len(every)).astype(np.int64)
+        n_on = np.bincount(inverse, np.concatenate(on), minlength=len(every)).astype(np.int64)
+        # longer words: of each word, all its beginnings in the same place
+        head = open_keys(item[at], hashes, at)
+        there = np.arange(len(at)) if before is None else np.flatnonzero(_among(head, before))
+        longer: Counter[tuple[int, str]] = Counter((int(head[i]), words[at[i]]) for i in there)
+        parts = [(h, token_hash(w[:j]), c) for (h, w), c in longer.items() for j in range(1, len(w))]
+        if parts:
+            h, t, c = (np.array(x, np.uint64) for x in zip(*parts))
+            key = mixed(h, t)
+            keep = np.ones(len(key), bool) if wanted is None else _among(key, wanted)
+            every2, inverse = np.unique(key[keep], return_inverse=True)
+            n_longer = np.bincount(inverse, c[keep].astype(float), minlength=len(every2)).astype(np.int64)
+        else:
+            every2, n_longer = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = lambda x: np.zeros(len(x), np.int64)
+        columns = [np.concatenate([every, every2]).view(np.int64), np.concatenate([n_end, none(every2)]), np.concatenate([n_on, none(every2)]), np.concatenate([none(every), n_longer])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n_end", "n_on", "n_longer"])
+
+
+def _among(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
+def judge(pairs: DataFrame, id_col: str = "id", question: str = "question", answer: str = "answer", min_end: float = 0.15, wanted: int = WANTED) -> DataFrame:
     """(id, defects): every defect each pair shows, in the order of the rules; pairs without defects have an empty list."""
     from tamarack.session import cut
 
-    rows = pairs.select(F.col(id_col).alias("id"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    rows = rows.groupBy("id").agg(F.first("question").alias("question"), F.first("answer").alias("answer"))
-    judged = cut(rows.mapInArrow(_judged, "id string, defects array<string>, " + ", ".join(f"last{n} string" for n in CONTEXTS)))
-    open_keys = judged.select(F.explode(F.array(*[f"last{n}" for n in CONTEXTS])).alias("key")).where("key is not null").distinct()
-    counts = pairs.select(F.col(answer).alias("answer")).mapInArrow(_ending_counts, "key string, n_end long, n_on long, n_longer long")
-    # the counts that no open answer asks for are dropped before they are summed up
-    counts = cut(counts.join(open_keys, "key", "left_semi").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_end", "n_on", "n_longer")]))
+    sc = pairs.sparkSession.sparkContext
+    rows = pairs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{question}`").alias("question"), F.col(f"`{answer}`").alias("answer"))
+    rest = [f"last{n}" for n in CONTEXTS] + ["before"]
+    judged = rows.mapInArrow(_judged, _JUDGED).groupBy("id").agg(F.min(F.struct("defects", *rest)).alias("r"))
+    judged = cut(judged.select("id", "r.*"))
+    keys = judged.select(F.explode(F.array(*rest[:-1])).alias("key")).where("key is not null").distinct()
+    small = keys.count() <= wanted
+    own = [None, None]
+    if small:
+        sets = (keys, judged.select(F.col("before").alias("key")).where("key is not null").distinct())
+        own = [np.sort(x.toArrow().column(0).to_numpy().view(np.uint64)) for x in sets]
+    sent = sc.broadcast(own)
+    counts = rows.select("answer").where("answer is not null").distinct().mapInArrow(lambda it: _ending_counts(it, *sent.value), _COUNTED)
+    if not small:  # the counts that no open answer asks for are dropped before they are summed up
+        counts = counts.join(keys, "key", "left_semi")
+    counts = cut(counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_end", "n_on", "n_longer")]))
     out, abrupt = judged, F.coalesce(F.col(f"longer{CONTEXTS[1]}"), F.lit(0)) > 0
     for n in CONTEXTS:
-        out = out.join(counts.select(F.col("key").alias(f"last{n}"), (F.col("n_end") + F.col("n_on")).alias(f"seen{n}"), F.col("n_end").alias(f"end{n}"), F.col("n_longer").alias(f"longer{n}")), f"last{n}", "left")
+        known = counts.select(F.col("key").alias(f"last{n}"), (F.col("n_end") + F.col("n_on")).alias(f"seen{n}"), F.col("n_end").alias(f"end{n}"), F.col("n_longer").alias(f"longer{n}"))
+        out = out.join(F.broadcast(known) if small else known, f"last{n}", "left")
         abrupt = F.when(F.col(f"seen{n}") >= KNOWN, F.col(f"end{n}") / F.col(f"seen{n}") < min_end).otherwise(abrupt)
-    abrupt = F.col(f"last{CONTEXTS[0]}").isNotNull() & abrupt
+    abrupt = F.coalesce(F.col(f"last{CONTEXTS[0]}").isNotNull() & abrupt, F.lit(False))
     return out.select("id", F.when(abrupt, F.array_union("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects")).alias("defects"))
 
 
