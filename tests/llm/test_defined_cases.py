@@ -69,9 +69,11 @@ def test_rates_meet_shares_or_caps():
     big = M.rates(sizes, targets, 1000)
     assert big["a"] == 2.0 and abs(big["b"] - 0.8) < 1e-9
     assert M.rates({}, targets) == {}
-    for rate, cap in ((0.3, 1), (1.7, 2), (2.5, 5), (0.01, 4)):
+    for rate, cap in ((0.3, 1), (1.7, 2), (2.5, 5), (0.01, 4), (800.0, 1000), (1200.0, 1500), (999.9, 1000), (5000.0, 20_000)):
         cdf = M.cut_cdf(rate, cap)
-        assert abs(sum(1 - p for p in cdf) - rate) < 1e-6
+        assert abs(sum(1 - p for p in cdf) - rate) < 1e-6 * max(1, rate)
+        drawn = np.searchsorted(cdf, (np.arange(20_000) + 0.5) / 20_000).mean()
+        assert abs(drawn - rate) < 0.01 * max(1, rate)
 
 
 def test_mixture(spark):
@@ -150,6 +152,52 @@ def test_kahn_and_cycles(spark):
     assert [r["reason"] for r in C.to_drop(df, reply_to="parent").collect()] == ["broken"]
 
 
+def replies(spark, rows):
+    """Rows (id, role, minutes, reply_to) of one account."""
+    full = [(i, 1, r, "x", T0 + timedelta(minutes=m), T0, p) for i, r, m, p in rows]
+    return spark.createDataFrame(full, "id string, tg_id long, role string, content string, created_at timestamp, loaded_at timestamp, parent string")
+
+
+def test_edges_against_time_reach_over_blocks(spark):
+    cycle = [("a", "user", 50, "b"), ("b", "bot", 70, None)]  # b replies to a, and says a replies to b
+    assert [r["reason"] for r in C.to_drop(replies(spark, cycle), reply_to="parent").collect()] == ["broken"]
+    # an answer stamped before its question: put behind it, over the edge of an hour
+    swapped = replies(spark, [("q0", "user", 40, None), ("early", "bot", 55, "q1"), ("q1", "user", 65, "q0"), ("late", "bot", 66, None)])
+    turns = C.conversations(swapped, reply_to="parent").orderBy("block", "seg", "pos").collect()
+    assert [r["id"] for r in turns] == ["q0", "q1", "early", "late"]
+    assert C.to_drop(swapped, reply_to="parent").count() == 0
+    # replies to rows of other conversations, of no account and to themselves have no edge
+    loose = replies(spark, [("a", "user", 0, "c"), ("b", "bot", 1, "b"), ("c", "user", 120, "none"), ("d", "bot", 121, None)])
+    assert C.to_drop(loose, reply_to="parent").count() == 0
+    # a reply that stands more than a day before its target, in one conversation without a gap
+    long = [(f"m{i:04d}", "user" if i % 2 == 0 else "bot", i * 20, None) for i in range(100)]
+    long[1] = ("m0001", "bot", 20, "m0090")
+    assert [r["reason"] for r in C.to_drop(replies(spark, long), reply_to="parent").collect()] == ["broken"]
+
+
+def test_blocks_do_not_change_the_result_with_replies(spark):
+    import random
+
+    random.seed(7)
+    rows, m = [], 0
+    for i in range(300):
+        m += random.choice([0, 1, 5, 20, 29, 40])
+        rows.append((f"{i:03d}", random.choice(["user", "bot"]), m, f"{min(299, max(0, i + random.choice([-3, -1, 2, 4]))):03d}" if random.random() < 0.1 else None))
+    df = replies(spark, rows)
+    found = [sorted(map(tuple, C.to_drop(df, reply_to="parent", block_seconds=b).collect())) for b in (1800, 3600, 86_400, 10**7)]
+    assert found[0] == found[1] == found[2] == found[3] and any(r[2] == "broken" for r in found[0])
+    turns = [[r["id"] for r in C.conversations(df, reply_to="parent", block_seconds=b).orderBy("block", "seg", "pos").collect()] for b in (1800, 10**7)]
+    assert turns[0] == turns[1]
+
+
+def test_an_id_sent_again_with_another_time_counts_once(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("a", 1, "user", "q", at(0), at(0)), ("b", 1, "bot", "r", at(1), at(1)), ("a", 1, "user", "other", at(120), at(200)), ("a", 2, "user", "third", at(0), at(300))]
+    df = spark.createDataFrame(rows, "id string, tg_id long, role string, content string, created_at timestamp, loaded_at timestamp")
+    assert C.to_drop(df).count() == 0
+    assert [(r["id"], r["content"]) for r in C.conversations(df).orderBy("block", "seg", "pos").collect()] == [("a", "q"), ("b", "r")]
+
+
 def test_blocks_do_not_change_the_result(spark):
     import random
 
