@@ -1,24 +1,30 @@
 """The k most similar vectors of every vector, by score-aware quantisation and exact reranking.
 
-Vectors are parted into cells by k-means (fitted on a sample of at most SAMPLE vectors, in numpy on the driver; one cell per
-CELL rows while the sample allows it). A vector is stored in the cell of its nearest centroid, as its original numbers and as
-a four-bit code of its residual: 32 subspaces of 2 dimensions with 16 entries each. Codebooks and codes minimise the
+Vectors are parted into cells of about CELL rows by k-means. A vector is stored in the cell of its nearest centroid, as its original
+numbers and as a four-bit code of its residual: 32 subspaces of 2 dimensions with 16 entries each. Codebooks and codes minimise the
 anisotropic loss, which weighs the error parallel to the vector more than the error across it, because that is what changes
 the largest inner products. A query visits the cells whose centroids are nearest by angle. There the table scores of all codes
 (query times codebook entry, summed over subspaces; numpy sums them as one matrix product with the decoded entries, which
-gives the same numbers) rule out what can't be among the k best, and the rest is ranked by the exact cosine in double
-precision, rounded to 9 decimals, ties to the smaller id.
+gives the same numbers) rule out what can't be among the k best: a score is off by at most the length of the code's error, as the
+query has length one. The rest is ranked by the exact cosine in double precision, rounded to 9 decimals, ties to the smaller id.
 
-Plan. One narrow pass assigns cells; rows are exchanged by (cell, block) and every block is one matrix problem. Cells with many
-queries are dealt out over blocks of at most BLOCK queries, each with the cell's vectors, so no task gathers an unbounded
-group; cell counts (at most as many as cells) are all that reaches the driver. Per query at most k rows per visited cell are
-exchanged to find the k best overall. Centroids and codebooks are broadcast: at most SAMPLE/10 centroids.
+Cells. Up to SAMPLE/10 cells are fitted on the driver, on a sample of at most SAMPLE vectors. More are made in two levels: COARSE
+cells from that sample, and within each its share of the leaves, fitted on the executors on a sample of at most LEAF_SAMPLE vectors a
+coarse cell. So the number of cells stays in proportion to the vectors up to MOST_CELLS (134 million vectors at 512 a cell), which
+bounds what is broadcast (256 bytes a cell of 64 dimensions). A crowd of vectors that differ by little gets leaves by its share.
+
+Plan. Rows are exchanged by (cell, block) and every block is one matrix problem of at most about BLOCK stored vectors and BLOCK
+queries: a cell that the sample shows to be larger is dealt out over a grid of stored and query blocks, so no task gathers an
+unbounded group. Per query at most k rows per visited block are exchanged to find the k best overall. The driver sees the samples
+and the centroids only.
 
 Of exact copies only the k+1 smallest ids are stored as candidates: ties go to smaller ids, so others can't be among anyone's
-k best. All copies are queries.
+k best. The limit holds before and after the exchange, so a vector that a third of all rows share is no large group. All copies are
+queries.
 
-Defined results: only vectors of dim finite numbers, not all zero, take part; rows with the same id count once; a collection
-of one has no pairs; fewer than k others give fewer rows; extra columns are ignored.
+Defined results: only vectors of dim finite numbers, not all zero, take part; of rows with the same id each vector is compared, equal
+ones once, and never with one another; a collection of one has no pairs; fewer than k others give fewer rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +39,11 @@ from pyspark.sql import functions as F
 SAMPLE = 40_000
 CELL = 512
 BLOCK = 8192
+COARSE = 512
+LEAF_SAMPLE = 65_536
+MOST_CELLS = 262_144
+#: Coarse cells among whose leaves a vector looks for its cells.
+COARSE_PROBES = 12
 SUBSPACES = 32
 ENTRIES = 16
 #: Weight of the error parallel to a vector against the error across it.
@@ -145,7 +156,118 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), dim)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(len(column), dim)
+
+
+def _as_binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def _from_binary(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    """Rows of width numbers from a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    o = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[o[0] : o[-1]].view(dtype).reshape(-1, width) if len(column) else np.zeros((0, width), dtype)
+
+
+def _top(s: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest of each row, in no order."""
+    return np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+
+
+class Cells:
+    """Centroids of cells, in one level or as leaves of coarse cells, and over how many blocks each cell is dealt out."""
+
+    def __init__(self, leaves: np.ndarray, coarse: np.ndarray | None = None, first: np.ndarray | None = None):
+        self.leaves, self.coarse, self.first = leaves, coarse, first
+        self.stored_blocks = self.query_blocks = np.ones(len(leaves), np.int64)
+
+    def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n cells nearest to each vector, nearest first, with their inner products; -2 where there are fewer."""
+        n = min(n, len(self.leaves))
+        if self.coarse is None:
+            s = x @ self.leaves.T
+            at = _top(s, n)
+            by = np.take_along_axis(s, at, axis=1)
+        else:
+            around = _top(x @ self.coarse.T, min(COARSE_PROBES, len(self.coarse)))
+            at = np.zeros((len(x), around.shape[1] * n), np.int64)
+            by = np.full(at.shape, -2.0, np.float32)
+            for j in range(around.shape[1]):
+                order = np.argsort(around[:, j], kind="stable")
+                edges = np.flatnonzero(np.diff(around[order, j], prepend=-1))
+                for a, z in zip(edges, [*edges[1:], len(order)]):
+                    rows, c = order[a:z], around[order[a], j]
+                    s = x[rows] @ self.leaves[self.first[c] : self.first[c + 1]].T
+                    m = min(n, s.shape[1])
+                    best = _top(s, m)
+                    at[rows, j * n : j * n + m] = best + self.first[c]
+                    by[rows, j * n : j * n + m] = np.take_along_axis(s, best, axis=1)
+            best = _top(by, n)
+            at, by = np.take_along_axis(at, best, axis=1), np.take_along_axis(by, best, axis=1)
+        order = np.argsort(-by, axis=1, kind="stable")
+        return np.take_along_axis(at, order, axis=1), np.take_along_axis(by, order, axis=1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.nearest(x[i : i + 4096], 1)[0][:, 0] for i in range(0, len(x), 4096)])
+
+    def visited(self, x: np.ndarray, probes: int, max_angle: float) -> tuple[np.ndarray, np.ndarray]:
+        """Cells a query visits, nearest first, and which of them are near enough."""
+        near, by = self.nearest(x, probes)
+        c, s = np.cos(np.radians(max_angle)), np.sin(np.radians(max_angle))
+        top = np.clip(by[:, :1], -1, 1)
+        return near, by >= np.maximum(top * c - np.sqrt(1 - top**2) * s, -1.5)
+
+    def deal(self, sample: np.ndarray, asks: np.ndarray, rate: float, probes: int, max_angle: float, block: int) -> None:
+        """Sets the blocks of cells from a sample of the given rate: equal vectors are stored once."""
+        n = len(self.leaves)
+        distinct = np.unique(sample, axis=0)
+        stored = np.bincount(self.home(distinct), minlength=n) / rate
+        asked = np.zeros(n)
+        for i in range(0, int(asks.sum()), 4096):
+            near, on = self.visited(sample[asks][i : i + 4096], probes, max_angle)
+            asked += np.bincount(near[on], minlength=n) / rate
+        self.stored_blocks = np.maximum(1, np.ceil(stored / block)).astype(np.int64)
+        self.query_blocks = np.maximum(1, np.ceil(asked / block)).astype(np.int64)
+
+
+def fitted_cells(base: DataFrame, sample: np.ndarray, n: float, dim: int, cell: int, coarse: int, most: int = MOST_CELLS, leaf_sample: int = LEAF_SAMPLE) -> Cells:
+    """Cells for about n vectors: on the driver while the sample allows for enough of them, else in two levels."""
+    wanted = int(max(1, min(n // cell or 1, most)))
+    if wanted <= len(sample) // 10 or wanted <= coarse:
+        return Cells(kmeans(sample, max(1, min(wanted, len(sample) // 10 or 1))))
+    tops = kmeans(sample, min(coarse, len(sample) // 10))
+    share = np.bincount(np.concatenate([np.argmax(sample[i : i + 8192] @ tops.T, axis=1) for i in range(0, len(sample), 8192)]), minlength=len(tops)) / len(sample)
+    leaves = np.maximum(1, np.round(share * wanted)).astype(int)
+    # rows drawn of each coarse cell: enough for its leaves, and no more than a task holds
+    rate = np.minimum(1.0, np.minimum(64.0 * leaves, leaf_sample) / np.maximum(share * n, 1.0))
+    sent = base.sparkSession.sparkContext.broadcast((tops, rate))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, r = sent.value
+        for b in batches:
+            x = _unit(_matrix(b.column(1), dim)).astype(np.float32)
+            at = np.argmax(x @ c.T, axis=1)
+            draw = ((b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) / 2.0**32
+            keep = np.flatnonzero(draw < r[at])
+            yield pa.RecordBatch.from_arrays([pa.array(at[keep].astype(np.int64)), _as_binary(x[keep])], names=["coarse", "vec"])
+
+    def trained(key: tuple, t: pa.Table) -> pa.Table:
+        c = key[0].as_py()
+        x = _from_binary(t.column("vec").combine_chunks(), np.float32, dim)
+        k = max(1, min(int(leaves[c]), len(x) // 4 or 1))
+        return pa.table({"coarse": pa.array([c] * k, pa.int64()), "vec": _as_binary(kmeans(x, k, rounds=6))})
+
+    found = base.mapInArrow(parted, "coarse long, vec binary").groupBy("coarse").applyInArrow(trained, "coarse long, vec binary").toArrow().combine_chunks()
+    at, vec = found.column("coarse").to_numpy(), _from_binary(found.column("vec").combine_chunks() if isinstance(found.column("vec"), pa.ChunkedArray) else found.column("vec"), np.float32, dim)
+    # a coarse cell that no drawn row fell into keeps its own centroid
+    none = np.setdiff1d(np.arange(len(tops)), at)
+    at, vec = np.concatenate([at, none]), np.concatenate([vec, tops[none]])
+    order = np.argsort(at, kind="stable")
+    return Cells(vec[order], tops, np.searchsorted(at[order], np.arange(len(tops) + 1)))
 
 
 def exact_best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, approx: np.ndarray, slack: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,134 +304,118 @@ def nearest(
     sample: int = SAMPLE,
     cell: int = CELL,
     block: int = BLOCK,
+    coarse: int = COARSE,
 ) -> DataFrame:
     """(id, other, cosine): the k most similar others of each vector (of those where queries holds), of cosine min_cosine at least.
 
     probes: cells that a query visits at most; max_angle: by how many degrees they may be farther than the nearest cell.
     """
     spark = rows.sparkSession
-    base = rows.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"), (queries if queries is not None else F.lit(True)).alias("asks"))
-    n = base.count()
-    drawn = base.select("vec").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1 << 20, int(2.0 * sample / max(n, 1) * (1 << 20)) + 1)).limit(sample).toArrow().column(0).combine_chunks()
-    if not len(drawn):
+    total = rows.count()
+    base = rows.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"), F.coalesce(queries if queries is not None else F.lit(True), F.lit(False)).alias("asks"))
+    rate = min(1.0, 0.9 * sample / max(total, 1))
+    drawn = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) if rate < 1 else F.lit(True)).limit(sample).toArrow().combine_chunks()
+    if not drawn.num_rows:
         return spark.createDataFrame([], "id long, other long, cosine double")
-    fit = _unit(_matrix(drawn, dim)).astype(np.float32)
-    centroids = kmeans(fit, max(1, min(len(fit) // 10 or 1, n // cell or 1)))
-    own = np.argmax(fit @ centroids.T, axis=1)
+    column = lambda i: (c := drawn.column(i)).combine_chunks() if isinstance(drawn.column(i), pa.ChunkedArray) else c
+    fit, asks = _unit(_matrix(column(1), dim)).astype(np.float32), column(2).to_numpy(zero_copy_only=False).astype(bool)
+    cells = fitted_cells(base, fit, drawn.num_rows / rate, dim, cell, coarse)
+    cells.deal(fit, asks, rate, probes, max_angle, block)
     part = np.random.default_rng(1).permutation(len(fit))[:8000]
-    quantiser = Quantiser(dim).fit((fit - centroids[own])[part].astype(np.float64), fit[part].astype(np.float64))
-    model = spark.sparkContext.broadcast((centroids, quantiser))
-    cosines = np.cos(np.radians(max_angle)), np.sin(np.radians(max_angle))
-    probes = min(probes, len(centroids))
+    quantiser = Quantiser(dim).fit((fit[part] - cells.leaves[cells.home(fit[part])]).astype(np.float64), fit[part].astype(np.float64))
+    model = spark.sparkContext.broadcast((cells, quantiser))
+    placed = "cell long, block long, kind byte, id long, vec binary, code binary"
+    names = ["cell", "block", "kind", "id", "vec", "code"]
 
-    def place(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells a query visits, nearest first, and which of them are near enough."""
-        s = x.astype(np.float32) @ c.T
-        near = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-        by = np.take_along_axis(s, near, axis=1)
-        order = np.argsort(-by, axis=1, kind="stable")
-        near, by = np.take_along_axis(near, order, axis=1), np.clip(np.take_along_axis(by, order, axis=1), -1, 1)
-        bound = by[:, :1] * cosines[0] - np.sqrt(1 - by[:, :1] ** 2) * cosines[1]
-        return near, by >= bound
+    def salt(ids: np.ndarray) -> np.ndarray:
+        return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, _ = model.value
-        visits = np.zeros(len(c), np.int64)
-        for b in batches:
-            asks = b.column(2).to_numpy(zero_copy_only=False)
-            near, on = place(_unit(_matrix(b.column(1), dim)), c)
-            np.add.at(visits, near[asks][on[asks]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(visits)), pa.array(visits[visits > 0])], names=["cell", "n"])
-
-    visits = {r["cell"]: r["n"] for r in base.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    blocks = np.ones(len(centroids), np.int64)
-    for c, m in visits.items():
-        blocks[c] = -(-m // block)
-    dealt = spark.sparkContext.broadcast(blocks)
-
-    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stored rows (with code) once per block of their cell, and query rows once per visited cell."""
-        c, quant = model.value
-        per = dealt.value
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector in its cell with its code, once for each block of the cell's queries."""
+        own, quant = model.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                ids, raw = b.column(0).to_numpy(), _matrix(b.column(1), dim).astype(np.float32)
-                stored, asks = b.column(3).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
+                ids, raw = b.column(0).to_numpy(), _matrix(b.column(1), dim)
                 x = _unit(raw)
-                near, on = place(x, c)
-                home = near[:, 0]
-                keep = np.flatnonzero(stored)
-                code = np.zeros((len(x), -(-quant.m // 2)), np.uint8)
-                if len(keep):
-                    code[keep] = pack(quant.codes((x - c[home])[keep], x[keep]))
-                rep = np.repeat(keep, per[home[keep]])
-                nth = np.concatenate([np.arange(v) for v in per[home[keep]]]) if len(keep) else np.zeros(0, np.int64)
-                q, j = np.nonzero(on & asks[:, None])
-                salt = (ids[q].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                cells = np.concatenate([home[rep], near[q, j]])
-                block_no = np.concatenate([nth, salt % per[near[q, j]]])
-                at = np.concatenate([rep, q])
-                kind = np.concatenate([np.zeros(len(rep), np.int8), np.ones(len(q), np.int8)])
-                vec = pa.array([v.tobytes() for v in raw], pa.binary()).take(pa.array(at))
-                codes = pa.array([v.tobytes() for v in code], pa.binary()).take(pa.array(np.where(kind == 0, at, 0)))
-                codes = pa.compute.if_else(pa.array(kind == 0), codes, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(block_no), pa.array(kind), pa.array(ids[at]), vec, codes], names=["cell", "block", "kind", "id", "vec", "code"])
-
-    # the limit on the rank is applied before and after the exchange, so a vector that a third of all rows share is no large group
-    unique = base.dropDuplicates(["id"])
-    copies = Window.partitionBy("vec").orderBy("id")
-    first = unique.withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k + 1)
-    yes, no = F.lit(True), F.lit(False)
-    placed = first.select("id", "vec", no.alias("asks"), yes.alias("stored")).unionByName(unique.where("asks").select("id", "vec", "asks", no.alias("stored")))
-    placed = placed.mapInArrow(assigned, "cell long, block long, kind byte, id long, vec binary, code binary")
-    placed = placed.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+                home = own.home(x.astype(np.float32))
+                code = pack(quant.codes(x - own.leaves[home], x))
+                times = own.query_blocks[home]
+                at = np.repeat(np.arange(len(x)), times)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                part = salt(ids) % own.stored_blocks[home]
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(home[at]), pa.array(part[at] * times[at] + nth), pa.array(np.zeros(len(at), np.int8)), pa.array(ids[at]), _as_binary(raw).take(take), _as_binary(code).take(take)], names=names)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query in the cells that it visits, once for each block of what is stored there."""
+        own, _ = model.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
+                ids, raw = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+                near, on = own.visited(_unit(raw).astype(np.float32), probes, max_angle)
+                q, j = np.nonzero(on)
+                cell_of = near[q, j]
+                times = own.stored_blocks[cell_of]
+                at = np.repeat(np.arange(len(q)), times)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                q, cell_of = q[at], cell_of[at]
+                blocks = nth * own.query_blocks[cell_of] + salt(ids[q]) % own.query_blocks[cell_of]
+                yield pa.RecordBatch.from_arrays([pa.array(cell_of), pa.array(blocks), pa.array(np.ones(len(q), np.int8)), pa.array(ids[q]), _as_binary(raw).take(pa.array(q)), pa.nulls(len(q), pa.binary())], names=names)
+
+    # equal vectors meet by two hashes of 64 bits
+    copies = Window.partitionBy("h1", "h2").orderBy("id")
+    first = base.select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")).withColumn("__n", F.dense_rank().over(copies)).where(F.col("__n") <= k + 1).select("id", "vec")
+    both = first.mapInArrow(stored, placed).unionByName(base.where("asks").select("id", "vec").mapInArrow(asking, placed))
+    both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, quant = model.value
+        own, quant = model.value
         key, stored_ids, stored_vec, stored_code = None, [], [], []
         ready = None
 
         def build():
             ids = np.concatenate(stored_ids)
-            _, first = np.unique(ids, return_index=True)
-            x = _unit(np.concatenate(stored_vec)[first])
-            approx = (c[key[0]] + quant.decode(unpack(np.concatenate(stored_code)[first]))).astype(np.float32)
-            slack = (0.5 * np.linalg.norm(x - approx, axis=1)).astype(np.float32)
+            vec = np.concatenate(stored_vec)
+            _, first = np.unique(np.concatenate([ids[:, None], vec.view(np.int32)], axis=1), axis=0, return_index=True)
+            first = first[np.argsort(ids[first], kind="stable")]
+            x = _unit(vec[first])
+            approx = (own.leaves[key[0]] + quant.decode(unpack(np.concatenate(stored_code)[first]))).astype(np.float32)
+            slack = (np.linalg.norm(x - approx, axis=1) + 1e-6).astype(np.float32)
             return ids[first], x, approx, slack
 
         for b in batches:
-            cells, blocks_, kinds = (b.column(i).to_numpy() for i in range(3))
+            cells_, blocks_, kinds = (b.column(i).to_numpy() for i in range(3))
             ids = b.column(3).to_numpy()
-            edge = np.flatnonzero((np.diff(cells) != 0) | (np.diff(blocks_) != 0) | (np.diff(kinds) != 0)) + 1
+            edge = np.flatnonzero((np.diff(cells_) != 0) | (np.diff(blocks_) != 0) | (np.diff(kinds) != 0)) + 1
             found = []
-            for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(cells)]):
+            for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(cells_)]):
                 if a == z:
                     continue
-                if key != (cells[a], blocks_[a]):
-                    key, stored_ids, stored_vec, stored_code, ready = (cells[a], blocks_[a]), [], [], [], None
-                raw = np.frombuffer(b"".join(b.column(4).slice(a, z - a).to_pylist()), np.float32).reshape(z - a, dim)
+                if key != (cells_[a], blocks_[a]):
+                    key, stored_ids, stored_vec, stored_code, ready = (cells_[a], blocks_[a]), [], [], [], None
+                raw = _from_binary(b.column(4).slice(a, z - a), np.float32, dim)
                 if kinds[a] == 0:
-                    stored_ids.append(ids[a:z])
-                    stored_vec.append(raw)
-                    stored_code.append(np.frombuffer(b"".join(b.column(5).slice(a, z - a).to_pylist()), np.uint8).reshape(z - a, -1))
+                    stored_ids.append(ids[a:z].copy())
+                    stored_vec.append(raw.copy())
+                    stored_code.append(_from_binary(b.column(5).slice(a, z - a), np.uint8, -(-quant.m // 2)).copy())
                     continue
                 if not stored_ids:
                     continue
                 if ready is None:
                     ready = build()
                 x_ids, x, approx, slack = ready
-                q_ids, first = np.unique(ids[a:z], return_index=True)
-                q = _unit(raw[first])
+                q = _unit(raw)
                 step = max(16, 1_000_000 // max(1, len(x)))
                 for i in range(0, len(q), step):
-                    found.append(exact_best(q[i : i + step], q_ids[i : i + step], x, x_ids, q[i : i + step].astype(np.float32) @ approx.T, slack, k, min_cosine))
+                    found.append(exact_best(q[i : i + step], ids[a + i : min(z, a + i + step)], x, x_ids, q[i : i + step].astype(np.float32) @ approx.T, slack, k, min_cosine))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[j] for f in found])) for j in range(3)], names=["id", "other", "cosine"])
 
-    pairs = placed.mapInArrow(searched, "id long, other long, cosine double")
+    pairs = both.mapInArrow(searched, "id long, other long, cosine double")
     by = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
-    # a query that came in two batches of one cell may give a pair twice
+    # a query that came twice may give a pair twice
     pairs = pairs.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     return pairs.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n")
 

@@ -267,6 +267,29 @@ def test_pairs_match_brute_force(spark):
     assert N.similar_pairs(df.limit(1), dim=16).count() == 0
 
 
+def test_recall_with_default_probes_over_many_cells(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 64))
+    x = np.concatenate([c + rng.normal(scale=0.35, size=(50, 64)) for c in centres]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    true = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-c[i])[:10]}
+    # one level, two levels, and cells dealt out over a grid of small blocks
+    for options in ({}, {"sample": 400, "coarse": 12}, {"block": 40}):
+        got = {(r["id"], r["other"]) for r in N.nearest(df, cell=48, **options).collect()}
+        assert len(got & true) / len(true) >= 0.9, options
+
+
+def test_near_equal_vectors_are_dealt_out(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones(64) + 1e-3 * rng.normal(size=(700, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    got = {tuple(r) for r in N.similar_pairs(df, block=50).collect()}
+    assert got == brute(np.arange(700), x.astype(np.float64), 10, 0.9)
+
+
 def test_equal_vectors_go_to_smaller_ids(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=16).astype(np.float32).tolist()
