@@ -58,6 +58,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(_pages(spark, d)).select("id", "line_no")
 
 
+def p4_by_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stand in many different texts and under several dates of a site, whatever the copies of one text."""
+    from tamarack.llm.repeated_lines import repeated_lines
+
+    return repeated_lines(_pages(spark, d), by="clusters").select("id", "line_no", "n_rows", "n_clusters", "n_dates")
+
+
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.repeated_lines import repeated_lines, without_repeated_lines
 
@@ -143,7 +150,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_cleaned, p5_found, p5_redacted, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_by_clusters, p4_cleaned, p5_found, p5_redacted, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
 P2_SQL = """
@@ -160,17 +167,27 @@ SELECT tg_id, first_id, CASE WHEN t = 0 THEN 'empty' WHEN nn > 0 OR fr = 3 THEN
 FROM a WHERE t = 0 OR nn > 0 OR fr = 3 OR lr = 0 OR bb > 0
 """
 
-P4_SQL = """
+_P4 = """
 WITH reg AS (SELECT file, min(regexp_replace(regexp_extract(lower(trim(split_part(url,'|',1))), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), '^www\\.', '')) h FROM sources WHERE file IS NOT NULL GROUP BY file),
 p AS (SELECT id, content, coalesce(nullif(regexp_replace(regexp_extract(lower(trim(split_part(d.metadata.source_url,'|',1))), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), '^www\\.', ''), ''), h) site
   FROM (SELECT DISTINCT ON (id) * FROM simple_documents) d LEFT JOIN reg ON reg.file = d.metadata.source WHERE coalesce(d.metadata.is_yaml_fact, false) = false),
 l AS (SELECT id, site, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) - 1 line_no FROM p WHERE site IS NOT NULL),
 k AS (SELECT id, site, line_no, lower(regexp_replace(line, '[^\\p{L}]+', '', 'g')) x FROM l),
-n AS (SELECT site, count(DISTINCT id) sn FROM p WHERE site IS NOT NULL GROUP BY site),
+"""
+
+P4_SQL = f"""{_P4}n AS (SELECT site, count(DISTINCT id) sn FROM p WHERE site IS NOT NULL GROUP BY site),
 r AS (SELECT site, x FROM (SELECT site, x, count(DISTINCT id) c FROM k WHERE x <> '' GROUP BY site, x) JOIN n USING (site) WHERE c >= 5 AND c >= 0.2 * sn)
 SELECT k.id, CAST(k.line_no AS INTEGER) line_no FROM k JOIN r USING (site, x)
 """
 
+P4_CLUSTERS_SQL = f"""{_P4}c AS (SELECT id, string_agg(x, chr(10) ORDER BY line_no) FILTER (WHERE x <> '') letters FROM k GROUP BY id),
+q AS (SELECT p.id, p.site, coalesce(letters, '') cl, nullif(regexp_extract(coalesce(content, ''), '(?:^|\\n)[^\\d\\n]{{3,60}}(\\d{{1,2}}\\.\\d{{1,2}}\\.(?:19|20)\\d{{2}}|(?:19|20)\\d{{2}}-\\d{{2}}-\\d{{2}})[ \\t\\r]*(?:\\n|\\z)', 1), '') dy FROM p LEFT JOIN c USING (id) WHERE p.site IS NOT NULL),
+n AS (SELECT site, count(DISTINCT cl) sn, count(DISTINCT dy) dn FROM q GROUP BY site),
+r AS (SELECT k.site, k.x, count(DISTINCT k.id) n_rows, count(DISTINCT cl) n_clusters, count(DISTINCT dy) n_dates FROM k JOIN q USING (id) WHERE k.x <> '' GROUP BY k.site, k.x)
+SELECT k.id, CAST(k.line_no AS INTEGER) line_no, r.n_rows, r.n_clusters, r.n_dates FROM k JOIN r USING (site, x) JOIN n ON n.site = k.site
+WHERE r.n_clusters >= 5 AND r.n_clusters >= 0.2 * n.sn AND r.n_dates >= least(2, n.dn)
+"""
+
 
 P7_SQL = """
 SELECT DISTINCT 'content' item_kind, CAST(id AS VARCHAR) item_key, CAST(0 AS INTEGER) pos FROM simple_documents WHERE length(content) > 1600
@@ -189,4 +206,4 @@ SELECT DISTINCT least(x, y) id_a, greatest(x, y) id_b FROM t WHERE r <= 10
 
 
 def oracle_sql() -> dict:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_by_clusters": P4_CLUSTERS_SQL, "p7_found": P7_SQL}

@@ -1,17 +1,24 @@
 """Lines repeated across the documents of one site.
 
-Lines are compared by their letters, lower-cased. A line is repeated if it stands in at least min_share of a site's rows and
-in at least min_rows of them. Copies of a document are collapsed first: a row counts by its id and a text by its
-fingerprint, so that a republished article counts as one cluster; min_clusters and min_dates further demand that a line
-stands in so many different texts and under so many publication dates, where that evidence is wanted beside the row rule.
+Lines are compared by their letters, lower-cased. Documents whose lines have the same letters in the same order are copies of one
+another, whatever their numbers, dates and blanks, and form a cluster: a republished article is one. A line's occurrences are
+collapsed to clusters first, each with the number of rows it stands for and the publication dates its rows state, and the line is
+then counted over these: rows (the sum of the weights), clusters and dates in one go.
+
+Two rules decide. by="rows": a line is repeated if it stands in at least min_share of a site's rows and in at least min_rows
+of them; clusters and dates are reported beside. by="clusters": if it stands in so large a share of the site's clusters, in min_rows
+of them, and under at least min_dates dates (or as many as the site states at all), so that one article in a hundred copies makes no
+boilerplate.
 
 Plan. (1) Count lines per site including copies; that needs no distinct step, so nearly all of it is combined before the
 shuffle, and hot sites (a third of all rows, say) shrink to their distinct lines on every mapper. What stays above
 the threshold is a superset of the answer, and small: at most 1/min_share times the lines of an average page per site.
-(2) Only the occurrences of these candidates are counted exactly (distinct ids, texts, dates). The candidates are joined by
+(2) Only the occurrences of these candidates are collapsed and counted exactly. The candidates are joined by
 their hash: as a broadcast while there are at most broadcast_rows of them (they are counted first), by a shuffle beyond that.
 The content itself is never shuffled in finding lines.
 
+For by="clusters" step (1) takes the lower bound that clusters set: a line in so many clusters stands in at least as many rows.
+
 Defined results: null or empty contents have no lines; lines without letters never count; a site of one row has no repeated
 lines; rows without site or with is_yaml_fact true take no part; rows with the same id count once, and their lines come out
 once; extra columns are carried through removal.
@@ -44,11 +51,20 @@ def line_keys(content: Column) -> Column:
 
 
 def published(content: Column) -> Column:
-    """Day of a publication or change stated in the text, as text; null if there is none."""
-    found = F.regexp_extract(content, r"(?m)^\D{3,60}(\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}|(?:19|20)\d{2}-\d{2}-\d{2})\s*$", 1)
+    """Day of a publication or change stated at the end of a line, as text; null if there is none."""
+    found = F.regexp_extract(content, DATED, 1)
     return F.when(F.length(found) > 0, found)
 
 
+#: A line of words that ends with a date.
+DATED = r"(?:^|\n)[^\d\n]{3,60}(\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}|(?:19|20)\d{2}-\d{2}-\d{2})[ \t\r]*(?:\n|\z)"
+
+
+def cluster_of(keys: Column) -> Column:
+    """What documents with the same letters in the same lines share."""
+    return F.xxhash64(F.array_compact(keys))
+
+
 def repeated_lines(
     docs: DataFrame,
     id_col: str = "id",
@@ -56,29 +72,37 @@ def repeated_lines(
     site: str = "site",
     min_share: float = 0.2,
     min_rows: int = 5,
-    min_clusters: int = 1,
-    min_dates: int = 0,
+    by: str = "rows",
+    min_dates: int = 2,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(site, line_key, n_rows, n_clusters, n_dates) of repeated lines and, joined to it, their occurrences (id, line_no)."""
-    base = docs.where(F.col(site).isNotNull() & F.col(content).isNotNull()).select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.col(content).alias("__c"))
-    totals = docs.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("site")).agg(F.count_distinct(F.col(id_col)).alias("site_rows"))
+    if by not in ("rows", "clusters"):
+        raise ValueError("by is rows or clusters")
+    own = docs.where(F.col(f"`{site}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{site}`").alias("site"), F.col(f"`{content}`").alias("__c"))
+    if by == "rows":
+        totals = own.groupBy("site").agg(F.count_distinct("id").alias("total"), F.lit(0).cast("long").alias("dates"))
+    else:
+        each = own.select("site", cluster_of(line_keys(F.coalesce("__c", F.lit("")))).alias("cluster"), published(F.col("__c")).alias("day"))
+        totals = each.groupBy("site").agg(F.count_distinct("cluster").alias("total"), F.count_distinct("day").alias("dates"))
+    base = own.where(F.col("__c").isNotNull())
+    enough = lambda n: F.col(n) >= F.greatest(F.lit(float(min_rows)), F.col("total") * F.lit(min_share)) - F.lit(1e-9)
     keys = base.select("site", F.explode(F.array_distinct(line_keys(F.col("__c")))).alias("line_key")).where("line_key is not null")
-    share = F.greatest(F.lit(float(min_rows)), F.col("site_rows") * F.lit(min_share))
-    enough = lambda n: F.col(n) >= share - F.lit(1e-9)
     # sites are few beside rows, but the join stays open to the optimizer: its size is known at run time
     frequent = keys.groupBy("site", "line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
-    candidates = cut(frequent.join(totals, "site").where(enough("n")).select("site", "line_key", "site_rows"))
+    candidates = cut(frequent.join(totals, "site").where(enough("n")).select("site", "line_key", "total", "dates"))
     hint = F.broadcast(candidates) if candidates.count() <= broadcast_rows else candidates
-    lines = base.select("id", "site", F.xxhash64("__c").alias("cluster"), published(F.col("__c")).alias("day") if min_dates else F.lit(None).cast("string").alias("day"), F.posexplode(line_keys(F.col("__c"))).alias("line_no", "line_key"))
-    found = lines.where("line_key is not null").join(hint, ["site", "line_key"])
-    found = found.groupBy("site", "line_key", "id", "line_no").agg(F.first("cluster").alias("cluster"), F.first("day").alias("day"), F.first("site_rows").alias("site_rows"))
-    found = cut(found)
-    per_line = found.groupBy("site", "line_key").agg(
-        F.count_distinct("id").alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"), F.count_distinct("day").alias("n_dates"), F.first("site_rows").alias("site_rows")
-    )
-    per_line = per_line.where(enough("n_rows") & (F.col("n_clusters") >= min_clusters) & (F.col("n_dates") >= min_dates)).drop("site_rows")
-    return found.select("site", "line_key", "id", "line_no").join(per_line, ["site", "line_key"])
+    lines = base.select("id", "site", published(F.col("__c")).alias("day"), line_keys(F.col("__c")).alias("__k"))
+    lines = lines.select("id", "site", "day", cluster_of(F.col("__k")).alias("cluster"), F.posexplode("__k").alias("line_no", "line_key"))
+    found = cut(lines.where("line_key is not null").join(hint.select("site", "line_key"), ["site", "line_key"]))
+    # copies are collapsed before anything is counted: first rows of an id, then ids of a cluster
+    rows = found.groupBy("site", "line_key", "id").agg(F.min("cluster").alias("cluster"), F.min("day").alias("day"))
+    clusters = rows.groupBy("site", "line_key", "cluster", "day").agg(F.count("*").alias("weight"))
+    per_line = clusters.groupBy("site", "line_key").agg(F.sum("weight").alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"), F.count_distinct("day").alias("n_dates"))
+    per_line = per_line.join(hint, ["site", "line_key"])
+    repeated = enough("n_rows") if by == "rows" else enough("n_clusters") & (F.col("n_dates") >= F.least(F.lit(min_dates), "dates"))
+    occurrences = found.select("site", "line_key", "id", "line_no").distinct()
+    return occurrences.join(per_line.where(repeated).drop("total", "dates"), ["site", "line_key"])
 
 
 def without_repeated_lines(docs: DataFrame, occurrences: DataFrame, id_col: str = "id", content: str = "content", out: str = "cleaned") -> DataFrame:

@@ -111,12 +111,27 @@ def test_repeated_lines(spark):
     got = {(r["id"], r["line_no"]) for r in R.repeated_lines(df).select("id", "line_no").collect()}
     assert got == {(i, 1) for i in range(20)} | {(i, 0) for i in range(3)}
     assert {(r["id"], r["line_no"]) for r in R.repeated_lines(df, broadcast_rows=0).select("id", "line_no").collect()} == got
-    assert R.repeated_lines(df, min_clusters=99).count() == 0
+    assert {(r["id"], r["line_no"]) for r in R.repeated_lines(df, by="clusters").select("id", "line_no").collect()} == {(i, 1) for i in range(20)} | {(i, 0) for i in range(3)}
     assert R.repeated_lines(df.limit(0)).count() == 0
     clean = R.without_repeated_lines(df, R.repeated_lines(df))
     assert clean.count() == len(rows) and clean.where("id = 5").first()["cleaned"] == "Unique text fq\n\n123"
 
 
+def test_copies_of_one_text_make_no_boilerplate(spark):
+    article = "Rooms in the hall are given by lot\nBring a passport\nPublished 0{}.03.2024"
+    rows = [(i, article.format(1 + i % 5), "s") for i in range(40)]  # republished under five dates: one cluster
+    words = "ash birch cedar elm fir hazel larch maple oak pine".split()
+    rows += [(100 + i, f"About {w} trees\nShare with friends\nChanged on 1{i}.04.2024", "s") for i, w in enumerate(words)]
+    rows += [(200 + i, f"About {w} wood\nShare with friends", "t") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "id long, content string, site string")
+    plain = R.repeated_lines(df.where("site = 's'")).select("id", "line_no", "n_rows", "n_clusters", "n_dates")
+    assert {(r["n_rows"], r["n_clusters"], r["n_dates"]) for r in plain.where("id = 0").collect()} == {(40, 1, 5)}
+    assert plain.where("id >= 100 and line_no = 1").count() == 10
+    got = {(r["id"], r["line_no"]) for r in R.repeated_lines(df, by="clusters").collect()}
+    assert got == {(100 + i, line) for i in range(10) for line in (1, 2)} | {(200 + i, 1) for i in range(10)}
+    assert R.repeated_lines(df.limit(0), by="clusters").count() == 0
+
+
 # --- conversations -----------------------------------------------------------------------------------------------------
 
 
