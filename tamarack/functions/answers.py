@@ -63,10 +63,15 @@ def embedding_key(text: Column, dims: int | None = None) -> Column:
     return F.concat(F.sha2(text, 256), F.lit(f"_t{dims}" if dims else ""))
 
 
-@F.pandas_udf(StringType())
-def even_spacing(text: pd.Series) -> pd.Series:
-    """Entities decoded, hard and narrow blanks made plain, runs of blanks made one."""
-    return text.map(lambda t: None if t is None else re.sub(r"[ \t]{2,}", " ", html.unescape(t).replace(" ", " ").replace(" ", " ")))
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def even_spacing(text: Column | str) -> Column:
+    """Entities decoded, hard and narrow blanks made plain, runs of blanks made one. Only texts with an & meet Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    decoded = F.when(F.contains(text, F.lit("&")), F.pandas_udf(_unescaped, StringType())(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+    return F.regexp_replace(F.translate(decoded, "\u00a0\u202f", "  "), r"[ \t]{2,}", " ")
 
 
 def cards(text: str, trigger: str, headers: Sequence[str], row_start: str, sections: Sequence[str] = ()) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamarack.functions import lexicons as X
+from tamarack.functions import text as T
 
 
 def lowered(text: Column) -> Column:
@@ -191,27 +192,48 @@ def fact_entity_type(fact_type: Column, topic_col: Column, source: Column) -> Co
 
 
 def _joined_groups(groups: list[Column]) -> Column:
+    """The groups of each match that aren't empty, joined by a blank."""
     out = groups[0]
     for g in groups[1:]:
-        out = F.zip_with(out, g, lambda a, b: F.concat_ws(" ", a, b))
+        out = F.zip_with(out, g, lambda a, b: F.concat_ws(" ", T.missing(a), T.missing(b)))
     return out
 
 
-def _typed(values: Column, kind: str) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
+def entity_name(kind: str, value: Column) -> Column:
+    """One spelling for what goes by several: names of the fixed tables, programmes in lower case, levels in capitals."""
+    if kind == "language_level":
+        return F.upper(value)
+    names = X.ENTITY_NAMES.get(kind)
+    if names is None:
+        return value
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(value)), F.lower(value) if kind == "program" else value)
 
 
-def entities(text: Column) -> Column:
-    """Array of (entity_type, entity_value): what the patterns' groups hold, joined by a blank; first of equal ones without case."""
+def _typed(values: Column, kind: str, named: bool) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), (entity_name(kind, v) if named else v).alias("entity_value")))
+
+
+def entities(text: Column, named: bool = True) -> Column:
+    """Array of (entity_type, entity_value): what the patterns' groups hold, joined by a blank, under one name; first of equal ones.
+
+    named off leaves the values as they are written.
+    """
     found = []
     for kind, patterns in X.ENTITIES.items():
-        flag = "(?U)" if kind in X.CASED_ENTITIES else "(?iU)"
         for p in patterns:
             groups = re.compile(p).groups
-            each = [F.regexp_extract_all(text, F.lit(flag + p), F.lit(g)) for g in (range(1, groups + 1) if groups else [0])]
+            each = [F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(g)) for g in (range(1, groups + 1) if groups else [0])]
             values = each[0] if len(each) == 1 else _joined_groups(each)
             values = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 1)
-            found.append(_typed(values, kind))
+            found.append(_typed(values, kind, named))
     every = F.concat(*found)
     keys = F.transform(every, lambda e: F.concat_ws("\x1f", e["entity_type"], F.lower(e["entity_value"])))
     return F.filter(every, lambda e, i: F.array_position(keys, F.concat_ws("\x1f", e["entity_type"], F.lower(e["entity_value"]))) == i + 1)
+
+
+def reported_facts(question: Column) -> Column:
+    """Map of what a user says about a document of theirs: done, not_done, or nothing."""
+    state = lambda t: F.when(contains_any(t, [X.REPORTED]), F.when(contains_any(t, X.LACKING), "not_done").when(contains_any(t, X.HAVING), "done"))
+    said = bound(F.lower(F.coalesce(question, F.lit(""))), state)
+    return F.when(said.isNotNull(), F.create_map(F.lit(X.REPORTED), said)).otherwise(F.create_map().cast("map<string,string>"))

@@ -207,7 +207,46 @@ ENTITIES = {
     "city": [r"\b(вен[аеу]|vienna|wien)\b", r"\b(грац[е]?|graz)\b", r"\b(инсбрук[е]?|innsbruck)\b", r"\b(линц[е]?|linz)\b", r"\b(зальцбург[е]?|salzburg)\b"],
     "language_level": [r"\b([ABC][12])\b", r"\b(goethe|ösd|osd|testdaf|dsh|ielts|toefl)\b"],
 }
-CASED_ENTITIES = {"deadline"}
+# One name for each spelling, in lower case.
+ENTITY_NAMES = {
+    "university": {
+        "universität wien": "Uni Wien",
+        "uni wien": "Uni Wien",
+        "университет вена": "Uni Wien",
+        "tu wien": "TU Wien",
+        "technische wien": "TU Wien",
+        "tu graz": "TU Graz",
+        "technische graz": "TU Graz",
+        "wu wien": "WU Wien",
+        "meduni wien": "MedUni Wien",
+        "jku linz": "JKU Linz",
+        "boku": "BOKU Wien",
+        "uni graz": "Uni Graz",
+        "universität graz": "Uni Graz",
+        "университет грац": "Uni Graz",
+        "uni innsbruck": "Uni Innsbruck",
+        "universität innsbruck": "Uni Innsbruck",
+        "университет инсбрук": "Uni Innsbruck",
+        "uni salzburg": "Uni Salzburg",
+        "universität salzburg": "Uni Salzburg",
+        "университет зальцбург": "Uni Salzburg",
+    },
+    "city": {
+        "вена": "Vienna", "вене": "Vienna", "вену": "Vienna", "vienna": "Vienna", "wien": "Vienna",
+        "грац": "Graz", "граце": "Graz", "graz": "Graz",
+        "инсбрук": "Innsbruck", "инсбруке": "Innsbruck", "innsbruck": "Innsbruck",
+        "линц": "Linz", "линце": "Linz", "linz": "Linz",
+        "зальцбург": "Salzburg", "зальцбурге": "Salzburg", "salzburg": "Salzburg",
+    },
+    "program": {"bachelor": "bachelor", "бакалавр": "bachelor", "master": "master", "магистр": "master", "phd": "phd", "докторант": "phd"},
+}
+# A document that users report on, and what says that they lack or have it; lacking is looked for first.
+REPORTED = "zulassungsbescheid"
+LACKING = [
+    "не получил", "не получал", "не получала", "еще не получил", "ещё не получил", "еще не получал", "ещё не получал", "еще не получала", "ещё не получала",
+    "пока не получил", "пока не получал", "пока не получала", "нет zulassungsbescheid", "zulassungsbescheid нет", "не получен",
+]
+HAVING = ["получил", "получила", "получен", "уже есть", "есть zulassungsbescheid", "имею zulassungsbescheid", "на руках zulassungsbescheid"]
 
 # Topics and places that give a chunk its type.
 TOPIC_TYPES = {

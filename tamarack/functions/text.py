@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tags that stay, notices, prefixes.
-ALLOWED_TAGS = ["b", "strong", "i", "em", "u", "ins", "s", "strike", "del", "code", "pre", "a", "blockquote", "tg-spoiler", "span"]
-BLOCK_TAGS = ["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table"]
+ALLOWED_TAGS = ["b", "strong", "i", "em", "u", "ins", "s", "strike", "del", "a", "code", "pre", "blockquote", "tg-spoiler", "span"]
+BLOCK_TAGS = ["p", "div", "li", "ul", "ol", "details", "summary", "section", "article", "header", "footer", "h[1-6]", "tr", "td", "th", "table", "thead", "tbody"]
 MIN_CONTENT = 400
 
 
@@ -17,7 +17,7 @@ def short_hash(text: Column, length: int = 8) -> Column:
 
 def strip_python(text: Column) -> Column:
     """White space of both ends, of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def clean_lines(text: Column) -> Column:
@@ -27,9 +27,13 @@ def clean_lines(text: Column) -> Column:
 
 
 def drop_letter_lines(text: Column, longest: int = 100) -> Column:
-    """Without lines shorter than longest that hold Latin letters, blanks and stops only and end with a stop."""
-    keep = lambda x: ~(x.rlike(r"(?i)^[a-zäöüß\s.]+\.$") & (F.length(x) < longest))
-    return F.array_join(F.filter(F.split(text, "\n", -1), keep), "\n")
+    """Without lines that, stripped, are shorter than longest, hold letters of German, blanks and stops only and end with a stop."""
+
+    def keep(line: Column) -> Column:
+        bare = strip_python(line)
+        return ~(bare.rlike(r"(?iU)\A[a-zäöüß\s.]+\.\z") & (F.length(bare) < longest))
+
+    return strip_python(F.array_join(F.filter(F.split(text, "\n", -1), keep), "\n"))
 
 
 def validity(text: Column, least: int = MIN_CONTENT) -> Column:
@@ -67,20 +71,24 @@ def parent_id(source: Column, section: Column, content: Column) -> Column:
     return short_hash(F.concat_ws(":", none(source), none(section), F.substring(none(content), 1, 100)), 16)
 
 
+def _without_blank_runs(text: Column) -> Column:
+    return strip_python(F.regexp_replace(text, "\n{3,}", "\n\n"))
+
+
 def sanitized_html(text: Column) -> Column:
     """Block tags and <br> become line ends, tags outside the allowed ones go, their content stays."""
-    out = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s[^>]*)?/?>", "\n")
-    out = F.regexp_replace(out, rf"(?i)<(?!/?(?:{'|'.join(ALLOWED_TAGS)})(?:\s[^>]*)?>)/?[a-z][^>]*>", "")
-    return strip_python(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    out = F.regexp_replace(text, rf"(?iU)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s+[^>]*)?>", "\n")
+    out = F.regexp_replace(out, r"(?iU)<br\s*/?>", "\n")
+    tag = r"[\w-]*(?:\s+[^>]*)?/?>"
+    out = F.regexp_replace(out, rf"(?iU)</?(?!(?:{'|'.join(ALLOWED_TAGS)})(?:\s+[^>]*)?/?>)\w{tag}", "")
+    return _without_blank_runs(out)
 
 
 def plain_text(text: Column) -> Column:
     """As sanitized_html, without any tags."""
-    out = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s[^>]*)?/?>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    return strip_python(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    out = F.regexp_replace(text, r"(?iU)<br\s*/?>", "\n")
+    out = F.regexp_replace(out, rf"(?iU)</?(?:{'|'.join(BLOCK_TAGS)})[^>]*>", "\n")
+    return _without_blank_runs(F.regexp_replace(out, r"<[^>]+>", ""))
 
 
 def cited_numbers(text: Column) -> Column:
@@ -122,7 +130,7 @@ def faithfulness(response: Column) -> Column:
 
 def last_words(text: Column, n: int = 250) -> Column:
     """Text of n words at most: the last ones, marked by a leading '... '."""
-    w = F.split(F.trim(text), r"\s+")
+    w = F.split(strip_python(text), r"(?U)[\s\x1c-\x1f]+")
     return F.when(F.size(w) > n, F.concat(F.lit("... "), F.concat_ws(" ", F.slice(w, -n, n)))).otherwise(text)
 
 

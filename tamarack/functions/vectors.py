@@ -26,3 +26,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def truncated(v: Column, dims: int) -> Column:
     return F.slice(v, 1, dims)
+
+
+def usable(v: Column, dims: int) -> Column:
+    """Whether a vector has dims finite numbers, not all zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce((F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0), F.lit(False))

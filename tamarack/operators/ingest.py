@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -117,24 +117,23 @@ def html_text(html: str | None, dropped: set[str] = DROPPED, main_only: bool = T
 
 
 def without_repeated_blocks(text: str, size: int = 4) -> str:
-    """Text without blocks of so many lines that stood in it before."""
+    """Text without blocks of so many lines that stood in it before.
+
+    A window of size lines, at most one of them blank, is born where its text stands first. Each later window of that text goes, and
+    with it a shorter window behind it, at the end of the text, if that repeats one too. Without such windows the text stays as it is.
+    """
     lines = text.split("\n")
-    if len(lines) < 2 * size:
+    windows = ["\n".join(lines[i : i + size]).strip() for i in range(len(lines))]
+    whole = len(lines) - size + 1
+    if whole <= size:
         return text
-    key = lambda i: "\n".join(lines[i : i + size]).strip()
-    met: set[str] = set()
-    gone: set[int] = set()
-    for i in range(len(lines) - size + 1):
-        if sum(bool(x.strip()) for x in lines[i : i + size]) < size - 1 or not key(i):
-            continue
-        if key(i) not in met:
-            met.add(key(i))
-            continue
-        j = i
-        while j + size <= len(lines) and key(j) in met:
-            gone.update(range(j, j + size))
-            j += size
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone).strip()
+    blanks = np.cumsum([0, *(not x.strip() for x in lines)])
+    solid = [i for i in range(whole) if blanks[i + size] - blanks[i] <= 1 and windows[i]]
+    born = {windows[i]: i for i in reversed(solid)}
+    repeats = [i for i in solid if born[windows[i]] < i]
+    tails = [i + size for i in repeats if whole <= i + size < len(lines) and born.get(windows[i + size], i) < i]
+    gone = {line for i in repeats + tails for line in range(i, i + size)}
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone).strip() if gone else text
 
 
 @F.pandas_udf(StringType())
@@ -179,14 +178,32 @@ def vocabulary_errors(rows: DataFrame, id_col: str, allowed: dict[str, list[str]
     return out
 
 
-def freshness_groups(chunks: DataFrame, url: str = "source_url", content: str = "content", pos: str = "id", most_per_url: int = 10_000) -> DataFrame:
-    """(url, n_chunks, content_hash, n_chars): chunks of one address (without fragment, first of several) as one text's fingerprint.
+def page_address(url: Column) -> Column:
+    """An address without its fragment, the first of several; null for none."""
+    return F.nullif(F.trim(F.substring_index(F.substring_index(url, "|", 1), "#", 1)), F.lit(""))
+
 
-    The fingerprint is an order-independent sum of chunk hashes, so that an address with very many chunks needs no long list.
+def freshness_groups(chunks: DataFrame, url: str = "source_url", content: str = "content") -> DataFrame:
+    """(url, n_chunks, n_chars, content_hash): chunks of one address as one text's fingerprint.
+
+    The fingerprint sums the chunks' hashes (modulo 2**64), so that it depends on every copy of a chunk and on no order, and an
+    address with very many chunks needs no long list.
     """
-    address = F.trim(F.substring_index(F.substring_index(F.col(url), "|", 1), "#", 1))
-    rows = chunks.withColumn("__u", address).where((F.col("__u") != "") & F.col("__u").isNotNull() & F.col(content).isNotNull())
-    return rows.groupBy(F.col("__u").alias("url")).agg(F.count("*").alias("n_chunks"), F.sum(F.length(content)).alias("n_chars"), F.bit_xor(F.xxhash64(content)).alias("content_hash"))
+    rows = chunks.withColumn("__u", page_address(F.col(url))).where(F.col("__u").isNotNull() & F.col(content).isNotNull())
+    # sums of seven hexadecimal digits of each hash don't overflow, whatever the number of chunks
+    part = F.conv(F.substring(F.md5(content), 1, 7), 16, 10).cast("long")
+    return rows.groupBy(F.col("__u").alias("url")).agg(F.count("*").alias("n_chunks"), F.sum(F.length(content)).alias("n_chars"), F.sum(part).alias("content_hash"))
+
+
+def joined_contents(chunks: DataFrame, url: str = "source_url", content: str = "content", pos: str = "pos", most: int = 1000) -> DataFrame:
+    """(url, part, text): the chunks of one address in their order, joined by blank lines, as the text that is compared to the page.
+
+    An address with more than most chunks comes out in parts of so many, so that no list is long.
+    """
+    rows = chunks.select(page_address(F.col(url)).alias("url"), F.col(pos).alias("__p"), F.col(content).alias("__t")).where("url is not null and __t is not null")
+    rows = rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("url").orderBy("__p")) - 1) / most).cast("int"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("__p", "__t"))), lambda x: x["__t"])
+    return rows.groupBy("url", "part").agg(F.array_join(texts, "\n\n").alias("text"))
 
 
 def verdicts(rows: DataFrame, response: str = "response") -> DataFrame:
@@ -200,10 +217,6 @@ def source_registry(pages: DataFrame) -> DataFrame:
     return pages.select("file", "url", "status", "content_hash", F.concat_ws(" | ", F.lit(""), "file", "url", "status", "content_hash", F.lit("")).alias("row"))
 
 
-def json_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
-
-
 def parse_yaml(text: str | None):
     """Mapping of a YAML text, or None."""
     import yaml
@@ -220,8 +233,3 @@ def yaml_json(text: pd.Series) -> pd.Series:
     """A YAML mapping as JSON text; null for anything else."""
     return text.map(lambda t: json.dumps(v, ensure_ascii=False, default=str) if (v := parse_yaml(t)) is not None else None)
 
-
-def split_batches(frames: Iterator[pd.DataFrame], function, columns: list[str]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = [r for record in f.to_dict("records") for r in function(record)]
-        yield pd.DataFrame(rows, columns=columns)

@@ -25,11 +25,13 @@ def yaml_files(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, "*.yaml").where(~F.col("name").startswith("_") & (F.col("name") != "schema.yaml"))
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages (url, html, status) from Parquet or JSON lines; what isn't status 200 has its error as text."""
-    rows = spark.read.parquet(path) if "parquet" in path else spark.read.json(path)
-    status = F.coalesce(F.col("status").cast("int"), F.lit(200)) if "status" in rows.columns else F.lit(200)
-    return rows.select("url", F.when(status == 200, F.col("html")).alias("html"), F.when(status != 200, F.concat(F.lit("HTTP ERROR: "), status.cast("string"))).alias("fetch_error"))
+def pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Fetched pages (url, html, status, error) from Parquet or JSON lines; a page that failed or isn't status 200 has its error as text."""
+    rows = spark.read.format(format).load(path)
+    column = lambda name, kind: F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+    status, failed = F.coalesce(column("status", "int"), F.lit(200)), column("error", "string")
+    error = F.when(failed.isNotNull(), F.concat(F.lit("FETCH ERROR: "), failed)).when(status != 200, F.concat(F.lit("HTTP ERROR: "), status.cast("string")))
+    return rows.select("url", F.when(error.isNull(), F.col("html")).alias("html"), error.alias("fetch_error"))
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +44,15 @@ def write_chunks(chunks: DataFrame, path: str, partition: str | None = None) ->
 
 
 def append_with_ids(spark: SparkSession, path: str, rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """Appends rows with ids above the ones there are; returns what was added. Rows without an embedding are left out."""
+    """Appends rows with ids above the ones there are; returns what was added, read back, as ids are given anew at each run of a plan.
+
+    Rows without an embedding are left out.
+    """
     top = spark.read.parquet(path).agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("m")).first()["m"]
     new = rows.where(F.size("embedding") > 0).withColumn(id_col, F.lit(top + 1) + F.monotonically_increasing_id())
     new = new.select(*spark.read.parquet(path).columns)
     new.write.mode("append").parquet(path)
-    return new
+    return spark.read.parquet(path).where(F.col(id_col) > top)
 
 
 def write_markdown(pages_: DataFrame, path: str, file: str = "file", text: str = "text", fields: Mapping[str, str] = {}) -> None:
