@@ -1,7 +1,9 @@
-"""Dashboards, reports and evaluations: one pass each, aggregated before the exchange."""
+"""Dashboards, reports and evaluations, aggregated before the exchange."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,47 +14,91 @@ def share(part: Column, whole: Column, digits: int = 3) -> Column:
     return F.when(whole > 0, F.bround(part / whole, digits)).otherwise(0.0)
 
 
-def exact_percentile(rows: DataFrame, value: Column, p: float, most: int = 50_000) -> float | None:
-    """Interpolated percentile over all values, of any number: brackets from approximate percentiles are narrowed, each by one
-    aggregation, until at most `most` values are left, and these alone are collected. The built-in exact percentile keeps every
-    distinct value in one task. Null without values."""
-    v = rows.select(value.cast("double").alias("v")).where("v is not null")
-    n = v.count()
-    if not n:
-        return None
+def exact_percentiles(rows: DataFrame, value: Column, p: float, keys: Sequence[str] = (), most: int = 20_000) -> DataFrame:
+    """(keys, n, percentile): interpolated percentile of all values of each group, for groups of any size; groups must be few.
+
+    Counts and a bracket per group come from one aggregate with an approximate percentile, which combines before the exchange. What lies
+    below and within the brackets is counted, and only the values within (one in 250 or so; all of a group of at most most values)
+    reach the driver. A bracket that missed or that is wide (more than most values, as with ties) is narrowed by further aggregates. The built-in exact percentile would keep every
+    distinct value of a group in one task.
+    """
+    keys, spark = list(keys), rows.sparkSession
+    v = rows.select(*keys, value.cast("double").alias("v")).where("v is not null").persist()
+    try:
+        spread = F.percentile_approx("v", [max(0.0, p - 0.002), min(1.0, p + 0.002)], 10_000)
+        groups = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("top"), spread.alias("b")).where("n > 0").collect()
+        group = F.lit(0) if not keys else F.coalesce(*[F.when(F.forall(F.array(*[F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]), lambda x: x), F.lit(i)) for i, r in enumerate(groups)]) if groups else F.lit(None)
+        brackets = [(r["least"], r["top"]) if r["n"] <= most else tuple(r["b"]) for r in groups]  # of a small group all values are taken
+        low, high = (F.get(F.array(*[F.lit(float(b[j])) for b in brackets]), F.col("g")) for j in (0, 1)) if groups else (F.lit(0.0), F.lit(0.0))
+        placed = v.select(group.cast("int").alias("g"), "v").select("g", "v", (F.col("v") < low).alias("under"), F.col("v").between(low, high).alias("within"))
+        counts = {r["g"]: (r["under"], r["within"]) for r in placed.groupBy("g").agg(F.count_if("under").alias("under"), F.count_if("within").alias("within")).collect()} if groups else {}
+        at = [(p * (r["n"] - 1), int(p * (r["n"] - 1))) for r in groups]
+        small = [i for i, r in enumerate(groups) if counts[i][1] <= most and counts[i][0] <= at[i][1] and min(at[i][1] + 1, r["n"] - 1) < sum(counts[i])]
+        values: dict[int, list[float]] = {i: [] for i in small}
+        if small:
+            for r in placed.where(F.col("within") & F.col("g").isin(small)).select("g", "v").collect():
+                values[r["g"]].append(r["v"])
+        found = []
+        for i, r in enumerate(groups):
+            (exact, k), inside = at[i], sorted(values.get(i, ()))
+            if i in values:
+                a, b = inside[k - counts[i][0]], inside[min(k + 1, r["n"] - 1) - counts[i][0]]
+                result = a + (b - a) * (exact - k)
+            else:
+                result = _percentile(v.select(group.alias("g"), "v").where(F.col("g") == i).select("v"), r["n"], p, r["least"], r["top"], brackets[i], most)
+            found.append((*(r[key] for key in keys), r["n"], result))
+    finally:
+        v.unpersist()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "n long", "percentile double"])
+    return spark.createDataFrame(found, schema)
+
+
+def _percentile(v: DataFrame, n: int, p: float, least: float, top: float, bracket: Sequence[float], most: int) -> float:
     at = p * (n - 1)
-    k, below, inside, part = int(at), 0, n, v
+    k = int(at)
     last = min(k + 1, n - 1)
-    while inside > most:
-        r = (k - below) / inside
-        low, high = part.agg(F.percentile_approx("v", [max(0.0, r - 0.001), min(1.0, r + 0.001 + 2 / inside)], 10_000)).first()[0]
-        under, within = part.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        if not (below + under <= k and last < below + under + within):
-            break
+    low, high = bracket
+    outer = (least, top)
+    while True:
+        under, within = v.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not (under <= k and last < under + within):  # the approximate bracket missed: widen it on the side it missed
+            low, high = (outer[0] if under > k else low), (outer[1] if last >= under + within else high)
+            continue
         if low == high:
             return low
-        if within == inside:
-            break
-        below, inside, part = below + under, within, v.where(F.col("v").between(low, high))
-    if inside > most:
-        return v.agg(F.percentile("v", p)).first()[0]
-    found = sorted(r[0] for r in part.collect())
-    a, b = found[k - below], found[last - below]
-    return a + (b - a) * (at - k)
+        part = v.where(F.col("v").between(low, high))
+        if within <= most:
+            found = sorted(r[0] for r in part.collect())
+            return found[k - under] + (found[last - under] - found[k - under]) * (at - k)
+        outer = (low, high)
+        # values that many rows share count once; of the different ones the middle parts the bracket
+        middle = part.select("v").agg(F.percentile_approx("v", (k - under) / within, 10_000)).first()[0]
+        below, equal = v.agg(F.count_if(F.col("v") < middle), F.count_if(F.col("v") == middle)).first()
+        if below <= k and last < below + equal:
+            return middle
+        if below <= k < below + equal:  # k is the middle value itself, the next one lies above it
+            above = v.where(F.col("v") > middle).agg(F.min("v")).first()[0]
+            return middle + (above - middle) * (at - k)
+        before, after = part.agg(F.max(F.when(F.col("v") < middle, F.col("v"))), F.min(F.when(F.col("v") > middle, F.col("v")))).first()
+        if last < below:
+            high = before
+        elif k >= below + equal:
+            low = after
+        else:  # k lies just below the middle value
+            return before + (middle - before) * (at - k)
 
 
 def dashboard(logs: DataFrame, since: Column) -> DataFrame:
     """Queries, hit rate, mean and 95th percentile of the total time, mean chunks kept, of the window; zeros for an empty one."""
-    timed = F.when(F.col("t_total") >= 0, F.col("t_total"))
-    p95 = exact_percentile(logs.where(F.col("created_at") >= since), timed, 0.95)
     ok = F.col("t_total").isNotNull() & (F.col("t_total") >= 0)
-    a = logs.where(F.col("created_at") >= since).agg(
-        F.count("*").alias("queries"),
-        F.count_if(F.coalesce("cache_hit", F.lit(False))).alias("hits"),
-        F.avg(F.when(ok, F.col("t_total"))).alias("t"),
-        F.lit(p95).cast("double").alias("p95"),
-        F.avg(F.when(~F.coalesce("cache_hit", F.lit(False)), F.col("docs_after_grading"))).alias("docs"),
-    )
+    hit = F.coalesce("cache_hit", F.lit(False))
+    recent = logs.where(F.col("created_at") >= since).select(hit.alias("hit"), F.when(ok, F.col("t_total")).alias("t"), F.when(~hit, F.col("docs_after_grading")).alias("docs")).persist()
+    try:
+        found = exact_percentiles(recent, F.col("t"), 0.95).collect()
+        a = recent.agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"), F.avg("t").alias("t"), F.avg("docs").alias("docs")).collect()
+    finally:
+        recent.unpersist()
+    a = logs.sparkSession.createDataFrame([(*a[0], found[0]["percentile"] if found else None)], "queries long, hits long, t double, docs double, p95 double")
     zero = lambda c, d: F.coalesce(F.bround(F.col(c), d), F.lit(0.0))
     return a.select("queries", "hits", share(F.col("hits"), F.col("queries")).alias("cache_hit_rate"), zero("t", 2).alias("avg_time"), zero("p95", 2).alias("p95_time"), zero("docs", 1).alias("avg_docs"))
 
@@ -69,9 +115,8 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
 
 
 def latency_by(logs: DataFrame, *keys: str) -> DataFrame:
-    """Exact 95th percentiles per group. A group's distinct times are held in one task; for groups beyond memory take
-    exact_percentile of each."""
-    return logs.where("t_total >= 0").groupBy(*keys).agg(F.count("*").alias("n"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY t_total)").alias("p95"))
+    """Exact 95th percentiles of the total time per group."""
+    return exact_percentiles(logs.where("t_total >= 0"), F.col("t_total"), 0.95, keys).withColumnRenamed("percentile", "p95")
 
 
 def report(logs: DataFrame, since: Column) -> DataFrame:

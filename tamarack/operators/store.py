@@ -90,11 +90,17 @@ def permitted(rows: DataFrame, admins: DataFrame, flag: str, user: str = "tg_id"
     return rows.join(admins.where(F.col(flag)).select(F.col("tg_id").alias(user)), user, "left_semi")
 
 
-def latest_rows(table: DataFrame, key: str = "id", loaded: str = "loaded_at") -> DataFrame:
-    """One row per id: the one loaded last; exact copies collapse. Combined before the exchange."""
-    cols = [c for c in table.columns if c != key]
-    best = F.max_by(F.struct(*cols), F.struct(F.col(loaded))) if loaded in table.columns else F.first(F.struct(*cols))
-    return table.groupBy(key).agg(best.alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in cols])
+def latest_rows(table: DataFrame, key: str = "id", loaded: str = "loaded_at", columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, the one loaded last (any of several, without that column), of the columns named.
+
+    Columns are chosen before anything moves, and of each key one row per map task is left before the exchange (WindowGroupLimit), so
+    a key that a third of all rows share is no large group.
+    """
+    kept = [c for c in (columns if columns is not None else table.columns) if c != key]
+    order = [F.col(loaded).desc_nulls_last()] if loaded in table.columns else []
+    narrow = table.select(key, *kept, *([F.col(loaded).alias("__l")] if order else []))
+    by = Window.partitionBy(key).orderBy(*([F.col("__l").desc_nulls_last()] if order else [F.col(key)]))
+    return narrow.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= 1).select(key, *kept)
 
 
 def merged_stages(state: Column, discussed: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +26,20 @@ def build_session(app: str = "tamarack", cpus: str | int = "*", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoint(): the cluster's spark.checkpoint.dir if it names one, else a local one of our own.
+    """Folder for checkpoint(): the one that the session names, else on a single machine one of our own, removed when Python ends.
 
-    The local folder is only ever used where nothing is configured, i.e. in tests on a single machine.
+    On a cluster a folder of one machine would lose what other machines need: without spark.checkpoint.dir that is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    path = configured or "file://" + os.path.join(tempfile.gettempdir(), "tamarack-checkpoint")
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
+        own = tempfile.mkdtemp(prefix="tamarack-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
