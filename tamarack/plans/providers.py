@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
-    def generate(self, prompts: list[str]) -> list[str]: ...
+    def generate(self, prompts: list[str], task: str) -> list[str | None]:
+        """Replies to prompts of a task: rewrite, tool, decompose, hyde, answer, judge or again."""
+        ...
+
+    def grade(self, docs: DataFrame) -> Column:
+        """Grade from 0 to 1 of each found chunk (columns of the docs, text_distance among them)."""
+        ...
 
 
 class Offline:
-    """Embeddings of hashed words, and answers that repeat the prompt's last line."""
+    """Embeddings of hashed words, replies out of the prompt's text, grades by shared words: the same every time.
+
+    A question is rewritten to itself, cut into its sentences that ask, and answered by the first line of what was found.
+    """
 
     def __init__(self, dims: int = 64):
         self.dims = dims
@@ -32,8 +45,37 @@ class Offline:
                 out[i, h % self.dims] += 1 if h >> 16 & 1 else -1
         return out.tolist()
 
-    def generate(self, prompts: list[str]) -> list[str]:
-        return [(p or "").strip().split("\n")[-1] for p in prompts]
+    def generate(self, prompts: list[str], task: str = "answer") -> list[str | None]:
+        if task == "decompose":
+            cut = ([p for p in re.split(r"(?<=[?])\s+", t) if p.strip()] for t in prompts)
+            return [json.dumps({"sub_questions": c}, ensure_ascii=False) for c in cut]
+        if task in ("answer", "again"):  # the first line that isn't the mark of a source
+            return [next((x for x in (t or "").split("\n") if x.strip() and not x.startswith("[")), "") for t in prompts]
+        if task == "rewrite":
+            return [(t or "").strip() for t in prompts]
+        return [None] * len(prompts)
+
+    def grade(self, docs: DataFrame) -> Column:
+        """Any word in common is enough to be relevant; more of them rank higher."""
+        shared = F.lit(1.0) - F.coalesce(F.col("text_distance"), F.lit(1.0))
+        return F.when(shared > 0, F.lit(0.5) + shared / 2).otherwise(0.0)
+
+
+def generated(rows: DataFrame, provider: Provider, prompt: Column, out: str, task: str) -> DataFrame:
+    """Adds the provider's replies; rows with a null prompt aren't sent and have a null reply."""
+    carried = [c for c in rows.columns if c != out]
+    source = rows.select(*carried, prompt.alias("__prompt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prompts = b.column(len(carried)).to_pylist()
+            asked = [i for i, p in enumerate(prompts) if p is not None]
+            replies: list[str | None] = [None] * len(prompts)
+            for i, r in zip(asked, provider.generate([prompts[i] for i in asked], task)):
+                replies[i] = r
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(replies, pa.string())], names=[*carried, out])
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(out, T.StringType())]))
 
 
 def embedded(rows: DataFrame, provider: Provider, text: str = "text", out: str = "embedding") -> DataFrame:
