@@ -38,11 +38,13 @@ def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return C.corpus_fingerprint(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT substr(md5(text), 1, 8) hash, min(doc_id) doc_id, count(*) n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT substr(md5(text), 1, 8) hash, min(doc_id) doc_id, count(*) n FROM documents WHERE text IS NOT NULL GROUP BY md5(text)")
 def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
     """First document of each content."""
     rows = table(spark, d, "documents").where("text is not null")
-    return rows.groupBy(T.short_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    # eight digits are for display: different texts would share them among ten thousands of millions
+    firsts = rows.groupBy(F.md5("text").alias("whole")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return firsts.select(F.substring("whole", 1, 8).alias("hash"), "doc_id", "n")
 
 
 _WS = "\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{b}\\x{1c}-\\x{1f}"
@@ -57,23 +59,60 @@ def validity_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.validity(F.col("text")).alias("status"))
 
 
-@query()
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _clean_sql(x: str) -> str:
+    """SQL of text.clean_lines."""
+    lines = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {_strip('l')}), chr(10))"
+    return _strip(f"regexp_replace({lines}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _letters_sql(x: str) -> str:
+    """SQL of text.drop_letter_lines."""
+    kept = f"list_filter(string_split({x}, chr(10)), lambda l: NOT (regexp_full_match({_strip('l')}, '(?i)[a-zäöüß.{_WS}]+\\.') AND length({_strip('l')}) < 100))"
+    return _strip(f"coalesce(array_to_string({kept}, chr(10)), '')")
+
+
+def _blocks_sql(source: str) -> str:
+    """SQL of ingest.without_repeated_blocks: CTEs that make u(id, t) of source(id, t)."""
+    window = "list_slice(ls, i + 1, i + 4)"
+    return f"""bd AS (SELECT id, t, string_split(t, chr(10)) ls FROM {source}),
+bi AS (SELECT *, unnest(range(len(ls))) i, len(ls) n FROM bd),
+bw AS (SELECT id, n, i, ls[i + 1] x, {_strip(f"array_to_string({window}, chr(10))")} k, len(list_filter({window}, lambda l: {_strip('l')} <> '')) s FROM bi),
+bb AS (SELECT id, k, min(i) born FROM bw WHERE i <= n - 4 AND s >= 3 AND k <> '' GROUP BY 1, 2),
+br AS (SELECT bw.id, i, n FROM bw JOIN bb ON bb.id = bw.id AND bb.k = bw.k WHERE n >= 8 AND i <= n - 4 AND s >= 3 AND born < i),
+bt AS (SELECT bw.id, bw.i FROM br JOIN bw ON bw.id = br.id AND bw.i = br.i + 4 AND bw.i > br.n - 4 JOIN bb ON bb.id = bw.id AND bb.k = bw.k AND bb.born < br.i),
+bg AS (SELECT DISTINCT id, i + unnest([0, 1, 2, 3]) i FROM (SELECT id, i FROM br UNION ALL SELECT id, i FROM bt)),
+bk AS (SELECT bw.id, string_agg(x, chr(10) ORDER BY bw.i) t FROM bw LEFT JOIN bg ON bg.id = bw.id AND bg.i = bw.i WHERE bg.id IS NULL GROUP BY 1),
+u AS (SELECT bd.id, CASE WHEN bd.id IN (SELECT id FROM bg) THEN {_strip("coalesce(bk.t, '')")} ELSE bd.t END t FROM bd LEFT JOIN bk ON bk.id = bd.id)"""
+
+
+@query(f"SELECT doc_id, {_letters_sql('t')} AS text FROM (SELECT doc_id, {_clean_sql('text')} t FROM documents WHERE text IS NOT NULL)")
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned lines."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.drop_letter_lines(T.clean_lines(F.col("text"))).alias("text"))
 
 
-@query()
+@query(f"WITH src AS (SELECT id, content t FROM {_D} WHERE content IS NOT NULL), {_blocks_sql('src')} SELECT id, t AS content FROM u")
 def block_dedup(spark: SparkSession, d: str) -> DataFrame:
     """I4: pages without blocks that stood in them before."""
     return chunks(spark, d).where("content is not null").select("id", I.drop_repeated_blocks(F.col("content")).alias("content"))
 
 
-@query()
+_STATUS = "CASE WHEN contains({t}, 'Error 404') OR contains({t}, 'Document not found') THEN '404_error' WHEN contains({t}, 'Jump to main content') AND length({t}) < 400 THEN 'navigation_only' WHEN length({t}) < 400 THEN 'too_short (' || length({t}) || ' chars)' ELSE 'ok' END"
+
+
+@query(
+    f"""WITH src AS (SELECT id, {_clean_sql("'## ' || regexp_replace(coalesce(x.metadata.title, ''), '^[" + _WS + "]+|[" + _WS + "]+$', '', 'g') || chr(10) || coalesce(array_to_string(list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda l: " + _strip('l') + "), lambda l: l <> ''), chr(10)), '')")} t FROM {_D} x), {_blocks_sql('src')},
+v AS (SELECT id, {_letters_sql('t')} AS text FROM u) SELECT id, text, {_STATUS.format(t='text')} status, substr(md5(text), 1, 8) content_hash FROM v"""
+)
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages wrapped as HTML, and their main text."""
-    lines = F.array_join(F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    page = F.concat(F.lit("<html><nav><a>Menu</a></nav><main><h2>"), F.coalesce("title", F.lit("")), F.lit("</h2>"), lines, F.lit("</main><footer>Imprint</footer></html>"))
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.array_join(F.transform(F.split(safe("content"), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    page = F.concat(F.lit("<html><nav><a>Menu</a></nav><main><h2>"), safe("title"), F.lit("</h2>"), lines, F.lit("</main><footer>Imprint</footer></html>"))
     return I.clean_pages(chunks(spark, d).select("id", page.alias("html"))).select("id", "text", "status", "content_hash")
 
 
@@ -89,11 +128,11 @@ def vocab_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT url, count(*) n_chunks, CAST(sum(length(content)) AS BIGINT) n_chars FROM (SELECT trim(split_part(split_part(x.metadata.source_url, '|', 1), '#', 1), ' ') url, content FROM {_D} x WHERE content IS NOT NULL) WHERE url <> '' GROUP BY 1"""
+    f"""SELECT url, count(*) n_chunks, CAST(sum(length(content)) AS BIGINT) n_chars, CAST(sum(CAST(('0x' || substr(md5(content), 1, 7)) AS BIGINT)) AS BIGINT) content_hash FROM (SELECT trim(split_part(split_part(x.metadata.source_url, '|', 1), '#', 1), ' ') url, content FROM {_D} x WHERE content IS NOT NULL) WHERE url <> '' GROUP BY 1"""
 )
 def freshness_group(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by address."""
-    return I.freshness_groups(chunks(spark, d)).select("url", "n_chunks", "n_chars")
+    return I.freshness_groups(chunks(spark, d))
 
 
 @query()
@@ -122,7 +161,10 @@ def valid_for(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", T.valid_for(F.lit(None).cast("string"), semester).alias("valid_for"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id, CASE WHEN len(w) > 250 THEN '... ' || array_to_string(list_slice(w, len(w) - 249, len(w)), ' ') ELSE text END summary
+FROM (SELECT doc_id, text, regexp_split_to_array({_strip('text')}, '[{_WS}]+') w FROM documents WHERE text IS NOT NULL)"""
+)
 def summary_truncate(spark: SparkSession, d: str) -> DataFrame:
     """The last 250 words of each text."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.last_words(F.col("text")).alias("summary"))
@@ -150,9 +192,25 @@ def fact_share(spark: SparkSession, d: str) -> DataFrame:
     return A.fact_share(chunks(spark, d).withColumn("source", F.coalesce("source", F.lit(""))), "source")
 
 
-@query()
+@query(
+    """SELECT file, '---' || chr(10) || concat_ws(chr(10), 'url: ' || url, 'topic: ' || topic, 'country_scope: ' || CAST(to_json(country_scope) AS VARCHAR), 'level: ' || CAST(to_json(level) AS VARCHAR), 'university: ' || university,
+ CASE WHEN len(related_docs) > 0 THEN 'related_docs:' || chr(10) || coalesce(array_to_string(list_transform(related_docs, lambda x: '  - ' || x), chr(10)), '') END) || chr(10) || '---' || chr(10) || chr(10) head FROM (SELECT DISTINCT * FROM sources)"""
+)
 def front_matter_render(spark: SparkSession, d: str) -> DataFrame:
     """I8: register entries as front matter."""
     rows = table(spark, d, "sources").distinct()
     fields = {"url": F.col("url"), "topic": F.col("topic"), "country_scope": F.to_json("country_scope"), "level": F.to_json("level"), "university": F.col("university")}
     return rows.select("file", I.with_front_matter(F.lit(""), fields, F.col("related_docs")).alias("head"))
+
+
+@query(
+    """WITH n AS (SELECT coalesce(topic, '') topic, CAST(sum(CAST(('0x' || substr(md5(coalesce(file, '') || ':' || coalesce(url, '')), 1, 7)) AS BIGINT)) AS BIGINT) hash FROM (SELECT DISTINCT file, url, topic FROM sources) GROUP BY 1)
+SELECT topic, hash, 'offline' provider, CAST(64 AS INTEGER) embedding_dim, topic NOT IN (SELECT topic FROM n WHERE hash % 2 = 0) reindex FROM n"""
+)
+def reindex_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Which topics' files differ from the state stored (every second one), and so are indexed anew."""
+    files = table(spark, d, "sources").select("file", "url", F.coalesce("topic", F.lit("")).alias("topic")).distinct()
+    key = F.concat_ws(":", F.coalesce("file", F.lit("")), F.coalesce("url", F.lit("")))
+    new = files.groupBy("topic").agg(F.sum(F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("long")).alias("hash")).withColumn("provider", F.lit("offline")).withColumn("embedding_dim", F.lit(64))
+    old = new.withColumn("hash", F.col("hash") + F.col("hash") % 2)
+    return C.needs_reindex(old, new, "topic")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,39 +10,43 @@ from tamarack.functions import vectors as V
 from tamarack.operators import rank as G
 from tamarack.operators import retrieve as R
 from tamarack.operators.chunk import vector_dims
-from tamarack.queries.registry import SQL, query
+from tamarack.operators.store import latest_rows
+from tamarack.queries.registry import query
 from tamarack.session import cut, table
 
-ASKED = 10
+#: The query set of the searches: every row with an id divisible by this, against all rows.
+EVERY = 20
 _COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 _DOCS = "(SELECT DISTINCT ON (id) * FROM simple_documents)"
 _USABLE = "len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """simple_documents, one row per id, metadata as columns."""
-    docs = table(spark, d, "simple_documents").dropDuplicates(["id"])
+def rows_of_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """simple_documents with its copied rows, metadata as columns: for what counts copies once by itself."""
     names = ("source", "title", "section_path", "source_url", "topic", "country_scope", "level", "entity_type", "tags", "is_yaml_fact", "fact_type", "valid_for", "university")
-    return docs.select("id", "content", "embedding", *[F.col(f"metadata.{n}").alias(n) for n in names])
+    return table(spark, d, "simple_documents").select("id", "content", "embedding", *[F.col(f"metadata.{n}").alias(n) for n in names])
 
 
-def usable(docs: DataFrame) -> DataFrame:
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return docs.where((F.size("embedding") == 64) & finite & F.exists("embedding", lambda x: x != 0))
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One row per id. Columns that a query doesn't use are pruned before the exchange."""
+    return latest_rows(rows_of_chunks(spark, d))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def first_queries(rows: DataFrame, n: int) -> DataFrame:
-    return rows.where(F.col("id") < n).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def every_query(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def _batch_sql(k: int, n: int, boost: str = "0") -> str:
+def _batch_sql(k: int, boost: str = "0") -> str:
     return f"""SELECT query_id, id, score, rank FROM (SELECT q.vec_id query_id, e.vec_id id, round({_COS.format(a='e.embedding', b='q.embedding')} + {boost}, 6) score,
       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')} + {boost}, 9), e.vec_id) AS INTEGER) rank
-      FROM embeddings e, embeddings q WHERE q.vec_id < {n}) WHERE rank <= {k}"""
+      FROM embeddings e, embeddings q WHERE {_ASKED}) WHERE rank <= {k}"""
+
+
+_ASKED = f"q.vec_id % {EVERY} = 0"
 
 
 @query(f"SELECT e.vec_id id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) distance FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id LIMIT 10")
@@ -55,32 +57,36 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(rows, q, 10, score=F.round("distance", 9)).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(_batch_sql(5, ASKED))
+@query(_batch_sql(5))
 def vector_topk_batched(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest vectors for each query of a batch."""
+    """Five nearest vectors for each query of the query set."""
     rows = vectors(spark, d)
-    return R.top_k_batched(rows, first_queries(rows, ASKED), 5).withColumn("score", F.round("score", 6))
+    return R.top_k_batched(rows, every_query(rows), 5).withColumn("score", F.round("score", 6))
 
 
-@query(_batch_sql(10, 100))
+@query(_batch_sql(10))
 def vector_topk_hundred(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest vectors for each of a hundred queries."""
+    """Ten nearest vectors for each query of the query set, a hundred queries at sf0.1."""
     rows = vectors(spark, d)
-    return R.top_k_batched(rows, first_queries(rows, 100), 10).withColumn("score", F.round("score", 6))
+    return R.top_k_batched(rows, every_query(rows), 10).withColumn("score", F.round("score", 6))
 
 
-@query(_batch_sql(5, ASKED, "CASE WHEN e.label % 2 = 0 THEN -0.24 ELSE -0.06 END + CASE WHEN e.label = 3 THEN -0.18 ELSE 0 END"))
+@query(_batch_sql(5, "CASE WHEN e.label % 2 = 0 THEN -0.24 ELSE -0.06 END + CASE WHEN e.label = 3 THEN -0.18 ELSE 0 END"))
 def hybrid_boosted_topk(spark: SparkSession, d: str) -> DataFrame:
     """Distance with boosts for facts (even labels) and for a focus (label 3)."""
     rows = vectors(spark, d)
     boost = R.fact_boost(F.col("label") % 2 == 0, F.lit(0.8), F.lit(0.2)) + F.when(F.col("label") == 3, R.HOUSING_BOOST).otherwise(0.0)
-    return R.top_k_batched(rows.withColumn("boost", boost), first_queries(rows, ASKED), 5, boost="boost").withColumn("score", F.round("score", 6))
+    return R.top_k_batched(rows.withColumn("boost", boost), every_query(rows), 5, boost="boost").withColumn("score", F.round("score", 6))
 
 
 _TERMS = "['нострификация','диплома','занимает','wien']"
 
 
-def _question(spark: SparkSession, docs: DataFrame) -> tuple[list[float], list[str]]:
+def usable(docs: DataFrame) -> DataFrame:
+    return docs.where(V.usable(F.col("embedding"), 64))
+
+
+def _question(docs: DataFrame) -> tuple[list[float], list[str]]:
     q = usable(docs).orderBy("id").select("embedding").first()
     return list(q["embedding"]), ["нострификация", "диплома", "занимает", "wien"]
 
@@ -99,8 +105,8 @@ ORDER BY k, sc, id LIMIT 10"""
 @query(_HYBRID)
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Scope filter, level before score, vector and lexical distance, boosts; the ten best chunks."""
-    docs = chunks(spark, d)
-    vector, terms = _question(spark, docs)
+    docs = rows_of_chunks(spark, d)
+    vector, terms = _question(docs)
     found = usable(docs).where(R.in_scope(F.col("country_scope"), "RU"))
     text = R.lexical_distance(F.col("content"), F.array(*[F.lit(t) for t in terms]))
     boosts = (R.fact_boost(F.col("is_yaml_fact"), F.lit(0.8), F.lit(0.2)), R.focus_boost(F.lit("housing"), F.col("entity_type"), F.col("topic")))
@@ -108,6 +114,32 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(found, vector, 10, score=score, first=R.level_key(F.col("level"), "bachelor")).select("id", F.round("score", 6).alias("score"))
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@query(
+    f"""WITH d AS (SELECT *, coalesce(d.metadata.is_yaml_fact, false) fact, d.metadata.level lv, d.metadata.country_scope sc, {_WORDS.format(x="content")} words,
+  coalesce(d.metadata.entity_type = 'housing' OR d.metadata.topic = 'housing', false) housing, coalesce(d.metadata.entity_type = 'food' OR d.metadata.topic IN ('student-budget', 'food'), false) food FROM {_DOCS} d WHERE {_USABLE}),
+q AS (SELECT id query_id, embedding qe, {_WORDS.format(x="d.metadata.title")} terms, [NULL, 'RU', 'UA', 'ALL'][id // {EVERY} % 4 + 1] country, [NULL, 'bachelor', 'master'][id // {EVERY} % 3 + 1] want,
+  [0.5, 0.8, 0.2][id // {EVERY} % 3 + 1] fw, [0.5, 0.2, 0.8][id // {EVERY} % 3 + 1] nw, ['housing', 'food', ''][id // {EVERY} % 3 + 1] focus FROM d WHERE id % {EVERY} = 0),
+s AS (SELECT query_id, id, CASE WHEN want IS NULL OR coalesce(list_contains(lv, want), false) THEN 0 ELSE 1 END later,
+  round(0.7 * ({_COS.format(a='embedding', b='qe')}) + 0.3 * CASE WHEN len(terms) > 0 THEN 1 - len(list_intersect(terms, words)) / len(terms) ELSE 1 END - 0.3 * CASE WHEN fact THEN fw ELSE nw END
+   + CASE WHEN focus = 'housing' AND housing THEN -0.18 WHEN focus = 'food' AND food THEN -0.15 ELSE 0 END, 9) score
+  FROM d, q WHERE country IS NULL OR country = 'ALL' OR list_contains(sc, 'ALL') OR list_contains(sc, country))
+SELECT query_id, id, round(score, 6) score, CAST(r AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, score, id) r FROM s) WHERE r <= 10"""
+)
+def hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
+    """R1 to R10 for a set of queries: every chunk with an id divisible by 20 asks by its vector and its title, with a country, level, weights and focus of its own."""
+    docs = rows_of_chunks(spark, d)
+    n = F.floor(F.col("id") / EVERY)
+    pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    asked = latest_rows(docs.where(F.col("id") % EVERY == 0).select("id", "embedding", "title")).select(
+        F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"), R.query_terms(F.col("title")).alias("terms"), pick(None, "RU", "UA", "ALL").alias("country"), pick(None, "bachelor", "master").alias("level"),
+        pick(0.5, 0.8, 0.2).alias("fact_weight"), pick(0.5, 0.2, 0.8).alias("narrative_weight"), pick("housing", "food", "").alias("focus"),
+    )
+    return R.hybrid_top_k(docs, asked, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"SELECT count(*) n, count(*) FILTER (WHERE list_contains(x.metadata.level, 'bachelor')) n_level FROM {_DOCS} x WHERE list_contains(x.metadata.country_scope, 'ALL') OR list_contains(x.metadata.country_scope, 'UA')")
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks in the scope of a country, and those of a level."""
@@ -127,28 +159,27 @@ def lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT q.vec_id sub, e.vec_id id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) rank FROM embeddings e, embeddings q WHERE q.vec_id < 3),
-f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sub, rank) n FROM r WHERE rank <= 3)
-SELECT id, CAST(position AS INTEGER) position FROM (SELECT id, row_number() OVER (ORDER BY sub, rank) position FROM f WHERE n = 1) WHERE position <= 6"""
+    f"""WITH r AS (SELECT q.vec_id // {3 * EVERY} query_id, q.vec_id sub, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) rank FROM embeddings e, embeddings q WHERE {_ASKED}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub, rank) n FROM r WHERE rank <= 3)
+SELECT query_id, id, CAST(position AS INTEGER) position FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank) position FROM f WHERE n = 1) WHERE position <= 6"""
 )
 def decomposed_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Results of three sub-queries, first of equal ones, cut to six."""
+    """The query set as sub-queries, three a question; first of equal results, cut to six."""
     rows = vectors(spark, d)
-    k = R.per_subquery_k(6, 3)
-    found = R.top_k_batched(rows, first_queries(rows, 3), k).select(F.lit(0).alias("query_id"), F.col("query_id").alias("sub"), "rank", "id", F.col("id").cast("string").alias("content"))
-    return R.merged_subqueries(found, 6).select("id", "position")
+    found = R.top_k_batched(rows, every_query(rows), R.per_subquery_k(6, 3))
+    found = found.select(F.floor(F.col("query_id") / (3 * EVERY)).alias("query_id"), F.col("query_id").alias("sub"), "rank", "id", F.col("id").cast("string").alias("content"))
+    return R.merged_subqueries(found, 6).select("query_id", "id", "position")
 
 
 @query(
     f"""SELECT query_id, entry_id, similarity FROM (SELECT q.vec_id query_id, e.vec_id entry_id, round(1 - round({_COS.format(a='e.embedding', b='q.embedding')}, 9), 6) similarity,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) n FROM embeddings q, embeddings e WHERE q.vec_id >= 128 AND q.vec_id < 400 AND e.vec_id < 128) WHERE n = 1 AND similarity >= 0.3"""
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) n FROM embeddings q, embeddings e WHERE q.vec_id >= 128 AND e.vec_id < 128) WHERE n = 1 AND similarity >= 0.3"""
 )
 def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest cache entry of each question, above a threshold (0.3, as these vectors lie far apart)."""
+    """Nearest of the 128 cache entries (the size of the cache) for all other rows, above a threshold (0.3, as these vectors lie far apart)."""
     rows = vectors(spark, d)
     entries = rows.where("id < 128").select(F.col("id").alias("entry_id"), F.col("embedding").alias("vector"))
-    asked = rows.where("id >= 128 and id < 400").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.cache_lookup(asked, entries, 0.3)
+    return R.cache_lookup(rows.where("id >= 128").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), entries, 0.3)
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 128")
@@ -170,16 +201,6 @@ def embedding_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as result lists: one list per file, by id."""
-    docs = chunks(spark, d).where("source is not null")
-    w = Window.partitionBy("source").orderBy("id")
-    return docs.withColumn("pos", F.row_number().over(w)).where("pos <= 8").withColumn("query_id", F.col("source")).drop("embedding")
-
-
-_LISTED = f"""(SELECT * FROM (SELECT x.*, x.metadata.source query_id, row_number() OVER (PARTITION BY x.metadata.source ORDER BY id) pos FROM {_DOCS} x WHERE x.metadata.source IS NOT NULL) WHERE pos <= 8)"""
-
-
-def _covering(spark: SparkSession, d: str) -> DataFrame:
     """All chunks as result lists of up to eight: those of a file by id, chunks without a file as one more file."""
     docs = chunks(spark, d).drop("embedding")
     pos = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
@@ -187,7 +208,7 @@ def _covering(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("query_id", name).withColumn("pos", pos % 8 + 1)
 
 
-_COVERING = f"""(SELECT * REPLACE (pos % 8 + 1 AS pos), CASE WHEN query_source IS NULL THEN '-' ELSE '=' || query_source END || '#' || (pos // 8) query_id
+_LISTED = f"""(SELECT * REPLACE (pos % 8 + 1 AS pos), CASE WHEN query_source IS NULL THEN '-' ELSE '=' || query_source END || '#' || (pos // 8) query_id
  FROM (SELECT x.*, x.metadata.source query_source, row_number() OVER (PARTITION BY x.metadata.source ORDER BY id) - 1 pos FROM {_DOCS} x))"""
 
 
@@ -199,27 +220,37 @@ _KEY = "coalesce(nullif(l.metadata.source_url, ''), nullif(l.metadata.source, ''
 s AS (SELECT *, sum(CASE WHEN n = 1 OR k = '' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) no FROM f)
 SELECT query_id, CAST(pos AS INTEGER) pos, CAST(CASE WHEN k = '' THEN max(no) OVER (PARTITION BY query_id, k) ELSE min(no) FILTER (WHERE n = 1) OVER (PARTITION BY query_id, k) END AS BIGINT) number FROM s"""
 )
-def source_numbering(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def source_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of sources by first sight."""
-    return G.numbered_sources(lists_of(spark, d)).select("query_id", "pos", "number")
+    return G.numbered_sources(_listed(spark, d)).select("query_id", "pos", "number")
 
 
-@query()
+_NUMBERED = f"""WITH l AS (SELECT l.*, {_KEY} k, nullif(l.metadata.title, '') ti, nullif(l.metadata.section_path, '') se, nullif(l.metadata.source_url, '') su, nullif(l.metadata.valid_for, '') va FROM {_LISTED} l), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY pos) n FROM l),
+s AS (SELECT *, sum(CASE WHEN n = 1 OR k = '' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) no FROM f),
+m AS (SELECT *, CASE WHEN k = '' THEN max(no) OVER (PARTITION BY query_id, k) ELSE min(no) FILTER (WHERE n = 1) OVER (PARTITION BY query_id, k) END number FROM s)
+"""
+
+
+@query(
+    _NUMBERED
+    + """SELECT query_id, string_agg('[' || number || ']' || CASE WHEN h <> '' THEN ' (' || h || ')' ELSE '' END || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY pos) context
+FROM (SELECT *, concat_ws(' — ', ti, se, 'актуально для приёма ' || va) h FROM m) GROUP BY query_id"""
+)
 def numbered_context(spark: SparkSession, d: str) -> DataFrame:
     """Contexts with numbered blocks."""
-    return G.numbered_context(_covering(spark, d))
+    return G.numbered_context(_listed(spark, d))
 
 
-@query()
+@query(_NUMBERED + """SELECT query_id, string_agg('[Источник: ' || concat_ws(' — ', ti, se, su) || ']' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY pos) context FROM m GROUP BY query_id""")
 def attributed_context(spark: SparkSession, d: str) -> DataFrame:
     """Contexts with named sources."""
-    return G.attributed_context(_covering(spark, d))
+    return G.attributed_context(_listed(spark, d))
 
 
-@query()
+@query(_NUMBERED + """SELECT query_id, string_agg('[' || number || '] ' || l_url, chr(10) ORDER BY pos) sources FROM (SELECT *, m.metadata.source_url l_url FROM m) WHERE (n = 1 OR k = '') AND starts_with(l_url, 'http') GROUP BY query_id""")
 def sources_list(spark: SparkSession, d: str) -> DataFrame:
     """Addresses of the sources of each list."""
-    return G.sources_list(_covering(spark, d))
+    return G.sources_list(_listed(spark, d))
 
 
 def _responses(lists: DataFrame) -> DataFrame:
@@ -235,9 +266,9 @@ def _responses(lists: DataFrame) -> DataFrame:
     f"""WITH l AS (SELECT query_id, id, pos, count(*) OVER (PARTITION BY query_id) n, length(query_id) h FROM {_LISTED} l)
 SELECT query_id, id FROM l WHERE h % 7 = 0 OR (h % 7 = 1 AND n <> 1) OR (h % 7 = 1 AND n = 1) OR ((pos * 7 + h) % 3) % 2 = 1"""
 )
-def grade_filter(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def grade_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks graded 1; unusable grades keep all."""
-    lists = lists_of(spark, d)
+    lists = _listed(spark, d)
     return G.graded(lists, _responses(lists)).select("query_id", "id")
 
 
@@ -246,9 +277,9 @@ def grade_filter(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
 s AS (SELECT *, CASE WHEN h % 7 > 1 AND n > 4 THEN ((pos * 7 + h) % 3) % 2 ELSE 0 END g FROM l)
 SELECT query_id, id, CAST(r AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, pos) r FROM s) WHERE r <= 4"""
 )
-def rerank_topk(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     """The four chunks of highest score, ties in order."""
-    lists = lists_of(spark, d)
+    lists = _listed(spark, d)
     return G.reranked_by_scores(lists, _responses(lists), 4).select("query_id", "id", "rank")
 
 
@@ -257,9 +288,9 @@ def rerank_topk(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
 k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY r) rank FROM r), a AS (SELECT query_id, id, rank FROM k UNION ALL SELECT query_id, id, pos FROM l WHERE query_id NOT IN (SELECT query_id FROM k))
 SELECT query_id, id, CAST(rank AS INTEGER) rank FROM a WHERE rank <= 3"""
 )
-def rerank_by_index(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def rerank_by_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks in the order of an index list with repeats and indexes out of range."""
-    lists = lists_of(spark, d)
+    lists = _listed(spark, d)
     own = lists.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     results = own.where("pos % 2 = 0").select("query_id", (F.col("n") - F.col("pos") + 1).alias("ord"), (F.col("pos") - 1).alias("index"))
     odd = own.where("pos = 1").select("query_id", F.lit(0).cast("long").alias("ord"), F.lit(99).alias("index"))
@@ -272,9 +303,9 @@ def rerank_by_index(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
 s AS (SELECT *, 0.5 * (1 + CASE WHEN c > 0 THEN least(c / 2.0, 0.5) ELSE 0 END * 0.3) a FROM b)
 SELECT query_id, id, round(a, 6) adjusted, CAST(row_number() OVER (PARTITION BY query_id ORDER BY a DESC, pos) AS INTEGER) rank FROM s"""
 )
-def tag_boost_rerank(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def tag_boost_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Order by overlap of tags."""
-    lists = lists_of(spark, d).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("score", F.lit(0.5))
+    lists = _listed(spark, d).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("score", F.lit(0.5))
     lists = lists.withColumn("query_tags", F.array(F.lit("admission:documents"), F.lit("visa:residence")))
     return G.tag_reranked(lists).select("query_id", "id", F.round("adjusted", 6).alias("adjusted"), "rank")
 
@@ -287,86 +318,44 @@ _HOUSE = "|".join(K.X.FOCUS["housing"])
     f"""WITH l AS (SELECT query_id, id, coalesce(regexp_matches(lower(content), '{_FOOD}'), false) AND NOT (coalesce(regexp_matches(lower(content), '{_HOUSE}'), false) OR coalesce(l.metadata.topic, '') = 'housing') x FROM {_LISTED} l)
 SELECT query_id, id FROM (SELECT *, count(*) FILTER (WHERE NOT x) OVER (PARTITION BY query_id) k FROM l) WHERE NOT x OR k = 0"""
 )
-def guardrail_filter(spark: SparkSession, d: str, lists_of=_listed) -> DataFrame:
+def guardrail_filter(spark: SparkSession, d: str) -> DataFrame:
     """Questions about housing without chunks on food only."""
-    return G.guarded(lists_of(spark, d).withColumn("focus", F.lit("housing"))).select("query_id", "id")
-
-
-def _over_all(f) -> None:
-    """Registers f_all: f over the lists that hold every chunk. f itself keeps the first eight chunks of a file, as its SQL does."""
-
-    @wraps(f)
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return f(spark, d, _covering)
+    return G.guarded(_listed(spark, d).withColumn("focus", F.lit("housing"))).select("query_id", "id")
 
-    run.__name__ = f"{f.__name__}_all"
-    query(SQL[f.__name__].replace(_LISTED, _COVERING))(run)
-
-
-for _f in (source_numbering, grade_filter, rerank_topk, rerank_by_index, tag_boost_rerank, guardrail_filter):
-    _over_all(_f)
-
-
-# The searches over the stated query set, every row with an id divisible by 20, next to those whose SQL names the first ids.
-EVERY = 20
-_EVERY = f"q.vec_id % {EVERY} = 0"
-
-
-def every_query(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
-
-
-@query(SQL["vector_topk_batched"].replace(f"q.vec_id < {ASKED}", _EVERY))
-def vector_topk_batched_every(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest vectors for each query of the query set."""
-    rows = vectors(spark, d)
-    return R.top_k_blocks(rows, every_query(rows), 5).withColumn("score", F.round("score", 6))
-
-
-@query(SQL["vector_topk_hundred"].replace("q.vec_id < 100", _EVERY))
-def vector_topk_hundred_every(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest vectors for each query of the query set."""
-    rows = vectors(spark, d)
-    return R.top_k_blocks(rows, every_query(rows), 10).withColumn("score", F.round("score", 6))
 
+def _pipeline(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A preset over all questions of feedback; questions and chunks are embedded by the same offline model."""
+    from tamarack.plans import pipeline as P
+    from tamarack.plans.providers import Offline, embedded, index_of
 
-@query(SQL["hybrid_boosted_topk"].replace(f"q.vec_id < {ASKED}", _EVERY))
-def hybrid_boosted_topk_every(spark: SparkSession, d: str) -> DataFrame:
-    """Distance with boosts, for each query of the query set."""
-    rows = vectors(spark, d)
-    boost = R.fact_boost(F.col("label") % 2 == 0, F.lit(0.8), F.lit(0.2)) + F.when(F.col("label") == 3, R.HOUSING_BOOST).otherwise(0.0)
-    return R.top_k_blocks(rows.withColumn("boost", boost), every_query(rows), 5, boost="boost").withColumn("score", F.round("score", 6))
+    model, docs = Offline(), chunks(spark, d).drop("embedding")
+    asked = latest_rows(table(spark, d, "feedback"), columns=["question", "tg_id"]).where("question is not null")
+    users = latest_rows(table(spark, d, "users"), "tg_id", columns=["country", "target_level"])
+    country = F.upper(F.trim("country"))
+    users = users.select("tg_id", F.when(F.length(country) == 2, country).alias("country"), F.when(F.lower(F.trim("target_level")).isin("bachelor", "master", "phd"), F.lower(F.trim("target_level"))).alias("level"))
+    asked = asked.join(users, "tg_id", "left").select(F.xxhash64("id").alias("query_id"), "question", "country", "level")
+    # one entry of the cache for every twentieth question there is
+    old = asked.where(F.pmod("query_id", F.lit(EVERY)) == 0).select(F.col("query_id").alias("entry_id"), "question", F.concat_ws(" | ", F.concat(F.lit("country="), "country"), F.concat(F.lit("level="), "level"), "question").alias("key"))
+    old = R.newest(old.orderBy("entry_id"), seq="entry_id")
+    cache = embedded(old, model, "key", "vector").select("entry_id", "vector", F.col("question").alias("answer"))
+    docs = cut(docs.join(index_of(docs, model), "id"))
+    state = P.run(P.State(asked, docs, model, cache=cache), P.preset(name))
+    return P.results(state)
 
 
-@query(
-    f"""WITH r AS (SELECT q.vec_id // {3 * EVERY} query_id, q.vec_id sub, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) rank FROM embeddings e, embeddings q WHERE {_EVERY}),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub, rank) n FROM r WHERE rank <= 3)
-SELECT query_id, id, CAST(position AS INTEGER) position FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank) position FROM f WHERE n = 1) WHERE position <= 6"""
-)
-def decomposed_merge_every(spark: SparkSession, d: str) -> DataFrame:
-    """The query set as sub-queries, three a question; first of equal results, cut to six."""
-    rows = vectors(spark, d)
-    found = R.top_k_blocks(rows, every_query(rows), R.per_subquery_k(6, 3))
-    found = found.select(F.floor(F.col("query_id") / (3 * EVERY)).alias("query_id"), F.col("query_id").alias("sub"), "rank", "id", F.col("id").cast("string").alias("content"))
-    return R.merged_subqueries(found, 6).select("query_id", "id", "position")
+@query()
+def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
+    """The default preset."""
+    return _pipeline(spark, d, "default")
 
 
-@query(SQL["semantic_cache_lookup"].replace(" AND q.vec_id < 400", ""))
-def semantic_cache_lookup_every(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest of the 128 cache entries for all other rows."""
-    rows = vectors(spark, d)
-    entries = rows.where("id < 128").select(F.col("id").alias("entry_id"), F.col("embedding").alias("vector"))
-    return R.cache_lookup(rows.where("id >= 128").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), entries, 0.3)
+@query()
+def pipeline_fast(spark: SparkSession, d: str) -> DataFrame:
+    """The fast preset: four chunks, no tools, no rerank."""
+    return _pipeline(spark, d, "fast")
 
 
 @query()
-def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
-    """The default preset over all questions of feedback; questions and chunks are embedded by the same offline model."""
-    from tamarack.plans import pipeline as P
-    from tamarack.plans.providers import Offline, embedded, index_of
-
-    docs, model = chunks(spark, d).drop("embedding"), Offline()
-    asked = table(spark, d, "feedback").dropDuplicates(["id"]).where("question is not null").select(F.xxhash64("id").alias("query_id"), "question")
-    # both are read once a block of questions
-    asked, index = cut(embedded(asked, model, "question", "query_vector")), cut(index_of(docs, model))
-    return P.run(P.State(asked, docs, index=index), P.preset("default")).context
+def pipeline_research(spark: SparkSession, d: str) -> DataFrame:
+    """The research preset: sub-questions, imagined documents, eight chunks."""
+    return _pipeline(spark, d, "research")

@@ -31,7 +31,7 @@ def test_append_and_reports(spark, tmp_path):
 def test_pages_and_evaluation(spark, tmp_path):
     p = tmp_path / "pages.json"
     p.write_text('{"url":"a","html":"<p>x</p>","status":200}\n{"url":"b","html":null,"status":404}\n')
-    assert {r["url"]: r["fetch_error"] for r in S.pages(spark, str(p)).collect()} == {"a": None, "b": "HTTP ERROR: 404"}
+    assert {r["url"]: r["fetch_error"] for r in S.pages(spark, str(p), "json").collect()} == {"a": None, "b": "HTTP ERROR: 404"}
     e = tmp_path / "eval.json"
     e.write_text('[{"id":1,"question":"q","expected_keywords":["k"],"topic":"t","difficulty":"basic"}]')
     assert S.evaluation_set(spark, str(e)).first()["expected_keywords"] == ["k"]
