@@ -7,7 +7,7 @@ computed per Arrow batch by matrix products, each batch passes on its k best per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions import classify as K
 from tamarack.functions import vectors as V
 
 # Weights of the hybrid score and boosts.
@@ -56,6 +57,16 @@ def lexical_distance(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.lit(1.0) - F.size(F.array_intersect(terms, words)) / F.size(F.array_distinct(terms))).otherwise(1.0)
 
 
+def lexical_distance_to(text: Column, terms: Sequence[str]) -> Column:
+    """lexical_distance for terms that are known: plain searches, and a look at the edges of what they find, instead of all words."""
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return F.lit(1.0)
+    word = lambda low, t: F.contains(low, F.lit(t)) & low.rlike(rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])")
+    hits = lambda low: reduce(lambda a, b: a + b, [word(low, t).cast("int") for t in terms])
+    return F.lit(1.0) - K.bound(F.lower(F.coalesce(text, F.lit(""))), hits) / F.lit(len(terms))
+
+
 def query_terms(question: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit(WORDS), F.lit(0)))
 

@@ -108,7 +108,7 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     docs = rows_of_chunks(spark, d)
     vector, terms = _question(docs)
     found = usable(docs).where(R.in_scope(F.col("country_scope"), "RU"))
-    text = R.lexical_distance(F.col("content"), F.array(*[F.lit(t) for t in terms]))
+    text = R.lexical_distance_to(F.col("content"), terms)
     boosts = (R.fact_boost(F.col("is_yaml_fact"), F.lit(0.8), F.lit(0.2)), R.focus_boost(F.lit("housing"), F.col("entity_type"), F.col("topic")))
     score = F.round(R.hybrid_score(F.col("distance"), text, *boosts), 9)
     return R.top_k(found, vector, 10, score=score, first=R.level_key(F.col("level"), "bachelor")).select("id", F.round("score", 6).alias("score"))
@@ -153,8 +153,8 @@ SELECT doc_id, round(1 - m / 4.0, 6) distance FROM t ORDER BY round(1 - m / 4.0,
 )
 def lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents by share of the question's terms."""
-    terms = R.query_terms(F.lit("Admission letter, German certificate"))
-    rows = table(spark, d, "documents").select("doc_id", F.round(R.lexical_distance(F.col("text"), terms), 6).alias("distance"))
+    terms = spark.range(1).select(R.query_terms(F.lit("Admission letter, German certificate"))).first()[0]
+    rows = table(spark, d, "documents").select("doc_id", F.round(R.lexical_distance_to(F.col("text"), terms), 6).alias("distance"))
     return rows.orderBy("distance", "doc_id").limit(20)
 
 
