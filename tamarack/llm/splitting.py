@@ -2,7 +2,8 @@
 
 An item longer than its limit becomes ordered pieces. Dynamic programming over the boundary positions of the text minimises
 the summed cut penalties plus a penalty for uneven sizes, subject to the maximum length; each piece after the first begins up
-to overlap characters before the end of the piece before it, again at a boundary. Boundaries and their penalties: blank line,
+to overlap characters before the end of the piece before it, again at a boundary: the strongest within the overlap, or else the end
+of its first clause or word. Boundaries and their penalties: blank line,
 line end, end of a sentence, end of a clause, white space, and - only where a stretch has none of these - the edge between
 two grapheme clusters (no cut within a surrogate, a combining sequence, a joined emoji or a line end of two characters).
 
@@ -94,7 +95,7 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, limit // 2))
     at, kind = _boundaries(text, limit, overlap)
     # where a piece begins if the one before ends at boundary i: the strongest boundary within the overlap, the farthest of equals
-    begin = list(range(len(at)))
+    begin = list(at)
     if overlap:
         for i in range(1, len(at) - 1):
             j, best = i - 1, None
@@ -103,7 +104,9 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                     best = j
                 j -= 1
             if best is not None and kind[best] < FORCED:
-                begin[i] = best
+                begin[i] = at[best]
+            else:
+                begin[i] = _inside(text, max(1, at[i] - overlap), at[i])
     even = n / -(-n // limit) if n else 1
     cost = [float("inf")] * len(at)
     back = [0] * len(at)
@@ -111,13 +114,13 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     last = len(at) - 1
     low = 0
     for e in range(1, len(at)):
-        while at[e] - at[begin[low]] > limit and low < e - 1:
+        while at[e] - begin[low] > limit and low < e - 1:
             low += 1
         c = PENALTY[kind[e]] if e < last else 0.0
         for p in range(e - 1, low - 1, -1):
             if cost[p] == float("inf"):
                 continue
-            size = at[e] - at[begin[p]]
+            size = at[e] - begin[p]
             if size > limit:
                 continue
             off = (size - even) / limit
@@ -131,7 +134,19 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     while back[ends[-1]]:
         ends.append(back[ends[-1]])
     ends.reverse()
-    return [(at[begin[p]] if p else 0, at[e]) for p, e in zip([0, *ends], ends)]
+    spans = [(0, at[ends[0]])]
+    for p, e in zip(ends, ends[1:]):  # a piece shorter than the overlap isn't repeated whole
+        spans.append((begin[p] if begin[p] > spans[-1][0] else at[p], at[e]))
+    return spans
+
+
+def _inside(text: str, a: int, z: int) -> int:
+    """End of the first clause between two places, or else of the first word; the second place if there is neither."""
+    for pattern in (_CLAUSE, _BLANK):
+        for m in pattern.finditer(text, a, z):
+            if m.end() < z:
+                return m.end()
+    return z
 
 
 def split_items(items: DataFrame, keep: Sequence[str], text: str, limit: str = "limit", overlap: str = "overlap", keep_small: bool = False) -> DataFrame:
