@@ -115,6 +115,20 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).distinct()
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """What each item's pieces give back: its text without the overlaps, and whether they keep the limit, the overlap and the order."""
+    pieces = _pieces(spark, d).distinct()
+    limit = F.when(F.col("item_kind") == "child", 400).otherwise(1600)
+    overlap = F.when(F.col("item_kind") == "child", 50).otherwise(200)
+    listed = F.array_sort(F.collect_list(F.struct("piece_no", "begin", "end", "piece")))
+    items = pieces.groupBy("item_kind", "item_key", "pos").agg(listed.alias("p"))
+    before = F.concat(F.array(F.lit(0)), F.slice("p.end", 1, F.size("p") - 1))
+    fresh = F.zip_with("p", before, lambda x, b: F.substr(x["piece"], b - x["begin"] + 1))
+    keeps = F.forall("p", lambda x: (x["end"] - x["begin"] <= limit) & (F.length(x["piece"]) == x["end"] - x["begin"]))
+    follows = F.forall(F.zip_with("p", before, lambda x, b: (x["begin"] <= b) & (b - x["begin"] <= overlap) & (x["end"] > b)), lambda ok: ok)
+    return items.select("item_kind", "item_key", "pos", F.md5(F.array_join(fresh, "")).alias("text_md5"), F.element_at("p.end", -1).alias("n_chars"), (keeps & follows).alias("well_cut"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.tokenize import encode_corpus
 
@@ -150,10 +164,10 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_by_clusters, p4_cleaned, p5_found, p5_redacted, p6_found, p6_main, p7_found, p7_pieces, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_conversations, p3_found, p3_neighbours, p4_found, p4_by_clusters, p4_cleaned, p5_found, p5_redacted, p6_found, p6_main, p7_found, p7_pieces, p7_round_trip, p8_ids, p9_mixed, p9_shares, p10_found, p10_segments)}
 
 
-P2_SQL = """
+_P2 = """
 WITH w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at NULLS LAST) n FROM messages WHERE tg_id IS NOT NULL AND created_at IS NOT NULL AND id IS NOT NULL),
 m AS (SELECT tg_id, id, created_at,
   CASE WHEN r IN ('user','human','usr') THEN 0 WHEN r IN ('system','tool') THEN 1 WHEN r IN ('assistant','bot','ai','model') THEN 3 ELSE 2 END rk,
@@ -163,10 +177,19 @@ g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY tg_id
 s AS (SELECT *, sum(nw) OVER (PARTITION BY tg_id ORDER BY created_at, rk, id ROWS UNBOUNDED PRECEDING) c, row_number() OVER (PARTITION BY tg_id ORDER BY created_at, rk, id) pos FROM g),
 a AS (SELECT tg_id, c, min_by(id, pos) first_id, count(*) FILTER (NOT blank AND rk <> 1) t, count(*) FILTER (NOT blank AND rk = 2) nn,
   min_by(rk, pos) FILTER (NOT blank AND rk <> 1) fr, max_by(rk, pos) FILTER (NOT blank AND rk <> 1) lr, count(*) FILTER (blank AND rk = 3) bb FROM s GROUP BY tg_id, c)
-SELECT tg_id, first_id, CASE WHEN t = 0 THEN 'empty' WHEN nn > 0 OR fr = 3 THEN 'broken' ELSE 'missing_reply' END reason
+"""
+
+P2_SQL = f"""{_P2}SELECT tg_id, first_id, CASE WHEN t = 0 THEN 'empty' WHEN nn > 0 OR fr = 3 THEN 'broken' ELSE 'missing_reply' END reason
 FROM a WHERE t = 0 OR nn > 0 OR fr = 3 OR lr = 0 OR bb > 0
 """
 
+P2_TURNS_SQL = f"""{_P2}SELECT s.tg_id, a.first_id, b.block, CAST(b.seg AS INTEGER) seg, b.pos, s.id, CASE WHEN s.rk = 0 THEN 'user' ELSE 'assistant' END speaker, w.content
+FROM s JOIN a ON a.tg_id = s.tg_id AND a.c = s.c JOIN w ON w.id = s.id AND w.n = 1
+JOIN (SELECT id, block, row_number() OVER (PARTITION BY tg_id, block ORDER BY created_at, rk, id) - 1 pos, sum(nb) OVER (PARTITION BY tg_id, block ORDER BY created_at, rk, id ROWS UNBOUNDED PRECEDING) seg
+  FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY tg_id, block ORDER BY created_at, rk, id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END nb FROM (SELECT *, CAST(floor(epoch_us(created_at) / 3600000000) AS BIGINT) block FROM m))) b ON b.id = s.id
+WHERE NOT (a.t = 0 OR a.nn > 0 OR a.fr = 3 OR a.lr = 0 OR a.bb > 0) AND NOT s.blank AND s.rk IN (0, 3)
+"""
+
 _P4 = """
 WITH reg AS (SELECT file, min(regexp_replace(regexp_extract(lower(trim(split_part(url,'|',1))), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), '^www\\.', '')) h FROM sources WHERE file IS NOT NULL GROUP BY file),
 p AS (SELECT id, content, coalesce(nullif(regexp_replace(regexp_extract(lower(trim(split_part(d.metadata.source_url,'|',1))), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), '^www\\.', ''), ''), h) site
@@ -196,6 +219,14 @@ UNION SELECT 'child', key, pos FROM (SELECT CAST(parent_id AS VARCHAR) key, unne
 """
 
 
+P7_TEXT_SQL = """
+SELECT DISTINCT item_kind, item_key, pos, md5(t) text_md5, CAST(length(t) AS INTEGER) n_chars, true well_cut FROM (
+ SELECT 'content' item_kind, CAST(id AS VARCHAR) item_key, CAST(0 AS INTEGER) pos, content t FROM simple_documents WHERE length(content) > 1600
+ UNION ALL SELECT 'parent', CAST(parent_id AS VARCHAR), CAST(0 AS INTEGER), parent_content FROM chunk_pairs WHERE length(parent_content) > 1600
+ UNION ALL SELECT 'child', key, pos, t FROM (SELECT CAST(parent_id AS VARCHAR) key, unnest(children_content) t, CAST(generate_subscripts(children_content, 1) - 1 AS INTEGER) pos FROM chunk_pairs) WHERE length(t) > 400)
+"""
+
+
 P3_SQL = """
 WITH v AS (SELECT DISTINCT ON (id) id, CAST(embedding AS DOUBLE[]) e FROM simple_documents
   WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
@@ -206,4 +237,4 @@ SELECT DISTINCT least(x, y) id_a, greatest(x, y) id_b FROM t WHERE r <= 10
 
 
 def oracle_sql() -> dict:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_by_clusters": P4_CLUSTERS_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p2_conversations": P2_TURNS_SQL, "p7_round_trip": P7_TEXT_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_by_clusters": P4_CLUSTERS_SQL, "p7_found": P7_SQL}
