@@ -76,7 +76,10 @@ def normal(text: str) -> str:
 
 def prepared(text: str) -> str:
     """Text as it is cut into sentences: normal form, without addresses."""
-    text = normal(text)
+    return without_addresses(normal(text))
+
+
+def without_addresses(text: str) -> str:
     return _URL.sub(" ", text) if "://" in text or "@" in text or "www." in text else text
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -105,10 +105,6 @@ def is_empty(text: str) -> bool:
     return not core or _PLACEHOLDER.fullmatch(core) is not None
 
 
-def tokens(text: str) -> list[str]:
-    return _WORD.findall(L.normal(text).lower())
-
-
 def is_copy(q: list[str], a: list[str]) -> bool:
     """Whether tokens a give back the question's tokens q and add nothing."""
     if not q or not a:
@@ -129,39 +125,77 @@ def is_copy(q: list[str], a: list[str]) -> bool:
     return copied >= max(3, 0.5 * len(a)) and loose <= 5 and (own <= 6 or own <= 0.25 * len(a))
 
 
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern."""
+    out, depth, at, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+        i += 2 if c == "\\" else 1
+    return [*out, pattern[at:]]
+
+
+def by_first_letter(patterns: Sequence[str]) -> re.Pattern:
+    """One pattern for all: those that begin at the edge of a word are tried there only, and by their first letter."""
+    letters: dict[str, list[str]] = {}
+    rest: list[str] = []
+    for branch in (x for p in patterns for x in branches(p)):
+        if not branch.startswith(r"\b"):
+            rest.append(branch)
+            continue
+        own = branch[2:]
+        if own.startswith("(?:") and own[(end := _closing(own)) + 1 : end + 2] not in ("?", "*", "+", "{"):
+            heads = [x + own[end + 1 :] for x in branches(own[3:end])]
+        else:
+            heads = [own]
+        for h in heads:
+            letters.setdefault(h[0] if h[0].isalpha() and h[1:2] not in ("?", "*") else "", []).append(h)
+    groups = [f"{k}(?:{'|'.join(x[len(k) :] for x in v)})" for k, v in letters.items()]
+    return re.compile("|".join([rf"\b(?:{'|'.join(groups)})", *rest]), re.IGNORECASE)
+
+
+def _closing(pattern: str) -> int:
+    """Place of the bracket that closes the one at the beginning."""
+    depth, i = 0, 0
+    while True:
+        depth += (pattern[i] == "(") - (pattern[i] == ")")
+        if not depth:
+            return i
+        i += 2 if pattern[i] == "\\" else 1
+
+
 # Phrases in which an assistant declines, by language; a sentence with one of them declines.
-_REFUSAL = re.compile(
-    "|".join(
-        (
-            # Russian
-            r"\bне (?:могу|смогу|сможем|можем)\b.{0,40}\b(?:ответ|помо|подсказ|сказать|предостав|обсужд|дать|консульт|прокоммент|раскры|выполн|сообщ)",
-            r"\b(?:ответить|помочь|подсказать|сказать|сообщить)\b.{0,30}\bне (?:могу|смогу|сможем|можем|получится|выйдет)\b",
-            r"\bязыков(?:ая|ой) модел", r"\bвыходит за (?:рамки|пределы)", r"\bза (?:рамками|пределами) (?:моих|моей)", r"\bнет (?:у меня )?(?:информации|данных|сведений|ответа|доступа)\b.{0,40}\b(?:тем|вопрос|этом|об)",
-            r"\bу меня нет (?:\w+ )?(?:информации|данных|сведений|ответа|доступа|возможности|полномочий|права)", r"\bя (?:всего лишь |всего-навсего |просто |только )?(?:бот|чат-бот|ассистент|помощник|ии|программа)\b",
-            r"\bне (?:располагаю|обладаю|владею|имею)\b.{0,30}\b(?:информац|данны|сведени|доступ|прав|полномоч|возможност)", r"\b(?:такие|подобные|эти|данные) (?:вопросы|темы) (?:я )?не (?:обсуждаю|комментирую|рассматриваю)",
-            r"\bне (?:обсуждаю|комментирую|консультирую|отвечаю)\b", r"\bне (?:удалось|получилось|смог|смогла) (?:найти|подобрать|отыскать|ответить)", r"\bотвечать не (?:буду|стану)", r"\bя (?:здесь |тут )?(?:бессилен|бессильна)|\bздесь я бессил|\bтут я бессил",
-            r"\b(?:промолчу|воздержусь|вынужден(?:а)? отказать|отказываюсь)\b", r"\bне (?:моя|в моей) компетенц", r"\bне вправе\b", r"\bне в (?:силах|состоянии) (?:ответ|помо)", r"\bзатрудняюсь (?:ответ|сказать)", r"\bничего (?:об этом )?не (?:знаю|нашёл|нашел|нашла|нашлось)", r"\bничего нет, поэтому",
-            r"\b(?:этого )?я не знаю\b", r"\b(?:ответа|ответ) (?:здесь |тут |на это )?(?:не будет|дать нельзя|невозмож\w+)", r"\bне даю советов",
-            # Ukrainian
-            r"\bне (?:можу|зможу|можемо)\b.{0,40}\b(?:відпов|допомог|підказ|сказати|надати|обговор|дати|коментув|повідом)", r"\b(?:відповісти|допомогти|підказати|сказати)\b.{0,30}\bне (?:можу|зможу|вийде)\b", r"\bмовна модель|\bмовну модель",
-            r"\bвиходить за (?:рамки|межі)", r"\bпоза (?:межами|моїми)", r"\bу мене (?:немає|нема) (?:\w+ )?(?:інформації|даних|відомостей|відповіді|доступу|можливості)", r"\bнемає (?:інформації|даних|відомостей)\b.{0,30}\b(?:тем|питан|про це)",
-            r"\bя (?:лише |всього лише |усього лише |тільки |просто )?(?:бот|чат-бот|асистент|помічник|програма)\b", r"\bне (?:маю|володію)\b.{0,30}\b(?:інформац|дани|відомост|доступ|прав|повноваж|можливост)", r"\bтакі питання (?:я )?не обговорюю|\bтаких питань (?:я )?не обговорюю",
-            r"\bне (?:обговорюю|коментую|консультую|відповідаю)\b", r"\bне (?:вдалося|вдалось|зміг|змогла) (?:знайти|підібрати|відповісти)", r"\bвідповідати не (?:буду|стану)", r"\b(?:безсилий|безсила)\b", r"\b(?:промовчу|утримаюся|утримаюсь|відмовляюся|відмовляюсь)\b", r"\bнічого немає, тому", r"\bне даю порад", r"\bя не знаю\b",
-            # Belarusian
-            r"\bне (?:магу|змагу)\b.{0,40}\b(?:адказ|дапам|падказ|сказаць|даць)", r"\b(?:адказаць|дапамагчы)\b.{0,30}\bне (?:магу|змагу)\b", r"\bмоўная мадэль", r"\bвыходзіць за (?:рамкі|межы)", r"\bу мяне няма (?:\w+ )?(?:інфармацыі|даных|дадзеных|звестак|адказу|доступу)",
-            r"\bя (?:толькі |усяго толькі |проста )?(?:бот|чат-бот|памочнік|праграма)\b", r"\bне (?:маю)\b.{0,30}\b(?:інфармац|даны|звест|доступ)", r"\bне (?:абмяркоўваю|каментую|кансультую)\b", r"\bне (?:удалося|ўдалося|змог|змагла) (?:знайсці|адказаць)", r"\bбяссіл", r"\b(?:прамаўчу|устрымаюся|адмаўляюся)\b", r"\bнічога няма, таму", r"\bне даю парад",
-            # German
-            r"\bkann ich (?:\w+ ){0,6}(?:nicht|keine|leider)", r"\bich kann (?:\w+ ){0,6}(?:nicht|keine)\b", r"\bsprachmodell\b", r"\b(?:liegen|liegt) mir (?:\w+ ){0,3}(?:keine|nichts)", r"\bhabe ich (?:\w+ ){0,4}(?:keine|nichts|keinen)\b", r"\bich habe (?:\w+ ){0,4}(?:keine (?:informationen|angaben|daten|auskunft|antwort)|keinen zugriff|nichts gefunden)",
-            r"\bnicht (?:zuständig|befugt|berechtigt|in der lage)\b", r"\b(?:ist|war|wäre) mir (?:\w+ ){0,3}nicht möglich", r"\b(?:möchte|darf|werde|will) ich (?:\w+ ){0,4}(?:keine?|nichts?|nicht)\b", r"\bich (?:möchte|darf|werde|will) (?:\w+ ){0,4}(?:keine?|nichts?|nicht)\b", r"\bbespreche ich nicht|\bbeantworte ich nicht|\bich (?:bespreche|beantworte) (?:\w+ ){0,3}nicht",
-            r"\bübersteigt (?:leider )?meine", r"\bkeine (?:antwort|auskunft|hilfe) (?:gegeben|erteilt|möglich)|\b(?:kann|können) (?:\w+ ){0,4}nicht (?:beantwortet|beantworten)", r"\baußerhalb (?:meiner|meines)", r"\bich bin (?:nur|bloß|lediglich) (?:ein|eine) (?:bot|chatbot|assistent|programm)", r"\bgeht über (?:meine|das)", r"\bich weiß (?:es|das|dazu)? ?(?:leider )?nicht\b", r"\bweiterhelfen kann ich|\bda bin ich (?:leider )?(?:machtlos|überfragt|ratlos)|\b(?:machtlos|überfragt)\b",
-            # English
-            r"\bi(?:'m| am) (?:sorry|afraid)\b.{0,40}\b(?:can't|cannot|can not|unable|not able|don't|no )", r"\bi (?:can't|cannot|can not|could not|couldn't|won't|will not) (?:\w+ ){0,3}(?:answer|help|assist|say|tell|provide|discuss|give|comment|advise|find)", r"\b(?:as|i(?:'m| am)) an? (?:ai )?language model", r"\bas an ai\b",
-            r"\bi (?:don't|do not) (?:have|discuss|know|give|answer|possess|comment)", r"\bi have (?:no|nothing)\b", r"\bbeyond (?:what i|my|the scope)", r"\boutside (?:my|the) (?:scope|area|remit|field)", r"\b(?:i(?:'m| am)) (?:only|just|merely) (?:a|an) (?:bot|chatbot|assistant|program)", r"\bi(?:'m| am) (?:not able|unable|not allowed|not in a position)",
-            r"\bi (?:must|have to|would rather|prefer to|would prefer to) (?:decline|not|stay silent)", r"\bi was (?:not able|unable) to", r"\b(?:i )?(?:found|find) nothing\b.{0,40}\b(?:so|therefore)", r"\bunable to (?:answer|help|assist|find)", r"\bso i(?:'d| would|'ll| will) (?:rather )?(?:not|say nothing|stay silent|keep quiet|pass)", r"\b(?:can't|cannot) help (?:you )?(?:with|here|there)", r"\bi(?:'m| am) powerless|\bnot something i can", r"\bno (?:answer|information|help|advice) (?:can|will|could) be\b|\bcan(?:not|'t) be (?:answered|discussed|given)\b|\bdo not discuss (?:such|these)|\bsuch questions i",
-        )
-    ),
-    re.IGNORECASE,
+REFUSALS = (
+    # Russian
+    r"\bне (?:могу|смогу|сможем|можем)\b.{0,40}\b(?:ответ|помо|подсказ|сказать|предостав|обсужд|дать|консульт|прокоммент|раскры|выполн|сообщ)",
+    r"\b(?:ответить|помочь|подсказать|сказать|сообщить)\b.{0,30}\bне (?:могу|смогу|сможем|можем|получится|выйдет)\b",
+    r"\bязыков(?:ая|ой) модел", r"\bвыходит за (?:рамки|пределы)", r"\bза (?:рамками|пределами) (?:моих|моей)", r"\bнет (?:у меня )?(?:информации|данных|сведений|ответа|доступа)\b.{0,40}\b(?:тем|вопрос|этом|об)",
+    r"\bу меня нет (?:\w+ )?(?:информации|данных|сведений|ответа|доступа|возможности|полномочий|права)", r"\bя (?:всего лишь |всего-навсего |просто |только )?(?:бот|чат-бот|ассистент|помощник|ии|программа)\b",
+    r"\bне (?:располагаю|обладаю|владею|имею)\b.{0,30}\b(?:информац|данны|сведени|доступ|прав|полномоч|возможност)", r"\b(?:такие|подобные|эти|данные) (?:вопросы|темы) (?:я )?не (?:обсуждаю|комментирую|рассматриваю)",
+    r"\bне (?:обсуждаю|комментирую|консультирую|отвечаю)\b", r"\bне (?:удалось|получилось|смог|смогла) (?:найти|подобрать|отыскать|ответить)", r"\bотвечать не (?:буду|стану)", r"\bя (?:здесь |тут )?(?:бессилен|бессильна)|\bздесь я бессил|\bтут я бессил",
+    r"\b(?:промолчу|воздержусь|вынужден(?:а)? отказать|отказываюсь)\b", r"\bне (?:моя|в моей) компетенц", r"\bне вправе\b", r"\bне в (?:силах|состоянии) (?:ответ|помо)", r"\bзатрудняюсь (?:ответ|сказать)", r"\bничего (?:об этом )?не (?:знаю|нашёл|нашел|нашла|нашлось)", r"\bничего нет, поэтому",
+    r"\b(?:этого )?я не знаю\b", r"\b(?:ответа|ответ) (?:здесь |тут |на это )?(?:не будет|дать нельзя|невозмож\w+)", r"\bне даю советов",
+    # Ukrainian
+    r"\bне (?:можу|зможу|можемо)\b.{0,40}\b(?:відпов|допомог|підказ|сказати|надати|обговор|дати|коментув|повідом)", r"\b(?:відповісти|допомогти|підказати|сказати)\b.{0,30}\bне (?:можу|зможу|вийде)\b", r"\bмовна модель|\bмовну модель",
+    r"\bвиходить за (?:рамки|межі)", r"\bпоза (?:межами|моїми)", r"\bу мене (?:немає|нема) (?:\w+ )?(?:інформації|даних|відомостей|відповіді|доступу|можливості)", r"\bнемає (?:інформації|даних|відомостей)\b.{0,30}\b(?:тем|питан|про це)",
+    r"\bя (?:лише |всього лише |усього лише |тільки |просто )?(?:бот|чат-бот|асистент|помічник|програма)\b", r"\bне (?:маю|володію)\b.{0,30}\b(?:інформац|дани|відомост|доступ|прав|повноваж|можливост)", r"\bтакі питання (?:я )?не обговорюю|\bтаких питань (?:я )?не обговорюю",
+    r"\bне (?:обговорюю|коментую|консультую|відповідаю)\b", r"\bне (?:вдалося|вдалось|зміг|змогла) (?:знайти|підібрати|відповісти)", r"\bвідповідати не (?:буду|стану)", r"\b(?:безсилий|безсила)\b", r"\b(?:промовчу|утримаюся|утримаюсь|відмовляюся|відмовляюсь)\b", r"\bнічого немає, тому", r"\bне даю порад", r"\bя не знаю\b",
+    # Belarusian
+    r"\bне (?:магу|змагу)\b.{0,40}\b(?:адказ|дапам|падказ|сказаць|даць)", r"\b(?:адказаць|дапамагчы)\b.{0,30}\bне (?:магу|змагу)\b", r"\bмоўная мадэль", r"\bвыходзіць за (?:рамкі|межы)", r"\bу мяне няма (?:\w+ )?(?:інфармацыі|даных|дадзеных|звестак|адказу|доступу)",
+    r"\bя (?:толькі |усяго толькі |проста )?(?:бот|чат-бот|памочнік|праграма)\b", r"\bне (?:маю)\b.{0,30}\b(?:інфармац|даны|звест|доступ)", r"\bне (?:абмяркоўваю|каментую|кансультую)\b", r"\bне (?:удалося|ўдалося|змог|змагла) (?:знайсці|адказаць)", r"\bбяссіл", r"\b(?:прамаўчу|устрымаюся|адмаўляюся)\b", r"\bнічога няма, таму", r"\bне даю парад",
+    # German
+    r"\bkann ich (?:\w+ ){0,6}(?:nicht|keine|leider)", r"\bich kann (?:\w+ ){0,6}(?:nicht|keine)\b", r"\bsprachmodell\b", r"\b(?:liegen|liegt) mir (?:\w+ ){0,3}(?:keine|nichts)", r"\bhabe ich (?:\w+ ){0,4}(?:keine|nichts|keinen)\b", r"\bich habe (?:\w+ ){0,4}(?:keine (?:informationen|angaben|daten|auskunft|antwort)|keinen zugriff|nichts gefunden)",
+    r"\bnicht (?:zuständig|befugt|berechtigt|in der lage)\b", r"\b(?:ist|war|wäre) mir (?:\w+ ){0,3}nicht möglich", r"\b(?:möchte|darf|werde|will) ich (?:\w+ ){0,4}(?:keine?|nichts?|nicht)\b", r"\bich (?:möchte|darf|werde|will) (?:\w+ ){0,4}(?:keine?|nichts?|nicht)\b", r"\bbespreche ich nicht|\bbeantworte ich nicht|\bich (?:bespreche|beantworte) (?:\w+ ){0,3}nicht",
+    r"\bübersteigt (?:leider )?meine", r"\bkeine (?:antwort|auskunft|hilfe) (?:gegeben|erteilt|möglich)|\b(?:kann|können) (?:\w+ ){0,4}nicht (?:beantwortet|beantworten)", r"\baußerhalb (?:meiner|meines)", r"\bich bin (?:nur|bloß|lediglich) (?:ein|eine) (?:bot|chatbot|assistent|programm)", r"\bgeht über (?:meine|das)", r"\bich weiß (?:es|das|dazu)? ?(?:leider )?nicht\b", r"\bweiterhelfen kann ich|\bda bin ich (?:leider )?(?:machtlos|überfragt|ratlos)|\b(?:machtlos|überfragt)\b",
+    # English
+    r"\bi(?:'m| am) (?:sorry|afraid)\b.{0,40}\b(?:can't|cannot|can not|unable|not able|don't|no )", r"\bi (?:can't|cannot|can not|could not|couldn't|won't|will not) (?:\w+ ){0,3}(?:answer|help|assist|say|tell|provide|discuss|give|comment|advise|find)", r"\b(?:as|i(?:'m| am)) an? (?:ai )?language model", r"\bas an ai\b",
+    r"\bi (?:don't|do not) (?:have|discuss|know|give|answer|possess|comment)", r"\bi have (?:no|nothing)\b", r"\bbeyond (?:what i|my|the scope)", r"\boutside (?:my|the) (?:scope|area|remit|field)", r"\b(?:i(?:'m| am)) (?:only|just|merely) (?:a|an) (?:bot|chatbot|assistant|program)", r"\bi(?:'m| am) (?:not able|unable|not allowed|not in a position)",
+    r"\bi (?:must|have to|would rather|prefer to|would prefer to) (?:decline|not|stay silent)", r"\bi was (?:not able|unable) to", r"\b(?:i )?(?:found|find) nothing\b.{0,40}\b(?:so|therefore)", r"\bunable to (?:answer|help|assist|find)", r"\bso i(?:'d| would|'ll| will) (?:rather )?(?:not|say nothing|stay silent|keep quiet|pass)", r"\b(?:can't|cannot) help (?:you )?(?:with|here|there)", r"\bi(?:'m| am) powerless|\bnot something i can", r"\bno (?:answer|information|help|advice) (?:can|will|could) be\b|\bcan(?:not|'t) be (?:answered|discussed|given)\b|\bdo not discuss (?:such|these)|\bsuch questions i",
 )
+_REFUSAL = by_first_letter(REFUSALS)
 _COURTESY = re.compile(
     r"^\W*(?:здравствуйте|добрый (?:день|вечер)|привет|уважаем\w+|чем могу (?:помочь|быть полезен)|попробуйте (?:переформулировать|спросить|задать)|надеюсь на (?:ваше )?понимание|обратитесь|извините|простите|к сожалению|удачи|спасибо|благодар\w+|всего (?:доброго|хорошего)|вітаю|добрий (?:день|вечір)|доброго дня|чим можу допомогти|спробуйте|сподіваюс\w*|вибачте|на жаль|щасти|дякую|добры дзень|вітаю|чым магу|паспрабуйце|спадзяюс\w*|прабачце|на жаль|guten (?:tag|abend)|hallo|womit kann ich|wie kann ich|versuchen sie|ich hoffe auf|danke|vielen dank|entschuldigung|leider|tut mir leid|bitte wenden|viel (?:erfolg|glück)|hello|hi\b|good (?:day|morning|evening)|how can i help|what can i|please (?:try|contact|ask|rephrase)|i hope|thank you|thanks|sorry|unfortunately|good luck)\b",
     re.IGNORECASE,
@@ -381,14 +415,15 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = {q: i for i, q in enumerate(dict.fromkeys(questions))}
             given = {a: i for i, a in enumerate(dict.fromkeys(answers))}
             inner = [unwrap(a) if a is not None else ("", False) for a in given]
-            texts = [bare(t) for t, _ in inner]
+            texts = [L.normal(bare(t)) for t, _ in inner]
+            q_texts = [L.normal(q) if q else "" for q in asked]
             empty = [is_empty(t) for t in texts]
-            q_parts = [L.split_sentences(L.prepared(q)) if q else [] for q in asked]
-            a_parts = [[] if e else L.split_sentences(_DIGIT.sub("0", L.prepared(_CITATION.sub("", t) if t[-1:] == "]" else t))) for t, e in zip(texts, empty)]
+            q_parts = [L.split_sentences(L.without_addresses(q)) for q in q_texts]
+            a_parts = [[] if e else L.split_sentences(_DIGIT.sub("0", L.without_addresses(_CITATION.sub("", t) if t[-1:] == "]" else t))) for t, e in zip(texts, empty)]
             model = L.model()
             theirs, own = L.Detected(q_parts, model), L.Detected(a_parts, model)
             q_lang, a_lang = [theirs.languages(i) for i in range(len(asked))], [own.languages(i) for i in range(len(given))]
-            q_tokens, a_tokens = [tokens(q or "") for q in asked], [[] if e else tokens(t) for t, e in zip(texts, empty)]
+            q_tokens, a_tokens = [_WORD.findall(q.lower()) for q in q_texts], [[] if e else _WORD.findall(t.lower()) for t, e in zip(texts, empty)]
             refused = [not e and is_refusal(p) for p, e in zip(a_parts, empty)]
             cut = [not e and is_cut_open(t, wrapped) for (t, wrapped), e in zip(inner, empty)]
             tails = [None if e or c else tail(t) for (t, _), e, c in zip(inner, empty, cut)]
