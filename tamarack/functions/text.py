@@ -62,7 +62,8 @@ def valid_for(explicit: Column, semester: Column) -> Column:
     kind = F.regexp_extract(sem, r"^(WS|SS)(\d{4})(?:/(\d{2,4}))?$", 1)
     year = F.regexp_extract(sem, r"^(WS|SS)(\d{4})(?:/(\d{2,4}))?$", 2).try_cast("int")
     two = lambda y: F.lpad((y % 100).cast("string"), 2, "0")
-    derived = F.when(kind == "WS", F.concat(year.cast("string"), F.lit("/"), two(year + 1))).when(kind == "SS", F.concat((year - 1).cast("string"), F.lit("/"), two(year))).otherwise("")
+    stated = missing(F.regexp_extract(sem, r"^(WS|SS)(\d{4})(?:/(\d{2,4}))?$", 3))
+    derived = F.when(kind == "WS", F.concat(year.cast("string"), F.lit("/"), F.coalesce(stated, two(year + 1)))).when(kind == "SS", F.concat((year - 1).cast("string"), F.lit("/"), two(year))).otherwise("")
     return F.when(given != "", given).otherwise(derived)
 
 

@@ -70,7 +70,8 @@ def test_text_functions(spark):
 
 FACTS = """
 id: u1
-name_de: Uni Test
+name:
+  de: Uni Test
 deadlines:
   - semester: WS2026
     category: EU
@@ -88,7 +89,28 @@ contacts:
 def test_facts(spark):
     df = spark.createDataFrame([("universities/u.yaml", FACTS), ("bad.yaml", "a: [b"), ("list.yaml", "- 1"), ("none.yaml", None)], "path string, content string")
     rows = {r["fact_type"]: r for r in Y.fact_chunks(df).collect()}
-    assert set(rows) == {"deadline", "tuition", "contact"}
+    assert set(rows) == {"deadline", "tuition", "contact", "general_info"}
     assert rows["deadline"]["valid_for"] == "2026/27" and rows["deadline"]["entity_type"] == "admission" and rows["contact"]["entity_type"] == "university"
-    assert "amount: 20.5" in rows["tuition"]["content"]
+    assert rows["deadline"]["content"] == "[Дедлайн: Uni Test (u1)]\nСеместр: WS2026\nКатегория: EU\nУровни: bachelor\n(актуально для приёма 2026/27)"
+    assert rows["tuition"]["content"] == "[Стоимость обучения: Uni Test (u1)]\nКатегория: EU\nStudienbeitrag: 20.5 EUR/semester\nИтого: 20.5 EUR/semester"
+    assert rows["contact"]["content"] == "[Контакты: Uni Test - office]\nОтдел: office\nEmail: a@b.example" and rows["contact"]["title"] == "Контакты Uni Test"
     assert Y.unreadable(df).count() == 3
+
+
+def test_splitting_follows_line_ends():
+    text = "\n".join(f"line {i} without a stop at its end" for i in range(200))
+    assert max(map(len, C.long_section(text))) <= 1000
+    assert C.packed(["a" * 5, "", " b ", "c" * 9], " ", 8, 3) == (["aaaaa b"], "c" * 9)
+    assert C.packed(["b" * 9], " ", 8, 3, "zz") == ([], "b" * 9)
+    children = C.children_of("Short one.\n\n" + "A sentence of some length. " * 30 + "\n\nTail.")
+    assert all(len(c) <= 400 for c in children) and children[0].startswith("Short one. A sentence")
+
+
+def test_repeated_blocks():
+    block = ["a", "b", "c", "d"]
+    again = "\n".join([*block, "x", *block, *block, "y"])
+    assert I.without_repeated_blocks(again) == "a\nb\nc\nd\nx\ny"
+    assert I.without_repeated_blocks(" \n".join("abcdefgh") + "\n ") == " \n".join("abcdefgh") + "\n "  # nothing repeats: as it was
+    # a run into the last, shorter window
+    assert I.without_repeated_blocks("\n".join(["a", "b", "c", "", "a", "b", "c", "", "a", "b", "c"])) == "a\nb\nc"
+    assert I.without_repeated_blocks("\n".join("x" for _ in range(100_000))) == "x"
