@@ -119,11 +119,15 @@ def latency_by(logs: DataFrame, *keys: str) -> DataFrame:
     return exact_percentiles(logs.where("t_total >= 0"), F.col("t_total"), 0.95, keys).withColumnRenamed("percentile", "p95")
 
 
+def _minute(c: str) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))
+
+
 def report(logs: DataFrame, since: Column) -> DataFrame:
     """Log rows of the window, formatted for a sheet."""
     return logs.where(F.col("created_at") >= since).select(
         "id",
-        F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"),
+        _minute("created_at").alias("created"),
         F.coalesce("question", F.lit("")).alias("question"),
         F.when(F.coalesce("cache_hit", F.lit(False)), "yes").otherwise("no").alias("cached"),
         F.coalesce(F.array_join("sources", ", "), F.lit("")).alias("sources"),
@@ -131,6 +135,16 @@ def report(logs: DataFrame, since: Column) -> DataFrame:
     )
 
 
+def user_sheet(users: DataFrame) -> DataFrame:
+    """All users, with times as text."""
+    return users.select("tg_id", "country", "target_level", "german_level", "english_level", _minute("created_at").alias("created"), _minute("last_active").alias("active"))
+
+
+def feedback_sheet(feedback: DataFrame, since: Column) -> DataFrame:
+    """Votes of the window; what isn't a vote for is one against."""
+    return feedback.where(F.col("created_at") >= since).select("id", "tg_id", F.when(F.col("rating") == 1, "👍").otherwise("👎").alias("vote"), "question", "answer", _minute("created_at").alias("created"))
+
+
 def routing_stats(routed: DataFrame, known: list[str], intent: str = "intent") -> DataFrame:
     """Count and percentage per known intent; other intents count in the total only."""
     by = routed.groupBy(intent).count()
@@ -148,12 +162,19 @@ def unsupported_urls(answer: Column, context: Column) -> Column:
     return F.array_sort(F.array_except(T.urls(answer), T.urls(context)))
 
 
-def evaluation(results: DataFrame) -> DataFrame:
-    """Means over rows without error: all, by difficulty, by topic, in one pass."""
-    ok = results.where("error is null").select("difficulty", "topic", "recall", "latency")
-    return ok.groupingSets([["difficulty"], ["topic"], []], "difficulty", "topic").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("n"), F.bround(F.avg("recall"), 3).alias("recall"), F.bround(F.avg("latency"), 2).alias("latency")
-    )
+def evaluation(results: DataFrame, *measures: str) -> DataFrame:
+    """Means over rows without error: all, by difficulty, by topic, in one pass, with the rows that failed.
+
+    measures are averaged to three digits, beside the latency to two and, where there is a column has_unsupported_urls, the share of
+    answers that name addresses their sources don't.
+    """
+    measures = measures or ("recall",)
+    ok = F.col("error").isNull()
+    cited = F.when(F.coalesce("has_unsupported_urls", F.lit(False)), 1.0).otherwise(0.0) if "has_unsupported_urls" in results.columns else None
+    found = [F.bround(F.avg(F.when(ok, F.col(m))), 3).alias(m) for m in measures]
+    found += [F.bround(F.avg(F.when(ok, F.col("latency"))), 2).alias("latency")]
+    found += [] if cited is None else [F.bround(F.avg(F.when(ok, cited)), 3).alias("hallucination_rate")]
+    return results.groupingSets([["difficulty"], ["topic"], []], "difficulty", "topic").agg(F.grouping_id().alias("level"), F.count_if(ok).alias("n"), F.count_if(~ok).alias("n_failed"), *found)
 
 
 def fact_share(found: DataFrame, key: str = "query_id", is_fact: str = "is_yaml_fact") -> DataFrame:

@@ -103,6 +103,15 @@ def sources_list(docs: DataFrame) -> DataFrame:
     return joined(own.withColumn("__line", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("source_url"))), "__line", "sources", "\n")
 
 
+def linked_sources(docs: DataFrame) -> DataFrame:
+    """(query_id, sources): one line '[i] title — section' per source, as a link where its address is one of the web."""
+    own = numbered_sources(docs).where("is_first")
+    title = F.concat_ws(" — ", F.coalesce(T.missing(F.col("title")), T.missing(F.col("source")), F.lit("Документ")), T.missing(F.col("section_path")))
+    address = F.coalesce(T.missing(F.col("source_url")), F.col("source"))
+    shown = F.when(address.startswith("http"), F.concat(F.lit("<a href='"), address, F.lit("'>"), title, F.lit("</a>"))).otherwise(title)
+    return joined(own.withColumn("__line", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), shown)), "__line", "sources", "\n")
+
+
 def cited_only(lines: DataFrame, answers: DataFrame, number: str = "number", answer: str = "answer") -> DataFrame:
     """Source lines whose number the answer cites; answers that cite none keep all."""
     cited = answers.select("query_id", T.cited_numbers(F.col(answer)).alias("__cited"))

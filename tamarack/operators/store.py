@@ -44,6 +44,15 @@ def message_pairs(pairs: DataFrame, key: str = "tg_id") -> DataFrame:
     return pairs.select(key, "created_at", F.inline(F.array(turn("user", "question", 0), turn("assistant", "answer", 1))))
 
 
+def active_after(users: DataFrame, pairs: DataFrame, key: str = "tg_id") -> DataFrame:
+    """Users after pairs (key, created_at) are added: new ones are created, last_active is the time of the last pair, and who wrote is
+    no longer reminded."""
+    last = pairs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("created_at").alias("__at"), F.lit(True).alias("__wrote"))
+    out = users.join(last, key, "full_outer")
+    set_ = {"last_active": F.coalesce("__at", "last_active"), "reengagement_sent_at": F.when(F.col("__wrote").isNull(), F.col("reengagement_sent_at"))}
+    return out.select(key, *[set_.get(c, F.col(c)).alias(c) for c in users.columns if c != key])
+
+
 def appended(table: DataFrame, rows: DataFrame, cut: Sequence[str] = (), most: int = 1000) -> DataFrame:
     """table and rows; the columns named in cut are shortened to most characters in what is added."""
     return table.unionByName(rows.select(*[F.substring(c, 1, most).alias(c) if c in cut else F.col(c) for c in rows.columns]), allowMissingColumns=True)

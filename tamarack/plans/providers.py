@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
@@ -61,6 +62,34 @@ class Offline:
         return F.when(shared > 0, F.lit(0.5) + shared / 2).otherwise(0.0)
 
 
+class Patient:
+    """A provider that waits and asks again where the service is overloaded or can't be reached; other errors pass at once."""
+
+    #: Parts of such errors' texts.
+    PASSING = ("503", "unavailable", "429", "exhausted", "clientconnector", "dns", "timed out", "connectionerror")
+
+    def __init__(self, inner: Provider, attempts: int = 3, first_wait: float = 1.0):
+        self.inner, self.attempts, self.first_wait = inner, attempts, first_wait
+
+    def _ask(self, call, *args):
+        for n in range(self.attempts):
+            try:
+                return call(*args)
+            except Exception as e:
+                if n + 1 == self.attempts or not any(x in str(e).lower() for x in self.PASSING):
+                    raise
+                time.sleep(self.first_wait * 2**n)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask(self.inner.embed, texts)
+
+    def generate(self, prompts: list[str], task: str = "answer") -> list[str | None]:
+        return self._ask(self.inner.generate, prompts, task)
+
+    def grade(self, docs: DataFrame) -> Column:
+        return self.inner.grade(docs)
+
+
 def generated(rows: DataFrame, provider: Provider, prompt: Column, out: str, task: str) -> DataFrame:
     """Adds the provider's replies; rows with a null prompt aren't sent and have a null reply."""
     carried = [c for c in rows.columns if c != out]

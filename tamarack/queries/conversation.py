@@ -317,15 +317,20 @@ def split_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT difficulty, topic, CAST(grouping(difficulty, topic) AS BIGINT) level, count(*) n, round_even(avg(recall), 3) recall, round_even(avg(latency), 2) latency
-FROM (SELECT lang difficulty, topic, n_chars / 1000.0 latency, CASE WHEN contains(lower(coalesce(text, '')), 'ects') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), 'pdf') THEN 0.5 ELSE 0 END recall FROM documents)
+    """SELECT difficulty, topic, CAST(grouping(difficulty, topic) AS BIGINT) level, count(*) FILTER (WHERE NOT failed) n, count(*) FILTER (WHERE failed) n_failed, round_even(avg(recall) FILTER (WHERE NOT failed), 3) recall, round_even(avg(coverage) FILTER (WHERE NOT failed), 3) coverage,
+ round_even(avg(latency) FILTER (WHERE NOT failed), 2) latency, round_even(avg(CASE WHEN urls THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT failed), 3) hallucination_rate
+FROM (SELECT lang difficulty, topic, n_chars / 997.0 latency, CASE WHEN contains(lower(coalesce(text, '')), 'ects') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), 'pdf') THEN 0.5 ELSE 0 END recall,
+ CASE WHEN contains(lower(coalesce(text, '')), 'visa') THEN 1.0 ELSE 0 END coverage, contains(coalesce(text, ''), 'http') urls, doc_id % 7 = 0 failed FROM documents)
 GROUP BY GROUPING SETS ((difficulty), (topic), ())"""
 )
 def eval_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """Means in all, by group and by topic."""
-    kw = F.array(F.lit("ECTS"), F.lit("PDF"))
-    rows = table(spark, d, "documents").select(F.col("lang").alias("difficulty"), "topic", (F.col("n_chars") / 1000.0).alias("latency"), A.keyword_recall(F.col("text"), kw).alias("recall"), F.lit(None).cast("string").alias("error"))
-    return A.evaluation(rows)
+    """Means in all, by group and by topic, without the rows that failed."""
+    kw = lambda *words: F.array(*[F.lit(w) for w in words])
+    rows = table(spark, d, "documents").select(
+        F.col("lang").alias("difficulty"), "topic", (F.col("n_chars") / 997.0).alias("latency"), A.keyword_recall(F.col("text"), kw("ECTS", "PDF")).alias("recall"), A.keyword_recall(F.col("text"), kw("Visa")).alias("coverage"),
+        (F.size(A.unsupported_urls(F.when(F.contains("text", F.lit("http")), F.col("text")), F.lit(""))) > 0).alias("has_unsupported_urls"), F.when(F.col("doc_id") % 7 == 0, "failed").alias("error"),
+    )
+    return A.evaluation(rows, "recall", "coverage")
 
 
 @query(
@@ -345,3 +350,27 @@ WHERE contains(t, '{X.REPORTED}') AND regexp_matches(t, '{"|".join(X.LACKING + X
 def reported_facts(spark: SparkSession, d: str) -> DataFrame:
     """What users say about a document of theirs."""
     return messages(spark, d, "content").select("id", F.explode(K.reported_facts(F.col("content"))).alias("document", "state"))
+
+
+_MINUTE = "coalesce(strftime({c}, '%Y-%m-%d %H:%M'), '')"
+
+
+@query(f"SELECT tg_id, country, target_level, german_level, english_level, {_MINUTE.format(c='created_at')} created, {_MINUTE.format(c='last_active')} active FROM {_U}")
+def user_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A10: the sheet of users."""
+    return A.user_sheet(users(spark, d, "country", "target_level", "german_level", "english_level", "created_at", "last_active"))
+
+
+@query(f"SELECT id, tg_id, CASE WHEN rating = 1 THEN '👍' ELSE '👎' END vote, question, answer, {_MINUTE.format(c='created_at')} created FROM {_F} WHERE created_at >= {NOW} - INTERVAL 200 DAY")
+def feedback_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A10: the sheet of votes in a window."""
+    return A.feedback_sheet(feedback(spark, d, "tg_id", "rating", "question", "answer", "created_at"), now() - F.expr("INTERVAL 200 DAYS"))
+
+
+@query(
+    f"""WITH p AS (SELECT tg_id, max(created_at) ts FROM {_F} WHERE tg_id IS NOT NULL GROUP BY 1)
+SELECT coalesce(u.tg_id, p.tg_id) tg_id, CASE WHEN p.ts IS NULL THEN u.last_active ELSE p.ts END last_active, CASE WHEN p.tg_id IS NULL THEN u.reengagement_sent_at END reengagement_sent_at FROM {_U} u FULL JOIN p ON p.tg_id = u.tg_id"""
+)
+def active_after_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Users after question and answer pairs are added: unknown ones are created, their last activity is set, their reminder is cleared."""
+    return S.active_after(users(spark, d, "last_active", "reengagement_sent_at"), feedback(spark, d, "tg_id", "created_at")).select("tg_id", "last_active", "reengagement_sent_at")

@@ -253,6 +253,16 @@ def sources_list(spark: SparkSession, d: str) -> DataFrame:
     return G.sources_list(_listed(spark, d))
 
 
+@query(
+    _NUMBERED
+    + """SELECT query_id, string_agg('[' || number || '] ' || CASE WHEN coalesce(starts_with(ad, 'http'), false) THEN '<a href=' || chr(39) || ad || chr(39) || '>' || h || '</a>' ELSE h END, chr(10) ORDER BY pos) sources
+FROM (SELECT *, concat_ws(' — ', coalesce(ti, nullif(m.metadata.source, ''), 'Документ'), se) h, coalesce(su, m.metadata.source) ad FROM m) WHERE n = 1 OR k = '' GROUP BY query_id"""
+)
+def linked_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the sources of each list, linked to their addresses."""
+    return G.linked_sources(_listed(spark, d))
+
+
 def _responses(lists: DataFrame) -> DataFrame:
     """Grades of each list as a grader would give them: JSON, for some lists of the wrong length or no JSON."""
     n = lists.groupBy("query_id").agg(F.count("*").alias("n"))

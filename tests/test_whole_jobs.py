@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import retrieve as R
 from tamarack.plans import pipeline as P
-from tamarack.plans.providers import Offline, embedded, index_of
+from tamarack.plans.providers import Offline, Patient, embedded, index_of
 from tamarack.queries import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -112,3 +112,19 @@ def test_vectors_that_are_not_finite_take_no_part(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [inf, 1.0]), (4, [0.0, 0.0]), (5, None), (2, [0.5, 0.5])], "id long, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.2]), (2, [inf, 0.0])], "query_id long, query_vector array<double>")
     assert [(r["query_id"], r["id"], r["rank"]) for r in R.top_k_batched(rows, asked, 10, dims=2).orderBy("rank").collect()] == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_patient_provider_asks_again():
+    class Busy(Offline):
+        asked = 0
+
+        def generate(self, prompts, task="answer"):
+            self.asked += 1
+            if self.asked < 3:
+                raise RuntimeError("503 Service Unavailable")
+            return super().generate(prompts, task)
+
+    busy = Busy()
+    assert Patient(busy, first_wait=0.0).generate(["a"], "rewrite") == ["a"] and busy.asked == 3
+    with pytest.raises(RuntimeError):
+        Patient(Busy(), attempts=2, first_wait=0.0).generate(["a"])
