@@ -369,8 +369,9 @@ def feedback_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH p AS (SELECT tg_id, max(created_at) ts FROM {_F} WHERE tg_id IS NOT NULL GROUP BY 1)
-SELECT coalesce(u.tg_id, p.tg_id) tg_id, CASE WHEN p.ts IS NULL THEN u.last_active ELSE p.ts END last_active, CASE WHEN p.tg_id IS NULL THEN u.reengagement_sent_at END reengagement_sent_at FROM {_U} u FULL JOIN p ON p.tg_id = u.tg_id"""
+SELECT coalesce(u.tg_id, p.tg_id) tg_id, epoch_us(coalesce(p.ts, u.last_active)) last_active, epoch_us(CASE WHEN p.tg_id IS NULL THEN u.reengagement_sent_at END) reengagement_sent_at FROM {_U} u FULL JOIN p ON p.tg_id = u.tg_id"""
 )
 def active_after_messages(spark: SparkSession, d: str) -> DataFrame:
     """Users after question and answer pairs are added: unknown ones are created, their last activity is set, their reminder is cleared."""
-    return S.active_after(users(spark, d, "last_active", "reengagement_sent_at"), feedback(spark, d, "tg_id", "created_at")).select("tg_id", "last_active", "reengagement_sent_at")
+    after = S.active_after(users(spark, d, "last_active", "reengagement_sent_at"), feedback(spark, d, "tg_id", "created_at"))
+    return after.select("tg_id", F.unix_micros("last_active").alias("last_active"), F.unix_micros("reengagement_sent_at").alias("reengagement_sent_at"))
