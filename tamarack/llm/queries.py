@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.neighbours import nearest
 
-    return nearest(table(spark, d, "simple_documents"), queries=F.col("id") % 20 == 0, probes=64, max_angle=40.0)
+    return nearest(table(spark, d, "simple_documents"), queries=F.col("id") % 20 == 0, probes=64, max_angle=40.0).withColumn("cosine", F.round("cosine", 6))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +203,13 @@ r AS (SELECT site, x FROM (SELECT site, x, count(DISTINCT id) c FROM k WHERE x <
 SELECT k.id, CAST(k.line_no AS INTEGER) line_no FROM k JOIN r USING (site, x)
 """
 
+P4_CLEANED_SQL = f"""{_P4}n AS (SELECT site, count(DISTINCT id) sn FROM p WHERE site IS NOT NULL GROUP BY site),
+r AS (SELECT site, x FROM (SELECT site, x, count(DISTINCT id) c FROM k WHERE x <> '' GROUP BY site, x) JOIN n USING (site) WHERE c >= 5 AND c >= 0.2 * sn),
+o AS (SELECT k.id, list(k.line_no) dl FROM k JOIN r USING (site, x) GROUP BY 1)
+SELECT d.id, p.site, CASE WHEN dl IS NULL THEN d.content ELSE array_to_string(list_filter(string_split(d.content, chr(10)), lambda x, i: NOT list_contains(dl, i - 1)), chr(10)) END cleaned
+FROM simple_documents d JOIN p ON p.id = d.id LEFT JOIN o ON o.id = d.id
+"""
+
 P4_CLUSTERS_SQL = f"""{_P4}c AS (SELECT id, string_agg(x, chr(10) ORDER BY line_no) FILTER (WHERE x <> '') letters FROM k GROUP BY id),
 q AS (SELECT p.id, p.site, coalesce(letters, '') cl, nullif(regexp_extract(coalesce(content, ''), '(?:^|\\n)[^\\d\\n]{{3,60}}(\\d{{1,2}}\\.\\d{{1,2}}\\.(?:19|20)\\d{{2}}|(?:19|20)\\d{{2}}-\\d{{2}}-\\d{{2}})[ \\t\\r]*(?:\\n|\\z)', 1), '') dy FROM p LEFT JOIN c USING (id) WHERE p.site IS NOT NULL),
 n AS (SELECT site, count(DISTINCT cl) sn, count(DISTINCT dy) dn FROM q GROUP BY site),
@@ -236,5 +243,13 @@ SELECT DISTINCT least(x, y) id_a, greatest(x, y) id_b FROM t WHERE r <= 10
 """
 
 
+P3_NEIGHBOURS_SQL = """
+WITH v AS (SELECT DISTINCT ON (id) id, CAST(embedding AS DOUBLE[]) e FROM simple_documents
+  WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+c AS (SELECT a.id, b.id other, round(list_cosine_similarity(a.e, b.e), 9) s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)
+SELECT id, other, round(s, 6) cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) r FROM c) WHERE r <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p2_found": P2_SQL, "p2_conversations": P2_TURNS_SQL, "p7_round_trip": P7_TEXT_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_by_clusters": P4_CLUSTERS_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p2_conversations": P2_TURNS_SQL, "p7_round_trip": P7_TEXT_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_by_clusters": P4_CLUSTERS_SQL, "p4_cleaned": P4_CLEANED_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL, "p7_found": P7_SQL}
