@@ -26,13 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def _by_letter(pattern: str) -> re.Pattern:
+    """The same pattern with its alternatives tried by their first letter."""
+    letters: dict[str, list[str]] = {}
+    rest: list[str] = []
+    for branch in re.split(r"\|(?![^()]*\))", pattern):
+        (letters.setdefault(branch[0], []) if branch[0].isalpha() and branch[1:2] not in ("?", "*") else rest).append(branch)
+    return re.compile("|".join([*rest, *(f"{k}(?:{'|'.join(x[1:] for x in v)})" for k, v in letters.items())]))
+
+
 _ZERO = re.compile("[​-‏⁠﻿­]")
 _SPACE = re.compile(r"\s+")
 _EDGE = " \t|»«>›•→*◦▪·‹<"
 _NAME = re.compile(r"[^\W_]+(?:[-.][^\W_]+)+")
 _DATE_END = re.compile(r"(?:\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d\d-\d\d|\b\d{1,2}\.? \w+ \d{4}|\d+(?:[.,]\d+)? ?\w{0,12})\W*$")
 #: Stems of what furniture speaks of.
-_STEMS = re.compile(
+_STEMS = _by_letter(
     r"cookie|куки|©|copyright|all rights|rechte vorbehalten|права защищ|права захищ|правы аба|newsletter|рассылк|розсилк|рассылк|subscrib|abonnier|подпис|підпис|"
     r"\bshare\b|\bteilen\b|поделит|поділит|weiterempf|empfehl|friend|freund|знаком|другу|другов|link kop|copy link|ссылк|посилан|\bprint\b|druck|распечат|роздрук|печат|друк|"
     r"privacy|datenschutz|приватн|конфиденц|конфіденц|imprint|impressum|sitemap|seitenplan|карта сайт|мапа сайт|выходные данные|accessib|barrierefrei|доступн|feedback|обратная связь|зворотн|"
@@ -43,11 +52,11 @@ _STEMS = re.compile(
     r"warranty|gewähr|garantie|гаранти|гаранті|liable|haftet|liability|не отвечает|не відповідає|reuse|nachdruck|перепечат|передрук|without consent|согласия|згод|pictures|bilder|изображен|зображен|світлин|фото|archive|archiv|архив|архів|"
     r"version|версия|версія|service line|servicelinie|hotline|телефонная линия|лінія|statistic|statistik|статистик|accept all|alle annehmen|принять все|прийняти всі|visits|besuche|посещен|відвідуван|settings|einstellungen|настройк|налаштуван|agree|einverstanden|соглас|згоден|browser|браузер"
 )
-_RELATED = re.compile(
+_RELATED = _by_letter(
     r"you (?:may|might) also|also (?:like|interesting)|related|similar|more topics|further topics|most read|popular|trending|recommended|read (?:also|more|next)|das könnte|auch interessieren|weitere themen|verwandte|ähnliche|meistgelesen|beliebt|lesen sie auch|"
     r"читайте|вас также|вас может|похожие|схожие|связанные|популярн|самое читаем|ещё по теме|другие темы|смежные|вас також|вас може|схожі|суміжні|пов'язані|найпопулярн|найчитан|падобныя|чытайце|папулярн"
 )
-_TEASER = re.compile(
+_TEASER = _by_letter(
     r"\bvideo\b|видео|відео|calendar|kalender|календар|open day|offenen tür|открытых двер|відкритих двер|\btest\b|тест|\bquiz\b|jobs|вакан|offers|angebote|предложен|пропозиц|rooms? in|zimmer in|комнаты в|кімнати в|how i |so schaffte|как я |як я |\bnews\b|neues aus|новости|новини|навіны|story|история|історія"
 )
 OWN = ("words", "chars", "sentence", "separators", "row", "heading", "dash", "bullet", "stems", "related", "teaser", "capitals", "digits", "dated", "link_density", "address", "comma_words")
