@@ -30,13 +30,26 @@ def cumulative(splits: DataFrame) -> DataFrame:
     return splits.withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(by), F.lit(0.0)))
 
 
+#: Experiments of a configuration, as many as one expression holds.
+MOST_EXPERIMENTS = 1000
+
+
 def assigned(users: DataFrame, splits: DataFrame, user: str = "tg_id") -> DataFrame:
-    """(user, experiment, bucket, variant) for every experiment in splits, a small configuration table that is broadcast."""
-    c = cumulative(splits).groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct("ord", "variant", "high"))).alias("variants"))
-    out = users.select(user).distinct().join(F.broadcast(c)).withColumn("bucket", bucket(F.col(user), F.col("experiment")))
-    hit = F.filter("variants", lambda v: F.col("bucket") / F.lit(float(BUCKETS)) < v["high"])
-    variant = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["variant"]).otherwise(F.get("variants", F.lit(0))["variant"])
-    return out.select(user, "experiment", "bucket", variant.alias("variant"))
+    """(user, experiment, bucket, variant) for every experiment in splits, a configuration table: it becomes part of the expression,
+    so users aren't joined to anything. More than MOST_EXPERIMENTS are no configuration and raise an error."""
+    c = cumulative(splits).groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct("ord", "variant", "high"))).alias("v")).limit(MOST_EXPERIMENTS + 1).collect()
+    if len(c) > MOST_EXPERIMENTS:
+        raise ValueError(f"more than {MOST_EXPERIMENTS} experiments")
+
+    def placed(experiment: str, variants: list) -> Column:
+        own = bucket(F.col(user), F.lit(experiment))
+        pick = F.lit(variants[0]["variant"])
+        for v in reversed(variants):
+            pick = F.when(own / F.lit(float(BUCKETS)) < F.lit(v["high"]), F.lit(v["variant"])).otherwise(pick)
+        return F.struct(F.lit(experiment).alias("experiment"), own.alias("bucket"), pick.alias("variant"))
+
+    every = F.array(*[placed(r["experiment"], r["v"]) for r in c]) if c else F.array().cast("array<struct<experiment:string,bucket:int,variant:string>>")
+    return users.select(user).distinct().select(user, F.inline(every))
 
 
 def valid_splits(splits: DataFrame) -> DataFrame:

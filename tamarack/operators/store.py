@@ -135,5 +135,5 @@ def user_stage(state: Column) -> Column:
 def skipped_prerequisites(states: DataFrame, prerequisites: DataFrame, key: str = "tg_id", state: str = "journey_state") -> DataFrame:
     """(key, stage, prerequisite): discussed stages whose prerequisite isn't. prerequisites: (stage, prerequisite), a fixed small graph."""
     done = states.select(key, F.explode(F.map_filter(state, lambda k, v: v == "discussed")).alias("stage", "__v")).drop("__v").distinct()
-    need = done.join(F.broadcast(prerequisites), "stage")
+    need = done.join(prerequisites, "stage")
     return need.join(done.select(key, F.col("stage").alias("prerequisite")), [key, "prerequisite"], "left_anti").select(key, "stage", "prerequisite")
