@@ -31,7 +31,9 @@ def exact_percentiles(rows: DataFrame, value: Column, p: float, keys: Sequence[s
         brackets = [(r["least"], r["top"]) if r["n"] <= most else tuple(r["b"]) for r in groups]  # of a small group all values are taken
         low, high = (F.get(F.array(*[F.lit(float(b[j])) for b in brackets]), F.col("g")) for j in (0, 1)) if groups else (F.lit(0.0), F.lit(0.0))
         placed = v.select(group.cast("int").alias("g"), "v").select("g", "v", (F.col("v") < low).alias("under"), F.col("v").between(low, high).alias("within"))
-        counts = {r["g"]: (r["under"], r["within"]) for r in placed.groupBy("g").agg(F.count_if("under").alias("under"), F.count_if("within").alias("within")).collect()} if groups else {}
+        counts = {i: (0, r["n"]) for i, r in enumerate(groups)}
+        if any(r["n"] > most for r in groups):
+            counts = {r["g"]: (r["under"], r["within"]) for r in placed.groupBy("g").agg(F.count_if("under").alias("under"), F.count_if("within").alias("within")).collect()}
         at = [(p * (r["n"] - 1), int(p * (r["n"] - 1))) for r in groups]
         small = [i for i, r in enumerate(groups) if counts[i][1] <= most and counts[i][0] <= at[i][1] and min(at[i][1] + 1, r["n"] - 1) < sum(counts[i])]
         values: dict[int, list[float]] = {i: [] for i in small}

@@ -12,7 +12,7 @@ from tamarack.operators import analytics as A
 from tamarack.operators import experiments as E
 from tamarack.operators import store as S
 from tamarack.queries.registry import query
-from tamarack.session import table
+from tamarack.session import spread, table
 
 NOW = "TIMESTAMP '2026-01-01 00:00:00'"
 _M = "(SELECT DISTINCT ON (id) * FROM messages ORDER BY id, loaded_at DESC NULLS LAST)"
@@ -37,6 +37,12 @@ def feedback(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return S.latest_rows(table(spark, d, "feedback"), columns=columns)
 
 
+def of_questions(spark: SparkSession, d: str, **labels) -> DataFrame:
+    """(id, labels) of each question of feedback: labelled where it is read, so that questions aren't exchanged to find repeats."""
+    rows = spread(table(spark, d, "feedback").select("id", "question"))
+    return S.latest_rows(rows.select("id", *[c.alias(n) for n, c in labels.items()]))
+
+
 def users(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return S.latest_rows(table(spark, d, "users"), "tg_id", columns=columns)
 
@@ -217,7 +223,7 @@ _INTENT = f"""CASE WHEN regexp_matches(q, '{_re2(X.CHITCHAT)}') THEN 'CHITCHAT'
 @query(f"SELECT id, {_INTENT} intent FROM (SELECT id, {_Q} q FROM {_F})")
 def intent_route(spark: SparkSession, d: str) -> DataFrame:
     """The intent of each question."""
-    return feedback(spark, d, "question").select("id", K.route_intent(F.col("question"))["intent"].alias("intent"))
+    return of_questions(spark, d, intent=K.route_intent(F.col("question"))["intent"])
 
 
 @query(f"SELECT intent, n, round_even(100.0 * n / sum(n) OVER (), 1) percent FROM (SELECT {_INTENT} intent, count(*) n FROM (SELECT {_Q} q FROM {_F}) GROUP BY 1)")
@@ -230,7 +236,7 @@ def routing_stats(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def query_type_route(spark: SparkSession, d: str) -> DataFrame:
     """Fact, narrative or hybrid question, with weights."""
-    rows = feedback(spark, d, "question").select("id", K.classify_query(F.col("question")).alias("c"))
+    rows = of_questions(spark, d, c=K.classify_query(F.col("question")))
     return rows.select("id", "c.query_type", F.round("c.confidence", 6).alias("confidence"), F.array_join("c.universities", ",").alias("universities"), K.search_weights(F.col("c.query_type"))["fact_weight"].alias("fact_weight"))
 
 

@@ -13,7 +13,7 @@ from tamarack.operators import chunk as C
 from tamarack.operators import ingest as I
 from tamarack.queries.registry import query
 from tamarack.queries.retrieval import chunks
-from tamarack.session import table
+from tamarack.session import spread, table
 
 _D = "(SELECT DISTINCT ON (id) * FROM simple_documents)"
 _TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(w)}') THEN '{k}' END" for k, w in X.TAGS.items()) + "], lambda x: x IS NOT NULL)"
@@ -22,7 +22,7 @@ _TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(w)}
 @query(f"SELECT doc_id, array_to_string(list_sort({_TAGS}), ',') tags FROM (SELECT doc_id, lower(coalesce(text, '')) t FROM documents)")
 def tag_annotation(spark: SparkSession, d: str) -> DataFrame:
     """Tags of each document."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(K.tags(F.col("text")), ",").alias("tags"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(K.tags(F.col("text")), ",").alias("tags"))
 
 
 @query("SELECT md5(string_agg(md5(coalesce(url, '')), '' ORDER BY file NULLS FIRST, md5(coalesce(url, '')))) hash, count(*) n_files FROM (SELECT DISTINCT file, url FROM sources)")
@@ -92,7 +92,7 @@ u AS (SELECT bd.id, CASE WHEN bd.id IN (SELECT id FROM bg) THEN {_strip("coalesc
 @query(f"SELECT doc_id, {_letters_sql('t')} AS text FROM (SELECT doc_id, {_clean_sql('text')} t FROM documents WHERE text IS NOT NULL)")
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned lines."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.drop_letter_lines(T.clean_lines(F.col("text"))).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", T.drop_letter_lines(T.clean_lines(F.col("text"))).alias("text"))
 
 
 @query(f"WITH src AS (SELECT id, content t FROM {_D} WHERE content IS NOT NULL), {_blocks_sql('src')} SELECT id, t AS content FROM u")
@@ -145,7 +145,7 @@ def md_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def parent_child(spark: SparkSession, d: str) -> DataFrame:
     """Parents and children."""
-    return C.parent_child(table(spark, d, "documents"), key="doc_id", content="text", source="source")
+    return C.parent_child(spread(table(spark, d, "documents").select("doc_id", "text", "source")), key="doc_id", content="text", source="source")
 
 
 @query("SELECT doc_id, substr(md5(coalesce(source, '') || ':' || coalesce(topic, '') || ':' || substr(coalesce(text, ''), 1, 100)), 1, 16) parent_id FROM documents")
@@ -167,7 +167,7 @@ FROM (SELECT doc_id, text, regexp_split_to_array({_strip('text')}, '[{_WS}]+') w
 )
 def summary_truncate(spark: SparkSession, d: str) -> DataFrame:
     """The last 250 words of each text."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.last_words(F.col("text")).alias("summary"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", T.last_words(F.col("text")).alias("summary"))
 
 
 @query("SELECT list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(content, ''), 'https?://\\S+'), lambda u: NOT list_contains(regexp_extract_all(coalesce(x.metadata.source_url, ''), 'https?://\\S+'), u)))) urls, id FROM " + _D + " x WHERE contains(content, 'http')")

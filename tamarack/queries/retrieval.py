@@ -12,7 +12,7 @@ from tamarack.operators import retrieve as R
 from tamarack.operators.chunk import vector_dims
 from tamarack.operators.store import latest_rows
 from tamarack.queries.registry import query
-from tamarack.session import cut, table
+from tamarack.session import cut, spread, table
 
 #: The query set of the searches: every row with an id divisible by this, against all rows.
 EVERY = 20
@@ -27,6 +27,11 @@ def rows_of_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "simple_documents").select("id", "content", "embedding", *[F.col(f"metadata.{n}").alias(n) for n in names])
 
 
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """What a search looks at, dealt out over all cores."""
+    return spread(rows_of_chunks(spark, d).select("id", "content", "embedding", "title", *[c for c in R.OF_CHUNK if c not in ("content", "boost")]))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row per id. Columns that a query doesn't use are pruned before the exchange."""
     return latest_rows(rows_of_chunks(spark, d))
@@ -105,9 +110,8 @@ ORDER BY k, sc, id LIMIT 10"""
 @query(_HYBRID)
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Scope filter, level before score, vector and lexical distance, boosts; the ten best chunks."""
-    docs = rows_of_chunks(spark, d)
-    vector, terms = _question(docs)
-    found = usable(docs).where(R.in_scope(F.col("country_scope"), "RU"))
+    vector, terms = _question(rows_of_chunks(spark, d))
+    found = usable(searched(spark, d)).where(R.in_scope(F.col("country_scope"), "RU"))
     text = R.lexical_distance_to(F.col("content"), terms)
     boosts = (R.fact_boost(F.col("is_yaml_fact"), F.lit(0.8), F.lit(0.2)), R.focus_boost(F.lit("housing"), F.col("entity_type"), F.col("topic")))
     score = F.round(R.hybrid_score(F.col("distance"), text, *boosts), 9)
@@ -130,7 +134,7 @@ SELECT query_id, id, round(score, 6) score, CAST(r AS INTEGER) rank FROM (SELECT
 )
 def hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
     """R1 to R10 for a set of queries: every chunk with an id divisible by 20 asks by its vector and its title, with a country, level, weights and focus of its own."""
-    docs = rows_of_chunks(spark, d)
+    docs = searched(spark, d)
     n = F.floor(F.col("id") / EVERY)
     pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
     asked = latest_rows(docs.where(F.col("id") % EVERY == 0).select("id", "embedding", "title")).select(
@@ -154,7 +158,7 @@ SELECT doc_id, round(1 - m / 4.0, 6) distance FROM t ORDER BY round(1 - m / 4.0,
 def lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents by share of the question's terms."""
     terms = spark.range(1).select(R.query_terms(F.lit("Admission letter, German certificate"))).first()[0]
-    rows = table(spark, d, "documents").select("doc_id", F.round(R.lexical_distance_to(F.col("text"), terms), 6).alias("distance"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.round(R.lexical_distance_to(F.col("text"), terms), 6).alias("distance"))
     return rows.orderBy("distance", "doc_id").limit(20)
 
 

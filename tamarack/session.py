@@ -53,3 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan, dealt out over all cores if it has fewer splits than there are cores.
+
+    A row group can't be split, so a costly map over a table of one row group would leave all cores but one idle. A large table has more
+    splits than cores and stays as it is, without an exchange. Choose columns first.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if len(scan.inputFiles()) >= cores or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
