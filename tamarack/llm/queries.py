@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.session import table
+from tamarack.session import spread, table
+
+
+def _feedback(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "feedback").select("id", "question", "answer"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.pairs import broken
 
-    return broken(table(spark, d, "feedback"))
+    return broken(_feedback(spark, d))
 
 
 def p1_defects(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.pairs import judge
 
-    return judge(table(spark, d, "feedback")).where(F.size("defects") > 0).select("id", F.explode("defects").alias("defect"))
+    return judge(_feedback(spark, d)).where(F.size("defects") > 0).select("id", F.explode("defects").alias("defect"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,13 +39,13 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.neighbours import similar_pairs
 
-    return similar_pairs(table(spark, d, "simple_documents"))
+    return similar_pairs(spread(table(spark, d, "simple_documents").select("id", "embedding")))
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.neighbours import nearest
 
-    return nearest(table(spark, d, "simple_documents"), queries=F.col("id") % 20 == 0, probes=64, max_angle=40.0).withColumn("cosine", F.round("cosine", 6))
+    return nearest(spread(table(spark, d, "simple_documents").select("id", "embedding")), queries=F.col("id") % 20 == 0, probes=64, max_angle=40.0).withColumn("cosine", F.round("cosine", 6))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +53,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "simple_documents").where(~F.coalesce(F.col("metadata.is_yaml_fact"), F.lit(False)))
     docs = docs.select("id", "content", F.col("metadata.source").alias("file"), F.col("metadata.source_url").alias("url"))
-    return with_site(docs, table(spark, d, "sources"), F.col("url"), F.col("file")).drop("file", "url")
+    return with_site(spread(docs), table(spark, d, "sources"), F.col("url"), F.col("file")).drop("file", "url")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,19 +76,23 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(pages, repeated_lines(pages).select("id", "line_no")).select("id", "site", "cleaned")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, id, text) of messages and questions."""
+    rows = spread(table(spark, d, "messages").select(F.lit("messages").alias("tbl"), "id", F.col("content").alias("text")))
+    return rows.unionByName(spread(table(spark, d, "feedback").select(F.lit("feedback").alias("tbl"), "id", F.col("question").alias("text"))))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.personal import find
 
-    rows = table(spark, d, "messages").select(F.lit("messages").alias("tbl"), "id", F.col("content").alias("text"))
-    rows = rows.unionByName(table(spark, d, "feedback").select(F.lit("feedback").alias("tbl"), "id", F.col("question").alias("text")))
+    rows = _texts(spark, d)
     return find(rows.where("text is not null"), "text", ("tbl", "id")).select("tbl", "id", "kind", "surface").distinct()
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.personal import redact
 
-    rows = table(spark, d, "messages").select(F.lit("messages").alias("tbl"), "id", F.col("content").alias("text"))
-    rows = rows.unionByName(table(spark, d, "feedback").select(F.lit("feedback").alias("tbl"), "id", F.col("question").alias("text")))
+    rows = _texts(spark, d)
     return redact(rows, "text", ("tbl", "id"))
 
 
@@ -103,7 +111,7 @@ def p6_main(spark: SparkSession, d: str) -> DataFrame:
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.splitting import knowledge_items, split_items
 
-    items = knowledge_items(table(spark, d, "simple_documents"), table(spark, d, "chunk_pairs"))
+    items = knowledge_items(spread(table(spark, d, "simple_documents").select("id", "content")), spread(table(spark, d, "chunk_pairs")))
     return split_items(items, ("item_kind", "item_key", "pos"), "text")
 
 
@@ -129,16 +137,20 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_kind", "item_key", "pos", F.md5(F.array_join(fresh, "")).alias("text_md5"), F.element_at("p.end", -1).alias("n_chars"), (keeps & follows).alias("well_cut"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.tokenize import encode_corpus
 
-    return encode_corpus(table(spark, d, "documents"))
+    return encode_corpus(_documents(spark, d))
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm import mixing as M
 
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     planned = M.plan(M.token_sizes(docs), table(spark, d, "mix_targets"))
     return M.mix(docs, planned)
 
@@ -147,20 +159,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm import mixing as M
     from tamarack.session import cut
 
-    sizes = cut(M.token_sizes(table(spark, d, "documents")))
+    sizes = cut(M.token_sizes(_documents(spark, d)))
     return M.report(sizes, M.plan(sizes, table(spark, d, "mix_targets")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.language import mislabelled
 
-    return mislabelled(table(spark, d, "documents")).select("doc_id", "lang")
+    return mislabelled(_documents(spark, d)).select("doc_id", "lang")
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm.language import segments
 
-    return segments(table(spark, d, "documents"))
+    return segments(_documents(spark, d))
 
 
 def queries() -> dict:
