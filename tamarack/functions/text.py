@@ -109,9 +109,10 @@ def is_valid_answer(text: Column) -> Column:
 
 
 def answer_and_suggestions(response: Column, apology: str) -> Column:
-    """struct(answer, suggested): from the outermost {...}, parsed or salvaged; other text as it is; the apology for a void answer."""
-    body = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "answer string, suggested_questions array<string>", {"mode": "PERMISSIVE"})
+    """struct(answer, suggested): from the outermost {...}, parsed if it is JSON as a whole, else salvaged; other text as it is; the
+    apology for a void answer."""
+    whole = F.try_parse_json(F.regexp_extract(response, r"(?s)(\{.*\})", 1))
+    parsed = F.struct(F.try_variant_get(whole, "$.answer", "string").alias("answer"), F.try_variant_get(whole, "$.suggested_questions", "array<string>").alias("suggested_questions"))
     loose = F.regexp_extract(response, r'(?s)"answer"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
     loose = F.replace(F.replace(F.replace(loose, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     listed = F.regexp_extract(response, r'(?s)"suggested_questions"\s*:\s*\[(.*?)(?:\]|$)', 1)

@@ -7,10 +7,12 @@ computed per Arrow batch by matrix products, each batch passes on its k best per
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,30 +80,51 @@ def hybrid_score(vector_distance: Column, text_distance: Column, *boosts: Column
     return out
 
 
-def cover_density(text: str | None, terms: list[str]) -> float:
-    """Rank by cover density: 1/length of each shortest span that holds all terms, weighed by a tenth; 0 without one."""
-    import re
-
-    words = re.findall(r"\w+", (text or "").lower())
-    wanted = set(terms)
-    places = [(i, w) for i, w in enumerate(words) if w in wanted]
-    if not wanted or {w for _, w in places} != wanted:
-        return 0.0
-    rank, have, left = 0.0, {}, 0
-    for i, w in places:
-        have[w] = have.get(w, 0) + 1
-        while len(have) == len(wanted):
-            a, v = places[left]
-            if have[v] == 1:
-                rank += 0.1 * len(wanted) / (i - a + 1) if len(wanted) > 1 else 0.1
-                del have[v]
-                left += 1
-                break
-            have[v] -= 1
+def covers(places: Sequence[int], terms: Sequence[int], n: int) -> float:
+    """Cover density of n terms: each shortest stretch with all of them adds a tenth, divided by one more than its other words.
+
+    places: positions of the terms in a text, in order, and which term stands there.
+    """
+    rank, left, count, missing = 0.0, 0, [0] * n, n
+    for right, t in enumerate(terms):
+        missing -= not count[t]
+        count[t] += 1
+        if missing:
+            continue
+        while count[terms[left]] > 1:
+            count[terms[left]] -= 1
             left += 1
+        rank += 0.1 / (1 + (places[right] - places[left]) - (right - left))
+        count[terms[left]] -= 1
+        left += 1
+        missing = 1
     return rank
 
 
+def cover_density(text: str | None, terms: Sequence[str]) -> float:
+    """covers of one text."""
+    at = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+    found = [(i, at[w]) for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower())) if w in at]
+    return covers([i for i, _ in found], [t for _, t in found], len(at)) if at else 0.0
+
+
+def cover_rank(text: Column, terms: Sequence[str]) -> Column:
+    """cover_density as a column: only texts with all terms have their words counted out, and only the terms' places meet Python."""
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return F.lit(0.0)
+
+    def ranks(places: pd.Series) -> pd.Series:
+        return places.map(lambda x: None if x is None else covers([p["i"] for p in x], [p["t"] for p in x], len(terms)))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    number = lambda w: F.array_position(F.array(*[F.lit(t) for t in terms]), w).cast("int") - 1
+    words = F.transform(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)), lambda w, i: F.struct(i.alias("i"), number(w).alias("t")))
+    every = reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in terms])
+    found = F.pandas_udf(ranks, "double")(F.when(every, F.filter(words, lambda p: p["t"] >= 0)))
+    return F.coalesce(found, F.lit(0.0))
+
+
 def top_k(chunks: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding", score: Column | None = None, first: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The k best chunks of one query; score defaults to the cosine distance; nulls last, ties by id.
 

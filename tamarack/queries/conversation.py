@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,25 @@ def found_entities(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tg_id", "created_at", F.inline(K.entities(F.col("content")))).withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("messages"))
 
 
-@query()
+def _entities_sql() -> str:
+    """SQL of classify.entities. RE2 knows word edges of Latin letters only: all signs are doubled, so that an edge may take one of its own."""
+    word, edge = "[\\p{L}\\p{N}_]", "(?:^|$|[^\\p{L}\\p{N}_])"
+    parts = []
+    for kind, patterns in X.ENTITIES.items():
+        for p in patterns:
+            doubled = "\\b" in p
+            groups = re.compile(p).groups
+            own = p.replace("\\b", edge).replace("\\w", word) if groups else edge + "(" + p.replace("\\b", "").replace("\\w", word) + ")" + edge
+            text = "t2" if doubled else "t"
+            found = [f"regexp_extract_all({text}, '(?i){own}', {g})" for g in range(1, max(groups, 1) + 1)]
+            value = found[0] if len(found) == 1 else "list_transform(list_zip(" + ", ".join(found) + "), lambda z: concat_ws(' ', " + ", ".join(f"nullif(z[{g}], '')" for g in range(1, len(found) + 1)) + "))"
+            parts.append(f"SELECT id, '{kind}' k, trim(regexp_replace(unnest({value}), '([^\\p{{L}}\\p{{N}}_])([^\\p{{L}}\\p{{N}}_])', '\\1', 'g')) v FROM m" if doubled else f"SELECT id, '{kind}' k, trim(unnest({value})) v FROM m")
+    names = " ".join(f"WHEN k = '{kind}' AND lower(v) = '{a}' THEN '{b}'" for kind, table_ in X.ENTITY_NAMES.items() for a, b in table_.items())
+    return f"""WITH m AS (SELECT id, content t, regexp_replace(content, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') t2 FROM {_M} WHERE tg_id IS NOT NULL AND content IS NOT NULL), e AS ({" UNION ALL ".join(parts)})
+SELECT entity_type, entity_value, count(*) n FROM (SELECT DISTINCT id, k entity_type, lower(CASE {names} ELSE v END) entity_value FROM e WHERE length(v) > 1) GROUP BY 1, 2"""
+
+
+@query(_entities_sql())
 def entity_extract(spark: SparkSession, d: str) -> DataFrame:
     """Things that users name."""
     return found_entities(spark, d).groupBy("entity_type", F.lower("entity_value").alias("entity_value")).agg(F.count("*").alias("n"))
@@ -271,7 +291,19 @@ def citation_numbers(spark: SparkSession, d: str) -> DataFrame:
     return feedback(spark, d, "answer").select("id", F.array_join(F.transform(T.cited_numbers(F.coalesce("answer", F.lit(""))), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query()
+_JSON = "(?s)(\\{.*\\})"
+
+
+@query(
+    f"""WITH b AS (SELECT id, coalesce(answer, '') a, regexp_extract(coalesce(answer, ''), '{_JSON}', 1) b FROM {_F}),
+j AS (SELECT *, CASE WHEN json_valid(b) THEN b END j FROM b),
+p AS (SELECT *, json_extract_string(j, '$.answer') parsed, replace(replace(replace(regexp_extract(a, '(?s)"answer"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)', 1), '\\n', chr(10)), '\\"', '"'), '\\\\', '\\') loose,
+  CASE WHEN json_type(j, '$.suggested_questions') = 'ARRAY' THEN json_array_length(j, '$.suggested_questions')
+   ELSE len(regexp_extract_all(regexp_extract(a, '(?s)"suggested_questions"\\s*:\\s*\\[(.*?)(?:\\]|$)', 1), '"((?:[^"\\\\]|\\\\.)*)"')) END n,
+  NOT (coalesce(json_extract_string(j, '$.is_faithful') = 'false', false) OR coalesce(json_array_length(j, '$.unsupported_claims') > 0, false)) f FROM j),
+r AS (SELECT *, coalesce(parsed, nullif(loose, ''), a) t FROM p)
+SELECT id, CASE WHEN length(regexp_replace(t, '[[:punct:]\\s\\x0b]', '', 'g')) >= 3 THEN t ELSE 'Извините, ответ не получился.' END answer, CAST(n AS INTEGER) n_suggested, f is_faithful FROM r"""
+)
 def answer_json_parse(spark: SparkSession, d: str) -> DataFrame:
     """Answers out of JSON, with suggestions, and verdicts."""
     rows = feedback(spark, d, "answer").select("id", T.answer_and_suggestions(F.coalesce("answer", F.lit("")), "Извините, ответ не получился.").alias("a"), T.faithfulness(F.col("answer")).alias("f"))

@@ -135,14 +135,75 @@ def freshness_group(spark: SparkSession, d: str) -> DataFrame:
     return I.freshness_groups(chunks(spark, d))
 
 
-@query()
+def _markdown_sql() -> str:
+    """SQL of chunk.markdown_chunks for pages without addresses in comments (there are none in the tables)."""
+    start = "{'o': CAST([] AS VARCHAR[]), 'r': ''}"
+    unit = lambda x: f"list_transform({x}, lambda y: {{'o': CAST([] AS VARCHAR[]), 'r': y}})"
+    block = f"""CASE WHEN a.r <> '' AND length(a.r) + length(e.r) + 2 > 800 THEN {{'o': list_append(a.o, {_strip('a.r')}), 'r': CASE WHEN length(a.r) > 200 THEN right(a.r, 200) || chr(10) || chr(10) || e.r ELSE e.r END}}
+  WHEN a.r <> '' THEN {{'o': a.o, 'r': a.r || chr(10) || chr(10) || e.r}} ELSE {{'o': a.o, 'r': e.r}} END"""
+    sentence = f"""CASE WHEN a.r <> '' AND length(a.r) + length(e.r) > 800 THEN {{'o': list_append(a.o, {_strip('a.r')}), 'r': right(a.r, 200) || ' ' || e.r}} WHEN a.r <> '' THEN {{'o': a.o, 'r': a.r || ' ' || e.r}} ELSE {{'o': a.o, 'r': e.r}} END"""
+    done = lambda f: f"CASE WHEN {_strip(f + '.r')} <> '' THEN list_append({f}.o, {_strip(f + '.r')}) ELSE {f}.o END"
+    front = "(?s)^---\\n(.*?)\\n---\\n?(.*)$"
+    return f"""WITH d AS (SELECT CAST(id AS VARCHAR) key, CASE WHEN regexp_matches(coalesce(content, ''), '{front}') THEN regexp_extract(content, '{front}', 2) ELSE coalesce(content, '') END body,
+  nullif(x.metadata.title, '') title, nullif(x.metadata.university, '') university, nullif(x.metadata.topic, '') topic, trim(split_part(coalesce(x.metadata.source_url, ''), '|', 1)) url FROM {_D} x),
+l AS (SELECT key, unnest(string_split(body, chr(10))) x, generate_subscripts(string_split(body, chr(10)), 1) i FROM d),
+h AS (SELECT *, length(regexp_extract(x, '^(#{{1,6}})[{_WS}]+.+$', 1)) lv, {_strip(f"regexp_extract(x, '^#{{1,6}}[{_WS}]+(.+)$', 1)")} head FROM l),
+s AS (SELECT *, count(*) FILTER (WHERE lv > 0) OVER (PARTITION BY key ORDER BY i) sec FROM h),
+t AS (SELECT key, sec, max(lv) lv, max(head) FILTER (WHERE lv > 0) head, {_strip("string_agg(x, chr(10) ORDER BY i)")} txt FROM s GROUP BY key, sec),
+up AS (SELECT a.key, a.sec, b.lv, b.head FROM t a JOIN t b ON a.key = b.key AND b.sec <= a.sec AND b.lv > 0 WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.key = a.key AND c.sec > b.sec AND c.sec <= a.sec AND c.lv > 0 AND c.lv <= b.lv)),
+pa AS (SELECT key, sec, string_agg(head, ' > ' ORDER BY lv) FILTER (WHERE lv >= 2) path, max(head) FILTER (WHERE lv = 1) h1 FROM up GROUP BY key, sec),
+n AS (SELECT t.key, t.sec, t.txt, coalesce(pa.path, '') path, first_value(pa.h1) OVER (PARTITION BY t.key ORDER BY pa.h1 IS NULL, t.sec) h1 FROM t LEFT JOIN pa ON pa.key = t.key AND pa.sec = t.sec WHERE t.txt <> ''),
+ll AS (SELECT key, sec, unnest(string_split(txt, chr(10))) x, generate_subscripts(string_split(txt, chr(10)), 1) i FROM n WHERE length(txt) > 800),
+lf AS (SELECT *, {_strip('x')} = '' blank, starts_with({_strip('x')}, '|') tb FROM ll),
+lr AS (SELECT *, sum(CASE WHEN blank OR tb <> coalesce(ptb, NOT tb) OR coalesce(pblank, true) THEN 1 ELSE 0 END) OVER (PARTITION BY key, sec ORDER BY i) run FROM (SELECT *, lag(tb) OVER (PARTITION BY key, sec ORDER BY i) ptb, lag(blank) OVER (PARTITION BY key, sec ORDER BY i) pblank FROM lf)),
+lb AS (SELECT key, sec, run, string_agg(x, chr(10) ORDER BY i) b FROM lr WHERE NOT blank GROUP BY key, sec, run),
+lp AS (SELECT key, sec, list_reduce({unit('list(b ORDER BY run)')}, lambda a, e: {block}, {start}) f FROM lb GROUP BY key, sec),
+lq AS (SELECT key, sec, unnest(ps) p, generate_subscripts(ps, 1) no FROM (SELECT key, sec, {done('f')} ps FROM lp)),
+lz AS (SELECT key, sec, no, p, list_reduce({unit("string_split(replace(p, '. ', '.' || chr(10)), chr(10))")}, lambda a, e: {sentence}, {start}) f FROM lq),
+lo AS (SELECT key, sec, flatten(list(CASE WHEN length(p) <= 1600 OR contains(p, '|') THEN [p] ELSE {done('f')} END ORDER BY no)) parts FROM lz GROUP BY key, sec),
+o AS (SELECT n.key, n.sec, n.path, n.h1, CASE WHEN length(n.txt) <= 800 THEN [n.txt] ELSE lo.parts END parts FROM n LEFT JOIN lo ON lo.key = n.key AND lo.sec = n.sec WHERE length(n.txt) >= 30),
+z AS (SELECT key, sec, path, h1, len(parts) np, unnest(parts) part, generate_subscripts(parts, 1) i FROM o)
+SELECT z.key, CAST(row_number() OVER (PARTITION BY z.key ORDER BY sec, i) - 1 AS INTEGER) pos,
+ CASE WHEN q.lead <> '' THEN '[' || q.lead || ']' || chr(10) ELSE '' END || part AS content, coalesce(d.title, z.h1, d.key) title,
+ CASE WHEN np = 1 THEN path WHEN path <> '' THEN path || ' (часть ' || i || ')' ELSE 'часть ' || i END section_path, d.url source_url
+FROM z JOIN d ON d.key = z.key, LATERAL (SELECT concat_ws(' | ', 'Университет: ' || d.university, 'Тема: ' || d.topic, CASE WHEN z.path <> '' THEN 'Раздел: ' || z.path END) lead) q"""
+
+
+@query(_markdown_sql())
 def md_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of Markdown pages by headings."""
     docs = chunks(spark, d).select(F.col("id").cast("string").alias("file"), T.front_matter(F.coalesce("content", F.lit("")))["body"].alias("body"), "title", "university", "topic", "source_url")
     return C.split_markdown(docs)
 
 
-@query()
+def _packing_sql() -> str:
+    """SQL of chunk.parents_of and children_of for documents: folds over lists, with what is still open as part of the state."""
+    none = "CAST([] AS VARCHAR[])"
+    pieces = lambda x, cut: f"list_filter(list_transform(string_split({x}, {cut}), lambda p: {_strip('p')}), lambda p: p <> '')"
+    paragraphs = pieces("{x}", "chr(10) || chr(10)")
+    sentences = pieces("replace(p, '. ', '.' || chr(10))", "chr(10)")
+    units = f"""flatten(list_transform({paragraphs}, lambda p: CASE WHEN length(p) <= 400 THEN [{{'o': {none}, 'r': p, 'k': 'paragraph'}}]
+  ELSE list_concat([{{'o': {none}, 'r': '', 'k': 'flush'}}], list_transform({sentences}, lambda s: {{'o': {none}, 'r': s, 'k': 'sentence'}})) END))"""
+    child = """CASE WHEN e.k = 'flush' THEN CASE WHEN length(a.r) >= 200 THEN {'o': list_append(a.o, a.r), 'r': '', 'k': ''} ELSE a END
+  WHEN a.r = '' THEN {'o': a.o, 'r': e.r, 'k': ''}
+  WHEN length(a.r) + length(e.r) + CASE WHEN e.k = 'sentence' THEN 1 ELSE 2 END <= 400 THEN {'o': a.o, 'r': a.r || CASE WHEN e.k = 'sentence' THEN ' ' ELSE chr(10) || chr(10) END || e.r, 'k': ''}
+  WHEN e.k = 'sentence' OR length(a.r) >= 200 THEN {'o': list_append(a.o, a.r), 'r': e.r, 'k': ''} ELSE {'o': a.o, 'r': e.r, 'k': ''} END"""
+    parent = """CASE WHEN a.r = '' THEN {'o': a.o, 'r': e.r, 'k': ''} WHEN length(a.r) + length(e.r) + 2 <= 1600 THEN {'o': a.o, 'r': a.r || chr(10) || chr(10) || e.r, 'k': ''}
+  WHEN length(a.r) >= 800 THEN {'o': list_append(a.o, a.r), 'r': e.r, 'k': ''} ELSE {'o': a.o, 'r': e.r, 'k': ''} END"""
+    start = f"{{'o': {none}, 'r': '', 'k': ''}}"
+    whole = lambda f, least: f"CASE WHEN length({f}.r) >= {least} THEN list_append({f}.o, {f}.r) ELSE {f}.o END"
+    return f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) key, text, coalesce(source, '') src FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, list_reduce(list_transform({paragraphs.replace("{x}", "text")}, lambda p: {{'o': {none}, 'r': p, 'k': ''}}), lambda a, e: {parent}, {start}) st FROM d),
+p AS (SELECT key, src, text, CASE WHEN length(text) <= 1600 THEN [text] ELSE {whole("st", 800)} END parents FROM f),
+u AS (SELECT key, src, length(text) <= 1600 short, unnest(parents) parent, generate_subscripts(parents, 1) no FROM p),
+g AS (SELECT *, list_reduce({units.replace("{x}", "parent")}, lambda a, e: {child}, {start}) st FROM u),
+c AS (SELECT key, src, no, parent, CASE WHEN short AND len({whole("st", 200)}) = 0 THEN [parent] ELSE {whole("st", 200)} END children FROM g),
+n AS (SELECT *, sum(1 + len(children)) OVER (PARTITION BY key ORDER BY no) - 1 - len(children) AS pos, substr(md5(src || '::' || substr(parent, 1, 100)), 1, 16) parent_id FROM c)
+SELECT key, CAST(pos AS INTEGER) pos, parent AS content, parent_id, CAST(NULL AS INTEGER) child_index, true is_parent, false is_child, CAST(len(children) AS INTEGER) num_children FROM n
+UNION ALL SELECT key, CAST(pos + i AS INTEGER), child, parent_id, CAST(i - 1 AS INTEGER), false, true, NULL FROM (SELECT key, pos, parent_id, unnest(children) child, generate_subscripts(children, 1) i FROM n)"""
+
+
+@query(_packing_sql())
 def parent_child(spark: SparkSession, d: str) -> DataFrame:
     """Parents and children."""
     return C.parent_child(spread(table(spark, d, "documents").select("doc_id", "text", "source")), key="doc_id", content="text", source="source")

@@ -162,6 +162,17 @@ def lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("distance", "doc_id").limit(20)
 
 
+@query(
+    """WITH w AS (SELECT doc_id, unnest(l) x, generate_subscripts(l, 1) i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') l FROM documents)),
+p AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) b, lag(i) OVER (PARTITION BY doc_id ORDER BY i) j FROM w WHERE x IN ('программы', 'семестр'))
+SELECT doc_id, round(sum(0.1 / (i - j)), 6) rank FROM p WHERE b <> x GROUP BY 1"""
+)
+def cover_density(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with both terms of a question, ranked by how close together they stand."""
+    rows = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.round(R.cover_rank(F.col("text"), ["программы", "семестр"]), 6).alias("rank")).where("rank > 0")
+
+
 @query(
     f"""WITH r AS (SELECT q.vec_id // {3 * EVERY} query_id, q.vec_id sub, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9), e.vec_id) rank FROM embeddings e, embeddings q WHERE {_ASKED}),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub, rank) n FROM r WHERE rank <= 3)

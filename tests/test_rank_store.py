@@ -2,6 +2,7 @@ import hashlib
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import analytics as A
@@ -76,7 +77,13 @@ def test_batched_search_matches_numpy(spark):
     assert R.top_k_batched(df, q.limit(0), 4, dims=8).count() == 0
 
 
-def test_cover_density():
+def test_cover_density(spark):
+    assert R.cover_density("a b", ["a", "b"]) == 0.1 and R.cover_density("a x x b", ["a", "b"]) == pytest.approx(0.1 / 3)
+    assert R.cover_density("a b a", ["a", "b"]) == pytest.approx(0.2) and R.cover_density("a y a", ["a"]) == pytest.approx(0.2)
+    assert R.cover_density("a a x b c", ["c", "a", "b"]) == pytest.approx(0.1 / 2)
+    texts = ["a b", "b x a y, A b", "a", "", None, "c a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", R.cover_rank(F.col("t"), ["a", "b"]).alias("r"))
+    assert {r["i"]: round(r["r"], 9) for r in df.collect()} == {i: round(R.cover_density(t, ["a", "b"]), 9) for i, t in enumerate(texts)}
     assert R.cover_density("a b c", ["a", "z"]) == 0.0
     assert R.cover_density("", ["a"]) == 0.0
     assert R.cover_density("a b", ["a", "b"]) > R.cover_density("a x x b", ["a", "b"]) > 0
