@@ -108,6 +108,12 @@ def rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_to
     return out
 
 
+def of_targets(docs: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
+    """Documents whose source is listed: no others are ever used or reported, so their tokens needn't be counted."""
+    wanted = targets.where("source is not null").select(F.col("source").alias(source)).distinct()
+    return docs.join(F.broadcast(wanted), source, "left_semi")
+
+
 def token_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", path: str | None = None) -> DataFrame:
     """Narrow table (id, source, n_tokens), the one pass over the texts that counts tokens."""
     return count_tokens(docs, text, keep=(doc_id, source), out="n_tokens", path=path)

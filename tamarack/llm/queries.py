@@ -150,17 +150,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm import mixing as M
 
-    docs = _documents(spark, d)
-    planned = M.plan(M.token_sizes(docs), table(spark, d, "mix_targets"))
-    return M.mix(docs, planned)
+    targets = table(spark, d, "mix_targets")
+    docs = M.of_targets(_documents(spark, d), targets)
+    return M.mix(docs, M.plan(M.token_sizes(docs), targets))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     from tamarack.llm import mixing as M
     from tamarack.session import cut
 
-    sizes = cut(M.token_sizes(_documents(spark, d)))
-    return M.report(sizes, M.plan(sizes, table(spark, d, "mix_targets")))
+    targets = table(spark, d, "mix_targets")
+    sizes = cut(M.token_sizes(M.of_targets(_documents(spark, d), targets)))
+    return M.report(sizes, M.plan(sizes, targets))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
