@@ -180,6 +180,20 @@ class _Asked:
         self.fact, self.narrative = (np.asarray([r[c] or 0.0 for r in rows], dtype=np.float64) for c in ("fact_weight", "narrative_weight"))
         self.focus = np.asarray([{"housing": 1, "food": 2}.get(r["focus"], 0) for r in rows], dtype=np.int64)
 
+    def asks(self, a: int, z: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the queries from a to z: how many terms they have, each term's place among these, terms by queries, and terms a query.
+
+        Only a stretch's own terms become a matrix, so its size doesn't grow with the block's vocabulary.
+        """
+        used = list(dict.fromkeys(w for t in self.terms[a:z] for w in t))
+        at = {w: i for i, w in enumerate(used)}
+        place = np.full(len(self.vocabulary), -1)
+        place[[self.vocabulary[w] for w in used]] = np.arange(len(used))
+        asks = np.zeros((len(used), z - a), np.float32)
+        for j, t in enumerate(self.terms[a:z]):
+            asks[[at[w] for w in t], j] = 1.0
+        return len(used), place, asks, np.maximum(1.0, asks.sum(axis=0, dtype=np.float64))
+
     @staticmethod
     def _numbered(values: list) -> tuple[list, np.ndarray]:
         """Different values and the number of each query's; -1 for none."""
@@ -225,16 +239,13 @@ def _best_of(base: DataFrame, rows: list, k: int, dims: int, weights: tuple[floa
     fields = base.columns
     food_topics = set(FOOD_TOPICS)
 
-    def words_of(texts: list, known: dict[str, int]) -> np.ndarray:
-        """Rows by terms: whether a text has the term."""
+    def words_of(texts: list, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and terms of the terms that texts have."""
         import regex
 
         find = regex.compile(WORDS).findall
-        out = np.zeros((len(texts), len(known)), np.float32)
-        for r, t in enumerate(texts):
-            at = [i for w in set(find(t.lower())) if (i := known.get(w)) is not None] if t else ()
-            out[r, at] = 1.0
-        return out
+        at = [sorted({i for w in set(find(t.lower())) if (i := known.get(w)) is not None}) if t else [] for t in texts]
+        return np.repeat(np.arange(len(at)), [len(x) for x in at]), np.fromiter((i for x in at for i in x), np.int64)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -256,19 +267,17 @@ def _best_of(base: DataFrame, rows: list, k: int, dims: int, weights: tuple[floa
                 scope = q.holds(q.countries, c["country_scope"].to_pylist())
                 scope |= flags("country_scope", lambda v: bool(v) and "ALL" in v)[:, None]
                 level = q.holds(q.levels, c["level"].to_pylist())
-                has = words_of(c["content"].to_pylist(), q.vocabulary) if lexical else None
+                row_of, term_of = words_of(c["content"].to_pylist(), q.vocabulary) if lexical else (None, None)
                 for a in range(0, len(q.ids), 256):
                     z = min(a + 256, len(q.ids))
                     far = 1.0 - x @ q.vectors[a:z].T
                     text = np.ones(far.shape)
                     if lexical:
-                        used = list(dict.fromkeys(w for t in q.terms[a:z] for w in t))
-                        at = {w: i for i, w in enumerate(used)}
-                        asks = np.zeros((len(used), z - a), np.float32)
-                        for j, t in enumerate(q.terms[a:z]):
-                            asks[[at[w] for w in t], j] = 1.0
-                        number = np.maximum(1.0, asks.sum(axis=0, dtype=np.float64))
-                        text = 1.0 - (has[:, [q.vocabulary[w] for w in used]] @ asks) / number[None]
+                        used, place, asks, number = q.asks(a, z)
+                        local = place[term_of]
+                        has = np.zeros((len(ids), used), np.float32)
+                        has[row_of[local >= 0], local[local >= 0]] = 1.0
+                        text = 1.0 - (has @ asks) / number[None]
                     score = weights[0] * far + weights[1] * text
                     score = score - FACT_BOOST * np.where(fact[:, None], q.fact[None, a:z], q.narrative[None, a:z])
                     score = score + np.where(housing[:, None] & (q.focus[None, a:z] == 1), HOUSING_BOOST, 0.0) + np.where(food[:, None] & (q.focus[None, a:z] == 2), FOOD_BOOST, 0.0)

@@ -111,7 +111,7 @@ ORDER BY k, sc, id LIMIT 10"""
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Scope filter, level before score, vector and lexical distance, boosts; the ten best chunks."""
     vector, terms = _question(rows_of_chunks(spark, d))
-    found = usable(searched(spark, d)).where(R.in_scope(F.col("country_scope"), "RU"))
+    found = usable(rows_of_chunks(spark, d)).where(R.in_scope(F.col("country_scope"), "RU"))
     text = R.lexical_distance_to(F.col("content"), terms)
     boosts = (R.fact_boost(F.col("is_yaml_fact"), F.lit(0.8), F.lit(0.2)), R.focus_boost(F.lit("housing"), F.col("entity_type"), F.col("topic")))
     score = F.round(R.hybrid_score(F.col("distance"), text, *boosts), 9)
