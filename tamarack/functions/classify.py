@@ -74,6 +74,11 @@ def _intent(q: Column) -> Column:
     )
 
 
+def route_predicates(intent: Column) -> Column:
+    """struct(use_rag, use_tools, is_chitchat) of an intent."""
+    return F.struct(intent.isin("RAG_ONLY", "TOOL_THEN_RAG").alias("use_rag"), intent.isin("TOOL_ONLY", "TOOL_THEN_RAG").alias("use_tools"), (intent == "CHITCHAT").alias("is_chitchat"))
+
+
 def pattern_count(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """Number of matches of all patterns together."""
     out = F.lit(0)

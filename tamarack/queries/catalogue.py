@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.queries import conversation, knowledge, retrieval  # noqa: F401
+from tamarack.queries import conversation, knowledge, replies, retrieval  # noqa: F401
 from tamarack.queries.registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_retrieval"
