@@ -42,12 +42,9 @@ def letters(line: Column) -> Column:
 
 def line_keys(content: Column) -> Column:
     """Array, one entry per line: hash of the line's letters, null for lines without letters."""
-
-    def key(line: Column) -> Column:
-        bare = letters(line)
-        return F.when(F.length(bare) > 0, F.xxhash64(bare))
-
-    return F.transform(F.split(content, "\n", -1), key)
+    # a lambda's value is computed once, an expression that it names twice isn't
+    hashes = F.transform(F.split(content, "\n", -1), lambda line: F.xxhash64(letters(line)))
+    return F.transform(hashes, lambda h: F.when(h != F.xxhash64(F.lit("")), h))
 
 
 def published(content: Column) -> Column:
