@@ -202,22 +202,23 @@ _COURTESY = re.compile(
 )
 
 
-#: Kinds of sentences met, which come with digits made zeros: (declines, other words).
-_kinds: dict[str, tuple[bool, int]] = {}
+#: Whether sentences met, which come with digits made zeros, decline.
+_declines: dict[str, bool] = {}
+
+
+def declines(sentence: str) -> bool:
+    found = _declines.get(sentence)
+    if found is None:
+        if len(_declines) > L.KEEP_SENTENCES:
+            _declines.clear()
+        found = _declines[sentence] = _REFUSAL.search(sentence) is not None
+    return found
 
 
 def is_refusal(sentences: list[str]) -> bool:
     """Whether a sentence declines and nothing but courtesies stands beside it."""
-    declines, other = False, 0
-    for s in sentences:
-        kind = _kinds.get(s)
-        if kind is None:
-            if len(_kinds) > L.KEEP_SENTENCES:
-                _kinds.clear()
-            no = _REFUSAL.search(s) is not None
-            kind = _kinds[s] = (no, 0 if no or _COURTESY.search(s) else len(_WORD.findall(s)))
-        declines, other = declines or kind[0], other + kind[1]
-    return declines and other <= 6
+    said = [declines(s) for s in sentences]
+    return any(said) and sum(len(_WORD.findall(s)) for s, no in zip(sentences, said) if not no and not _COURTESY.search(s)) <= 6
 
 
 _ASKED = {
@@ -256,6 +257,22 @@ def _tags_open(text: str) -> bool:
     return any(n > closed[t] for t, n in opened.items() if t not in ("p", "li"))
 
 
+#: Signs that can stand open.
+_OPENING = re.compile(r"[<&(\[«{„`*]")
+
+
+def _opened(text: str) -> bool:
+    """Whether a tag, a bracket, a quotation or a mark is left open."""
+    if ("<" in text and _tags_open(text)) or ("&" in text and re.search(r"&[a-z]{2,6}$", text)):
+        return True
+    plain = _TAG.sub("", text) if "<" in text else text
+    if any(a in plain and plain.count(a) > plain.count(z) for a, z in _PAIRED):
+        return True
+    if "„" in plain and plain.count("„") > plain.count("“") + plain.count("”") + plain.count('"'):
+        return True
+    return bool(plain.count("```") % 2 or plain.count("**") % 2)
+
+
 def trimmed(text: str) -> str:
     """Text without tags, and without white space, signs and citations at its end."""
     plain = _TAG.sub("", text) if "<" in text else text
@@ -266,15 +283,7 @@ def trimmed(text: str) -> str:
 
 def is_cut_open(text: str, wrapper_open: bool) -> bool:
     """Truncation that the answer shows by itself."""
-    if wrapper_open or ("<" in text and _tags_open(text)) or ("&" in text and re.search(r"&[a-z]{2,6}$", text)):
-        return True
-    plain = _TAG.sub("", text) if "<" in text else text
-    for a, z in _PAIRED:
-        if a in plain and plain.count(a) > plain.count(z):
-            return True
-    if "„" in plain and plain.count("„") > plain.count("“") + plain.count("”") + plain.count('"'):
-        return True
-    if plain.count("```") % 2 or plain.count("**") % 2:
+    if wrapper_open or (_OPENING.search(text) and _opened(text)):
         return True
     end = trimmed(text)
     if end.rstrip()[-1:] in _ITEM_ENDS and _OPEN_ITEM.search(end):
@@ -282,7 +291,7 @@ def is_cut_open(text: str, wrapper_open: bool) -> bool:
     end = end.rstrip()
     if end[-1:] in ",;:–—-/(«„+&=":
         return True
-    shorn = re.sub(r"(?:…|\.{2,})$", "", end) if end[-1:] in ("…", ".") else end
+    shorn = end[:-1] if end[-1:] == "…" else end.rstrip(".") if end[-2:] == ".." else end
     # no dangling word is longer than what is looked at
     return shorn[-1:] not in _STOPS and _DANGLING.search(shorn[-80:].rstrip("\"'»”“*_ ")) is not None
 
